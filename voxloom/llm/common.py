@@ -89,3 +89,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many partitions a repartition by key uses: what the session sets for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def byte_rows(column) -> list:
+    """The UTF-8 bytes of each value of an Arrow string or binary column, None for null; no copies."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    valid, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    rows = [raw[a:b] for a, b in zip(at, at[1:])]
+    if column.null_count:
+        ok = column.is_valid().to_pylist()
+        rows = [r if k else None for r, k in zip(rows, ok)]
+    return rows
+
+
+def with_columns(batch, names: list[str], arrays: list):
+    """A record batch with the named columns added, or replaced where the name is there already."""
+    import pyarrow as pa
+
+    kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in names]
+    return pa.RecordBatch.from_arrays([c for _, c in kept] + arrays, [n for n, _ in kept] + names)
+
+
+def schema_with(df: DataFrame, **added: str):
+    """The schema of ``df`` less the names added, then those added."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    kept = [f for f in df.schema.fields if f.name not in added]
+    return StructType(kept + [StructField(k, _parse_datatype_string(v), True) for k, v in added.items()])

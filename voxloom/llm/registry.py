@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("queries_mixing",)
+MODULES = ("queries_topk", "queries_mixing", "queries_langid")
 
 
 def queries() -> dict:
