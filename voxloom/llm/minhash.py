@@ -52,9 +52,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of the bytes, A-Z lower-cased."""
-    word = ~_SPACE[buf]
+def word_hashes(buf: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of the bytes, A-Z lower-cased; ``apart`` marks bytes between words."""
+    word = ~apart[buf]
     edge = np.diff(word.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
