@@ -64,13 +64,13 @@ def bin_of(drawn: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 20) -> DataFrame:
-    """Each row of ``docs`` (doc_id, source, size, ...) with source_size, target and taken (words).
+    """Each row of ``docs`` (doc_id, source, size, ...) with source_size, target, repeats and taken (words).
 
-    Columns of ``docs`` named as the three results are replaced by them. The decisions are
+    Columns of ``docs`` named as the four results are replaced by them. The decisions are
     made on (source, hash, size) only and come down to one row per source, so whatever else
     the rows carry is joined once.
     """
-    keep = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    keep = [c for c in docs.columns if c not in ("source_size", "target", "repeats", "taken")]
     narrow = written(docs.select("source", "size", draw(F.col("doc_id"), seed).alias("d")), "mix")
     bins = narrow.groupBy("source", bin_of(F.col("d")).alias("bin")).agg(F.sum("size").alias("bin_size"))
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
@@ -99,4 +99,4 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 20
     d = docs.select(*keep).withColumn("_draw", draw(F.col("doc_id"), seed))
     j = d.join(rules, F.col("source").eqNullSafe(F.col("_source")))
     more = ((bin_of(F.col("_draw")) <= F.col("full")) | F.coalesce(F.col("_draw") <= F.col("last"), F.lit(False))).cast("long")
-    return j.select(*keep, F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * (F.col("whole") + more)).alias("taken"))
+    return j.select(*keep, F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("whole") + more).alias("repeats"), (F.col("size") * (F.col("whole") + more)).alias("taken"))

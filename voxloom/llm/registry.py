@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("queries_topk", "queries_warc", "queries_mixing", "queries_decontaminate", "queries_minhash", "queries_langid")
+MODULES = ("queries_topk", "queries_warc", "queries_mixing", "queries_decontaminate", "queries_minhash", "queries_langid", "queries_tokens")
 
 
 def queries() -> dict:
