@@ -9,8 +9,9 @@ Within a bucket no pairs are listed. Every member is first held against one hub,
 smallest id of the bucket. Links that hold on the full sets give components by
 alternating large-star and small-star. Only buckets where members are still in different
 components go on: members outside the bucket's most common component meet the rest in
-blocks of bounded size, members of one component never meet each other. So the exact
-answer needs no more than the pairs that could still join two components.
+blocks of bounded size, first by signature, then, those with a likely partner, on their
+full sets. Members of one component never meet. Pairs stay within a block's task; what
+leaves it is one link for each member and component.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; texts of
 fewer than five words are one shingle; rows without an id are linked with nothing; rows
@@ -170,49 +171,83 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return t.select("a", "b", "text", "text_b").mapInArrow(_exact(least), "a long, b long")
 
 
-def _across(key, pdf):
-    """Pairs of one block of a bucket whose components differ and whose signatures agree enough."""
-    import pandas as pd
+GROUP = ["key", "band", "o", "kind", "i"]
+MET = "key long, band int, o int, kind int, i int, node long, label long, outer boolean, inner boolean"
+
+
+def _near(key, pdf):
+    """The members of one block of a bucket with a likely partner in another component.
+
+    Partners count in the first band that they share, so in one bucket only.
+    """
+    band = int(key[1])
+    left, right = (np.flatnonzero(pdf[c].to_numpy(bool)) for c in ("outer", "inner"))
+    sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, PERMS)
+    label = pdf["label"].to_numpy()
+    hit = np.zeros(len(pdf), bool)
+    for k in left:
+        same = sigs[right] == sigs[k]
+        ok = (same.sum(axis=1) >= LEAST_EQUAL) & (label[right] != label[k])
+        ok[ok] = same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        hit[right[ok]] = True
+        hit[k] |= ok.any()
+    return pdf.loc[hit, MET.replace(",", "").split()[::2]]
+
+
+def _linked(least: float):
+    """Links on full sets between the components of one block: one for each member and component."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates(["node", "outer", "inner", "text"])
+        sets = shingle_sets([np.frombuffer(t.encode(), np.uint8) for t in pdf["text"]])
+        sizes = np.array([len(s) for s in sets])
+        every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+        left, right = (np.flatnonzero(pdf[c].to_numpy(bool)) for c in ("outer", "inner"))
+        held = np.concatenate([ids[starts[k] : starts[k] + sizes[k]] for k in right]) if len(right) else ids[:0]
+        heads = np.cumsum(sizes[right]) - sizes[right]
+        mark = np.zeros(len(every), np.int32)
+        links = set()
+        for k in left:
+            own = ids[starts[k] : starts[k] + sizes[k]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[held], heads)
+            mark[own] = 0
+            ok = (100 * both >= least * 100 * (sizes[k] + sizes[right] - both)) & (label[right] != label[k])
+            seen = {}
+            for j in right[ok]:
+                seen.setdefault(label[j], node[j])
+            links |= {(max(node[k], n), min(node[k], n)) for n in seen.values()}
+        return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
 
-    pdf = pdf.drop_duplicates(["node", "outer"])
-    left, right = pdf[pdf["outer"]], pdf[pdf["inner"]]
-    y = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(-1, PERMS)
-    r_node, r_label = right["node"].to_numpy(), right["label"].to_numpy()
-    a, b = [], []
-    for node, label, sig in zip(left["node"], left["label"], left["sig"]):
-        hit = (r_label != label) & ((y == np.frombuffer(sig, np.uint32)).sum(axis=1) >= LEAST_EQUAL)
-        a += [node] * int(hit.sum())
-        b += r_node[hit].tolist()
-    return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+    return run
 
 
-def _rest_of_buckets(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs between components within buckets, beyond those with the hubs."""
-    m = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+def _between(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links between components within buckets, beyond those with the hubs."""
+    m = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
     m = written(m, "members")
     per = m.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_ = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1 and all > 2")
     m = m.join(open_, "key").withColumn("other", F.col("label") != F.col("main"))
-    # the same two sets of members in many bands are one matter
     n_out = F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int")
     n_main = F.ceil(F.col("n_main") / BLOCK).cast("int")
     cut = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     steps = lambda n: F.sequence(F.lit(0), n - 1)
-    pair = lambda o, kind, i: F.struct(o.alias("o"), F.lit(kind).alias("kind"), i.alias("i"))
-    others, mains = m.where("other"), m.where(~F.col("other"))
-    rows = [
-        others.select("key", "rep", "label", F.explode(F.transform(steps(n_main), lambda i: pair(cut(n_out), 0, i))).alias("g"), F.lit(True).alias("outer"), F.lit(False).alias("inner")),
-        mains.select("key", "rep", "label", F.explode(F.transform(steps(n_out), lambda o: pair(o, 0, cut(n_main)))).alias("g"), F.lit(False).alias("outer"), F.lit(True).alias("inner")),
-        others.where(F.col("all") - F.col("n_main") > 1).select("key", "rep", "label", F.explode(F.transform(steps(n_out), lambda i: pair(cut(n_out), 1, i))).alias("g"), F.lit(True).alias("outer"), F.lit(False).alias("inner")),
-        others.where(F.col("all") - F.col("n_main") > 1).select("key", "rep", "label", F.explode(F.transform(steps(n_out), lambda o: pair(o, 1, cut(n_out)))).alias("g"), F.lit(False).alias("outer"), F.lit(True).alias("inner")),
-    ]
-    met = rows[0]
-    for r in rows[1:]:
-        met = met.unionAll(r)
-    sigs = reps.select(F.col("rep").alias("node"), "sig")
-    met = met.withColumnRenamed("rep", "node").join(sigs, "node")
-    found = met.groupBy("key", "g.o", "g.kind", "g.i").applyInPandas(_across, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    part = lambda o, kind, i, outer: F.struct(o.alias("o"), F.lit(kind).alias("kind"), i.alias("i"), F.lit(outer).alias("outer"))
+    # others meet the main component's members (kind 0) and each other (kind 1), block by block
+    among = lambda outer: F.when(F.col("all") - F.col("n_main") > 1, F.transform(steps(n_out), lambda j: part(cut(n_out), 1, j, True) if outer else part(j, 1, cut(n_out), False))).otherwise(F.array())
+    outside = F.concat(F.transform(steps(n_main), lambda j: part(cut(n_out), 0, j, True)), among(True), among(False))
+    inside = F.transform(steps(n_out), lambda j: part(j, 0, cut(n_main), False))
+    met = m.select("key", "band", F.col("rep").alias("node"), "label", F.explode(F.when(F.col("other"), outside).otherwise(inside)).alias("g"))
+    met = met.select("key", "band", "g.o", "g.kind", "g.i", "node", "label", "g.outer", (~F.col("g.outer")).alias("inner"))
+    met = met.join(reps.select(F.col("rep").alias("node"), "sig"), "node")
+    near = written(met.groupBy(*GROUP).applyInPandas(_near, MET), "near")
+    texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
+    return near.join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -222,7 +257,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig", "keys")).alias("r"), F.count("*").alias("copies"))
     reps = written(sets.select("h1", "h2", "copies", "r.rep", "r.sig", "r.keys"), "sets")
 
-    bands = reps.select("rep", F.explode("keys").alias("key"))
+    bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
     members = written(bands.join(buckets, "key"), "buckets")
     pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -232,8 +267,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     first = written(_confirmed(likely, docs, least), "links")
     labels = written(components(first), "labels")
 
-    more = written(_rest_of_buckets(members.select("key", "rep"), labels, reps), "likely").join(likely, ["a", "b"], "left_anti")
-    second = written(_confirmed(more, docs, least), "links")
+    second = written(_between(members, labels, reps, docs, least), "links")
     if not second.isEmpty():
         tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(tree.unionAll(second))
