@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("queries_topk", "queries_warc", "queries_mixing", "queries_decontaminate", "queries_html", "queries_minhash", "queries_lm", "queries_langid", "queries_tokens")
+MODULES = ("queries_topk", "queries_warc", "queries_mixing", "queries_decontaminate", "queries_html", "queries_minhash", "queries_lm", "queries_langid", "queries_tokens", "queries_repeats")
 
 
 def queries() -> dict:
