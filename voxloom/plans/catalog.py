@@ -362,3 +362,9 @@ def dataset_catalog(spark, sf_dir):
 def transcript_stats(spark, sf_dir):
     m = greedy_segment_merge(spark, sf_dir)
     return m.groupBy("video_id").agg(F.count("*").alias("kept"), F.sum("n").alias("parts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+
+
+from . import literals  # noqa: E402
+
+QUERIES.update(literals.QUERIES)
+SQL.update(literals.SQL)
