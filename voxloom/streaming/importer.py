@@ -22,7 +22,7 @@ def import_files(spark: SparkSession, path: str, schema: str, out: str, checkpoi
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("accepted").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     marked = judged(rows, **gates).withColumn("accepted", F.col("reject_reason").isNull())
     q = marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
