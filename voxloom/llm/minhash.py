@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, written
+from .common import byte_rows, partitions, written
 from .components import components
 
 SHINGLE = 5
@@ -124,22 +124,23 @@ def _sign(batches):
                     pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                     pa.array([int(np.bitwise_xor.reduce(mixed(s * _C[3])).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                     pa.array([s.tobytes() if s is not None else None for s in sigs], pa.binary()),
+                    pa.array([s.astype(np.uint8).tobytes() if s is not None else None for s in sigs], pa.binary()),
                     pa.array([next(it) if s is not None else None for s in sigs], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"],
+                ["doc_id", "n_shingles", "h1", "h2", "sig", "low", "keys"],
             )
 
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, low binary, keys array<long>"
 
 
 def _likely(batches):
-    """Pairs whose signatures agree enough to be worth the exact check."""
+    """Pairs whose signatures, by the last byte of each minimum, agree enough to be worth the exact check."""
     import pyarrow as pa
 
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, PERMS) for c in ("sig", "sig_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PERMS) for c in ("low", "low_b"))
             yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
 
 
@@ -245,6 +246,7 @@ def _between(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataF
     met = m.select("key", "band", F.col("rep").alias("node"), "label", F.explode(F.when(F.col("other"), outside).otherwise(inside)).alias("g"))
     met = met.select("key", "band", "g.o", "g.kind", "g.i", "node", "label", "g.outer", (~F.col("g.outer")).alias("inner"))
     met = met.join(reps.select(F.col("rep").alias("node"), "sig"), "node")
+    met = met.repartition(partitions(docs.sparkSession), *GROUP)
     near = written(met.groupBy(*GROUP).applyInPandas(_near, MET), "near")
     texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
     return near.join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct()
@@ -254,16 +256,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """(doc_id, text) rows to doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign, SIGNED), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig", "keys")).alias("r"), F.count("*").alias("copies"))
-    reps = written(sets.select("h1", "h2", "copies", "r.rep", "r.sig", "r.keys"), "sets")
+    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig", "low", "keys")).alias("r"), F.count("*").alias("copies"))
+    reps = written(sets.select("h1", "h2", "copies", "r.rep", "r.sig", "r.low", "r.keys"), "sets")
 
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
     members = written(bands.join(buckets, "key"), "buckets")
     pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    sigs = reps.select("rep", "sig")
-    seen = pairs.join(sigs.withColumnRenamed("rep", "a"), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    likely = written(seen.select("a", "b", "sig", "sig_b").mapInArrow(_likely, "a long, b long"), "likely")
+    lows = reps.select("rep", "low")
+    seen = pairs.join(lows.withColumnRenamed("rep", "a"), "a").join(lows.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
+    likely = written(seen.select("a", "b", "low", "low_b").mapInArrow(_likely, "a long, b long"), "likely")
     first = written(_confirmed(likely, docs, least), "links")
     labels = written(components(first), "labels")
 
