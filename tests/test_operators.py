@@ -78,3 +78,17 @@ def test_quotes(spark):
     s = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "three")], "sid int, text string")
     q = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "none")], "qid int, quote string")
     assert rows(R.match_quotes(q, s).select("qid", "sid", "how")) == [(1, 2, "exact"), (2, 1, "part")]
+
+
+def test_summaries(spark):
+    r = spark.createDataFrame([("kept", 3, 90.0), ("junk", 2, 1.0), ("quality", 1, 1.0)], "reason string, n long, seconds double")
+    assert R.segment_summary(r).first()[0] == "kept 3 clips | rejected 3 (empty 0, quality 1, language 0, too short 0, text 0, duration 0, words 0, audio 0, align failed 0, junk 2) | speech 1.5 min"
+    t = spark.createDataFrame([(5, 0, 2, 0, 0, 0, 1, {"uk": 3, "ru": 1, "en": 2}, 120.0)], "segments_kept int, rejected_non_target_language int, rejected_quality int, rejected_empty int, rejected_too_short int, rejected_alignment_failed int, marked_alignment_failed int, detected_languages map<string,int>, kept_speech_duration_sec double")
+    assert t.select(R.transcript_summary("uk")).first()[0] == "kept 5 segments | rejected 2 | non-uk regions kept (en:2, ru:1) | quality 2 | align marked 1 | speech 2.0 min"
+
+
+def test_partners(spark):
+    c = spark.createDataFrame([(k, "a") for k in range(5)] + [(9, "b")], "clip_id long, speaker_name string")
+    assert D.speaker_groups(c).count() == 5
+    got = dict((r["clip_id"], r["partner"]) for r in D.partners(c).collect())
+    assert sorted(got) == sorted(got.values()) == [0, 1, 2, 3, 4] and all(k != v for k, v in got.items())

@@ -58,3 +58,20 @@ def test_import_is_incremental(spark, tmp_path):
     got = import_files(spark, src, schema, out, ck)
     assert got.count() == 14 and got.where("accepted").count() == 7
     assert {r.reject_reason for r in got.where("not accepted").collect()} == {"wer"}
+
+
+def test_catalog_and_manifests(spark, tmp_path):
+    for name, wavs in (("ready", True), ("bare", False), ("combined", True)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata_train.csv").write_text("audio_file|text|speaker_name\na|b|c\n\n")
+        if wavs:
+            (tmp_path / name / "wavs").mkdir()
+    assert [p.rsplit("/", 1)[-1] for p in files.list_datasets(spark, str(tmp_path), ("combined",))] == ["ready"]
+    assert files.list_datasets(spark, str(tmp_path / "none")) == []
+    assert files.count_metadata(spark, str(tmp_path / "ready" / "metadata_train.csv")) == 1
+    schema = "stats struct<kept:int,sample_rates:map<string,int>>"
+    (tmp_path / "m.json").write_text('{"stats": {"kept": 2, "sample_rates": {"16000": 2}}}')
+    (tmp_path / "bad.json").write_text("{")
+    whole = files.read_if_whole(spark, str(tmp_path / "m.json"), schema)
+    assert whole.select(files.int_keys(F.col("stats.sample_rates"))).first()[0] == {16000: 2}
+    assert files.read_if_whole(spark, str(tmp_path / "bad.json"), schema) is None and files.read_if_whole(spark, str(tmp_path / "no.json"), schema) is None

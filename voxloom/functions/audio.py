@@ -397,3 +397,26 @@ def over_clips(df: DataFrame, kernel: Callable[[np.ndarray, int], np.ndarray], s
             yield pdf
 
     return df.mapInPandas(run, df.schema)
+
+
+def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Another sample rate, by lines between samples."""
+    if rate == to or not len(x):
+        return x
+    return np.interp(np.arange(int(round(len(x) * to / rate))) * rate / to, np.arange(len(x)), x).astype(np.float32)
+
+
+def join_references(contents: list[bytes], rate: int = 44_100, most: int = 5) -> bytes:
+    """One to five WAV files in order as one, mono, of one rate; a single file stays as it is."""
+    if not 1 <= len(contents) <= most:
+        raise ValueError(f"1 to {most} references, not {len(contents)}")
+    if len(contents) == 1:
+        return contents[0]
+    x = np.concatenate([resample(*wav_samples(c), rate) for c in contents])
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32_767).astype("<i2").tobytes())
+    return out.getvalue()

@@ -184,3 +184,9 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda x: F.sqrt(F.aggregate(F.transform(d(x), lambda v: v * v), F.lit(0.0), lambda s, v: s + v))
     scale = norm(a) * norm(b)
     return F.coalesce(F.when((F.size(a) == F.size(b)) & (scale > 0), dot / scale), F.lit(0.0))
+
+
+def synthesis_prompt(reference: Column, target: Column, prefix: str) -> Column:
+    """The text of a training prompt; what the assistant says follows it."""
+    turn = lambda who, *parts: F.concat(F.lit(f"<|im_start|>{who}\n"), *parts, F.lit("<|im_end|>\n"))
+    return F.concat(turn("system", F.lit(prefix), F.lit("<|speaker:0|>"), reference), turn("user", target), F.lit("<|im_start|>assistant\n"))

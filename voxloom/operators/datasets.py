@@ -92,3 +92,16 @@ def require_same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
     d = x.join(y, key, "full")
     return d.select(key, F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "only_a").otherwise("only_b").alias("side"))
+
+
+def speaker_groups(clips: DataFrame, least: int = 2, by: str = "speaker_name") -> DataFrame:
+    """Clips of speakers that have enough of them to be paired."""
+    big = clips.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(by)
+    return clips.join(big, by, "left_semi")
+
+
+def partners(clips: DataFrame, seed: int = 42, by: str = "speaker_name", key: str = "clip_id") -> DataFrame:
+    """Each clip with a partner of its speaker: the next one in a seeded order, the last one's is the first."""
+    w = W.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key)
+    d = clips.withColumn("partner", F.coalesce(F.lead(key).over(w), F.first(key).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    return d.where(F.col("partner") != F.col(key))

@@ -62,3 +62,37 @@ def match_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     near = rest.join(segments, F.col("text").contains(F.col("quote")) | F.col("quote").contains(F.col("text")))
     near = near.groupBy("qid", "quote").agg(F.min("sid").alias("sid")).withColumn("how", F.lit("part"))
     return exact.unionByName(near)
+
+
+def _counted(label: str, name: str) -> Column:
+    """'label n', null for none, so that concat_ws leaves it out."""
+    return F.when(F.col(name) > 0, F.concat(F.lit(f"{label} "), F.col(name).cast("string")))
+
+
+def _minutes(name: str) -> Column:
+    return F.format_string("speech %.1f min", F.col(name) / 60)
+
+
+def transcript_summary(target: str) -> Column:
+    """One line over the counters of a transcript's statistics."""
+    rejects = ["rejected_non_target_language", "rejected_quality", "rejected_empty", "rejected_too_short", "rejected_alignment_failed"]
+    total = sum((F.col(r) for r in rejects), F.lit(0))
+    others = F.array_sort(F.map_entries(F.map_filter("detected_languages", lambda k, _: k != target)))
+    bits = F.array_join(F.transform(others, lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ", ")
+    return F.concat_ws(
+        " | ", F.format_string("kept %d segments", "segments_kept"), F.concat(F.lit("rejected "), total.cast("string")), F.when(bits != "", F.concat(F.lit(f"non-{target} regions kept ("), bits, F.lit(")"))),
+        _counted("quality", "rejected_quality"), _counted("empty", "rejected_empty"), _counted("too short", "rejected_too_short"), _counted("align marked", "marked_alignment_failed"), _minutes("kept_speech_duration_sec"),
+    )
+
+
+#: How the reasons are called in a summary, in its order.
+REASONS = {"empty": "empty", "quality": "quality", "language": "language", "too_short": "too short", "text_length": "text", "duration": "duration", "word_quality": "words", "audio_quality": "audio", "alignment_failed": "align failed", "junk": "junk"}
+
+
+def segment_summary(report: DataFrame) -> DataFrame:
+    """One line over a reject report (reason, n, seconds)."""
+    n = lambda reason: F.coalesce(F.sum(F.when(F.col("reason") == reason, F.col("n"))), F.lit(0))
+    kept = F.coalesce(F.sum(F.when(F.col("reason") == "kept", F.col("seconds"))), F.lit(0.0))
+    rejected = sum((n(r) for r in REASONS), F.lit(0))
+    parts = F.concat_ws(", ", *(F.concat(F.lit(f"{label} "), n(r).cast("string")) for r, label in REASONS.items()))
+    return report.agg(F.concat(F.lit("kept "), n("kept").cast("string"), F.lit(" clips | rejected "), rejected.cast("string"), F.lit(" ("), parts, F.lit(") | "), F.format_string("speech %.1f min", kept / 60)).alias("summary"))

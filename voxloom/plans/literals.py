@@ -96,9 +96,9 @@ def script_runs(spark, sf_dir):
     return d.select("k", "r.script", F.array_join("r.words", " ").alias("text"))
 
 
-@examples("spec, repo_id, config, split, speaker", [("Yehor/opentts-uk:lada@test=lada", "Yehor/opentts-uk", "lada", "test", "lada"), ("a/b=Mykyta#40000", "a/b", None, "train", "mykyta"), ("a/b", None, None, None, None), ("=x", None, None, None, None), ("a/b=", None, None, None, None)])
+@examples("spec, repo_id, config, split, speaker", [("Anna/speech-uk:lada@test=lada", "Anna/speech-uk", "lada", "test", "lada"), ("a/b=Mykyta#40000", "a/b", None, "train", "mykyta"), ("a/b", None, None, None, None), ("=x", None, None, None, None), ("a/b=", None, None, None, None)])
 def parse_source(spark, sf_dir):
-    specs = ["Yehor/opentts-uk:lada@test=lada", "a/b=Mykyta#40000", "a/b", "=x", "a/b="]
+    specs = ["Anna/speech-uk:lada@test=lada", "a/b=Mykyta#40000", "a/b", "=x", "a/b="]
     return _rows(spark, [(s,) for s in specs], "spec string").withColumn("p", T.parse_source(F.col("spec"))).select("spec", "p.repo_id", "p.config", "p.split", "p.speaker")
 
 

@@ -175,3 +175,37 @@ def with_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
 
 def enabled(rows: DataFrame) -> DataFrame:
     return rows.where(is_true(F.col("enabled").cast("string")))
+
+
+def list_datasets(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Folders under ``root``, sorted, that hold train metadata and audio; a merge's own output is excluded by name."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    child = lambda p, n: fs.exists(jvm.org.apache.hadoop.fs.Path(p, n))
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(p.toString() for p in found if p.getName() not in exclude and child(p, "metadata_train.csv") and child(p, "wavs"))
+
+
+def count_metadata(spark: SparkSession, path: str) -> int:
+    """Rows of a metadata file: its lines that are not blank, less the header."""
+    return max(0, spark.read.text(path).where(F.trim("value") != "").count() - 1)
+
+
+def read_if_whole(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A source's checkpoint manifest as JSON; None if it is missing or cannot be read."""
+    from pyspark.errors import PySparkException
+
+    try:
+        d = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+        d.limit(1).collect()
+        return d
+    except PySparkException:
+        return None
+
+
+def int_keys(c: Column) -> Column:
+    """A map that JSON gave text keys, with the whole numbers they were."""
+    return F.transform_keys(c, lambda k, _: k.cast("int"))
