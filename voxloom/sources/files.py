@@ -199,11 +199,11 @@ def read_if_whole(spark: SparkSession, path: str, schema: str) -> DataFrame | No
     from pyspark.errors import PySparkException
 
     try:
-        d = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
-        d.limit(1).collect()
-        return d
+        d = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path)
+        row = d.first()  # a manifest is one document
     except PySparkException:
         return None
+    return d.drop("_bad") if row and row["_bad"] is None else None
 
 
 def int_keys(c: Column) -> Column:
