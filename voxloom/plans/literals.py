@@ -29,7 +29,9 @@ SQL: dict = {}
 def _value(x) -> str:
     if x is None:
         return "NULL"
-    if isinstance(x, (int, float)):
+    if isinstance(x, float):
+        return f"{x}::DOUBLE"
+    if isinstance(x, int):
         return str(x)
     return "'" + str(x).replace("'", "''") + "'"
 
@@ -172,7 +174,7 @@ def audio_levels(spark, sf_dir):
 
 
 QUERIES["audio_levels"] = audio_levels
-SQL["audio_levels"] = "SELECT * FROM (VALUES (1, 0.57, 0.2), (2, 0.28, 0.2), (3, 0.19, 0.2), (4, 0.14, 0.2)) AS t(id, before, after)"
+SQL["audio_levels"] = "SELECT id, before::DOUBLE AS before, after::DOUBLE AS after FROM (VALUES (1, 0.57, 0.2), (2, 0.28, 0.2), (3, 0.19, 0.2), (4, 0.14, 0.2)) AS t(id, before, after)"
 
 
 def audio_slots(spark, sf_dir):
