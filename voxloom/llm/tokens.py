@@ -150,7 +150,7 @@ def _packed(bases: dict, total: int, stride: int, per_shard: int, key: int):
                 docs = np.array([-(1 << 63) if d is None or d != d else int(d) for d in f.docs], np.int64)
                 held.append((slots, np.repeat(docs, n), seqs, counts, blocks))
                 size += blocks.nbytes
-                if size > 1 << 26:
+                if size > 1 << 24:
                     yield flush()
                     held, size = [], 0
         if held:
