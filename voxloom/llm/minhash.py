@@ -262,6 +262,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
     members = written(bands.join(buckets, "key"), "buckets")
+    # only texts that share a bucket move on; always by a merge join, as their ids grow with the corpus
+    ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    docs = written(docs.join(ids, "doc_id", "left_semi"), "texts")
     pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     lows = reps.select("rep", "low")
     seen = pairs.join(lows.withColumnRenamed("rep", "a"), "a").join(lows.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
