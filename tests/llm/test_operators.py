@@ -2,6 +2,7 @@ import gzip
 import io
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -275,6 +276,22 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in langid.predict(test, none).collect()} == {"und"}
 
 
+def test_language_rejection(spark):
+    """Held-out texts of every length are kept; other scripts, languages and random strings are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where("doc_id % 4 <> 0"))
+    kept = langid.predict(docs.where("doc_id % 4 = 0"), model).agg(F.avg(F.col("rejected").cast("int")), F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()
+    assert kept[0] < 0.02 and kept[1] > 0.98
+    r = random.Random(5)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. "
+    odd = ["!?.," * 125 + "a"]
+    for n in (30, 100, 300, 1000, 4000):
+        odd += [some("0123456789abcdef", n), some(string.ascii_letters + string.digits + "+/", n), some(string.ascii_lowercase, n), some([chr(c) for c in range(0x4E00, 0x9FA5)], n), some("абвгдежзийклмнопрстуфхцчшщыьэюя    ", n), (polish * 40)[:n]]
+    seen = langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert [x["text"][:40] for x in seen if not x["rejected"]] == []
+
+
 # ---- 9 token shards
 
 
