@@ -135,6 +135,24 @@ def test_leaks(spark):
     assert decontaminate.leaks(d, none).count() == 0 and decontaminate.without_leaks(d, none).count() == len(docs)
 
 
+@pytest.mark.parametrize("n", [60, 130, 300, 1000, 3000])
+def test_leaks_of_long_items(spark, n):
+    r = random.Random(n)
+    item = prose(r, n, 5000) + ". " + prose(r, 12, 5000)
+    docs = [(1, item), (2, prose(r, 777, 5000) + " " + item + " " + prose(r, 90, 5000)), (3, prose(r, 2 * n, 5000))]
+    b = spark.createDataFrame([(7, item), (8, prose(r, 40, 5000))], "item_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()) == [(1, 7), (2, 7)]
+
+
+def test_leaks_of_null_and_shared_ids(spark):
+    r = random.Random(6)
+    texts = [prose(r, 30, 5000) for _ in range(4)]
+    b = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3])], "item_id long, text string")
+    d = spark.createDataFrame([*enumerate(texts), (9, prose(r, 200, 5000))], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"] or 0) for x in decontaminate.leaks(d, b).collect()) == [(0, 0), (1, 0), (2, 5), (3, 5)]
+    assert [x["doc_id"] for x in decontaminate.without_leaks(d, b).collect()] == [9]
+
+
 def test_wand_against_all_scores():
     r = random.Random(5)
     texts = {i: [prose(r, r.randrange(3, 40), 60)] for i in range(150)}

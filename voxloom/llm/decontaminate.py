@@ -2,26 +2,30 @@
 
 The test items are the indexed documents of an inverted index; every passage of every
 training document is a query. A passage is ``PASSAGE`` words, starting every
-``PASSAGE / 2`` words. Scores are BM25 divided by the item's score of itself, so one
-threshold serves items of all lengths. Words are runs of letters, digits and non-ASCII
+``PASSAGE / 2`` words. Items are cut into pieces of at most ``PASSAGE / 2`` words, about
+equally long, and each piece is indexed: a piece copied word for word lies in some passage
+as a whole. Scores are BM25 divided by the piece's score of itself, so one threshold serves
+items of all lengths. Words are runs of letters, digits and non-ASCII
 bytes, A-Z lower-cased, kept as 64-bit hashes.
 
-Retrieval is exact. Items are numbered, and posting lists cut, in at most ``BLOCKS`` runs
-of items. For all passages of a batch at once, the sums of their terms' block maxima bound
+Retrieval is exact. Pieces are numbered, and posting lists cut, in at most ``BLOCKS`` runs
+of pieces. For all passages of a batch at once, the sums of their terms' block maxima bound
 the scores within each block, and blocks whose bound is under the threshold are skipped;
 within the others WAND goes through the posting lists, with the block's maxima as the
-bounds of its pivots. Every item at or above the threshold is then held against the
-passage and half a passage on either side: the share of the question's word n-grams and of
+bounds of its pivots. The item of every piece at or above the threshold is then held, as a
+whole, against the passage, as many words on either side as the item has before and after
+the piece, and half a passage more: the share of the question's word n-grams and of
 the answer's words found there must be high. An item's answer is what follows "Answer:",
 or its last sentence.
 
 The index is cut into shards of at most ``SHARD_TERMS`` postings; the documents are read
 once a shard, so what is sent to the executors is bounded. BM25's statistics are those of
-all items.
+all pieces.
 
 Defined cases: null or empty texts and items match nothing; an item without two sentences
-is question and answer at once; repeated items are matched each; rows without doc_id are
-handled like others; an empty benchmark leaves all documents clean.
+is question and answer at once; an item is a different (item_id, text): different texts of
+one id, one text of several ids and texts without an id are matched each; rows without
+doc_id are handled like others; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -72,80 +76,96 @@ def n_grams(w: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Posting lists of one shard. Items are numbered from 0 in the order of ``items``."""
+    """Posting lists of one shard. Pieces are numbered from 0 in the order of ``items``."""
 
-    items: list[int]
+    items: list  # of each piece, the item's id
+    rows: list[int]  # of each piece, the item
+    around: list[tuple[int, int]]  # of each piece, the item's words before and after it
     terms: np.ndarray  # sorted hashes
-    block: int  # items in a block
+    block: int  # pieces in a block
     greatest: np.ndarray  # of each term and block, the greatest weight
-    postings: list  # of each term: items, weights
-    parts: list  # of each item: n, question n-grams, answer words
+    postings: list  # of each term: pieces, weights
+    parts: list  # of each piece's item: n, question n-grams, answer words
+
+
+def pieces(n: int) -> list[int]:
+    """Where the pieces of an item of n words start, and n."""
+    k = max(1, -(-n // (PASSAGE // 2)))
+    return [n * j // k for j in range(k + 1)]
 
 
 def _tokens(batches):
     import pyarrow as pa
 
+    names = ["item", "piece", "term", "tf", "n"]
     for b in batches:
-        ids, terms, tfs, lengths = [], [], [], []
-        for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+        for i, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
             w = hashed(t or "")
-            u, n = np.unique(w, return_counts=True)
-            ids += [i] * len(u)
-            terms += u.view(np.int64).tolist()
-            tfs += n.tolist()
-            lengths += [len(w)] * len(u)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.int64()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64())], ["item_id", "term", "tf", "n"])
+            cuts = pieces(len(w))
+            cols: list[list[np.ndarray]] = [[] for _ in names]
+            for j, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                u, n = np.unique(w[x:y], return_counts=True)
+                for c, v in zip(cols, (np.full(len(u), i), np.full(len(u), j), u.view(np.int64), n, np.full(len(u), y - x))):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names)
 
 
 def build(benchmark: DataFrame):
     """The shards of the index, one after another."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").dropDuplicates()
-    tokens = written(items.mapInArrow(_tokens, "item_id long, term long, tf long, n long"), "bm25")
-    head = tokens.agg(F.count("*").alias("postings"), F.countDistinct("item_id").alias("items")).first()
-    if not head["postings"]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "bm25")
+    tokens = written(items.select("item", "text").mapInArrow(_tokens, "item long, piece long, term long, tf long, n long"), "bm25")
+    postings = tokens.count()
+    if not postings:
         return
-    mean = tokens.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.avg("n")).first()[0]
-    df = tokens.groupBy("term").agg(F.countDistinct("item_id").alias("df"))
-    idf = F.log(1 + (F.lit(head["items"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    count, mean = tokens.groupBy("item", "piece").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
+    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    weights = written(tokens.join(df, "term").select("item_id", "term", (idf * tf).alias("w")), "bm25")
-    shards = -(-head["postings"] // SHARD_TERMS)
+    weights = written(tokens.join(df, "term").select("item", "piece", "term", (idf * tf).alias("w")), "bm25")
+    shards = -(-postings // SHARD_TERMS)
     for k in range(shards):
-        mine = lambda d: d.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)  # noqa: B023,E731
-        texts = {}
-        for r in mine(items).collect():
-            texts.setdefault(r["item_id"], []).append(r["text"])
-        yield _shard(texts, mine(weights).collect())
-
-
-def _shard(texts: dict, rows: list) -> Index:
-    ids = sorted(texts)
-    number = {i: k for k, i in enumerate(ids)}
-    at = np.array([number[r["item_id"]] for r in rows])
+        mine = lambda d: d.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)  # noqa: B023,E731
+        got = mine(items).collect()
+        rows = mine(weights).select(F.col("item").alias("item_id"), "piece", "term", "w").collect()
+        if rows:
+            yield _shard({r["item"]: [r["text"]] for r in got}, rows, {r["item"]: r["item_id"] for r in got})
+
+
+def _parts(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    q, a = question_and_answer(text)
+    wq, wa = hashed(q), hashed(a)
+    if not len(wq) or not len(wa):
+        wq = wa = hashed(text)
+    n = max(1, min(5, len(wq)))
+    return n, np.unique(n_grams(wq, n)), np.unique(wa)
+
+
+def _shard(texts: dict, rows: list, ids: dict | None = None) -> Index:
+    """The index of the pieces in ``rows``; ids: of each item its id, where that is another."""
+    of = [(r["item_id"], r["piece"] if "piece" in r else 0) for r in rows]
+    keys = sorted(set(of))
+    number = {i: k for k, i in enumerate(keys)}
+    at = np.array([number[i] for i in of])
     term = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
     w = np.array([r["w"] for r in rows], np.float64)
-    own = np.bincount(at, w, len(ids))
+    own = np.bincount(at, w, len(keys))
     w = w / own[at]
     order = np.lexsort((at, term))
     at, term, w = at[order], term[order], w[order]
     terms, starts = np.unique(term, return_index=True)
-    block = -(-len(ids) // BLOCKS)
-    greatest = np.zeros((len(terms), -(-len(ids) // block)), np.float32)
+    block = -(-len(keys) // BLOCKS)
+    greatest = np.zeros((len(terms), -(-len(keys) // block)), np.float32)
     np.maximum.at(greatest, (np.repeat(np.arange(len(terms)), np.diff([*starts, len(term)])), at // block), w)
     postings = [(at[a:b].tolist(), w[a:b].tolist()) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(term)])]
-    parts = []
-    for i in ids:
-        q, a = question_and_answer("\n".join(texts[i]))
-        wq, wa = hashed(q), hashed(a)
-        if not len(wq) or not len(wa):
-            wq = wa = hashed("\n".join(texts[i]))
-        n = max(1, min(5, len(wq)))
-        parts.append((n, np.unique(n_grams(wq, n)), np.unique(wa)))
-    return Index(ids, terms, block, greatest, postings, parts)
+    parts = {i: _parts("\n".join(texts[i])) for i in {i for i, _ in keys}}
+    cuts = {i: pieces(len(hashed("\n".join(texts[i])))) for i in parts}
+    around = [(cuts[i][j], cuts[i][-1] - cuts[i][j + 1]) for i, j in keys]
+    return Index([ids[i] if ids else i for i, _ in keys], [i for i, _ in keys], around, terms, block, greatest, postings, [parts[i] for i, _ in keys])
 
 
 def wand(index: Index, terms: list[int], threshold: float, block: int) -> list[tuple[int, float]]:
-    """(item, score) of the block's items at or above the threshold, for a passage of these terms."""
+    """(piece, score) of the block's pieces at or above the threshold, for a passage of these terms."""
     eps = 1e-5
     done = (block + 1) * index.block
     most = index.greatest[:, block]
@@ -183,8 +203,8 @@ def wand(index: Index, terms: list[int], threshold: float, block: int) -> list[t
             c[0], c[1] = (items[p] if p < len(items) else done), p
 
 
-def _matches(index: Index, rows: list) -> list[list[tuple[int, float, float, float]]]:
-    """Of each text: (item, score, question overlap, answer overlap) of verified items."""
+def _matches(index: Index, rows: list) -> list[list[tuple]]:
+    """Of each text: (item, its id, score, question overlap, answer overlap) of verified items."""
     half = PASSAGE // 2
     out: list[list] = [[] for _ in rows]
     space = np.full(1, 32, np.uint8)
@@ -212,6 +232,7 @@ def _matches(index: Index, rows: list) -> list[list[tuple[int, float, float, flo
     last = np.ones(len(of), bool)
     last[:-1] = of[1:] != of[:-1]
     bounds = sums[:-1] + sums[1:] * ~last[:, None]
+    seen: dict = {}  # overlaps of an item from one place on: the pieces of a copy share them
     edges = np.searchsorted(b, np.arange(int(blocks.sum()) + 1))
     passages, held = np.nonzero(bounds >= THRESHOLD - 1e-5)
     each, heads = np.unique(passages, return_index=True)
@@ -224,13 +245,16 @@ def _matches(index: Index, rows: list) -> list[list[tuple[int, float, float, flo
         if not hits:
             continue
         at = cuts[d] + (p - first[d]) * half
-        near = w[max(cuts[d], at - half) : min(cuts[d + 1], at + PASSAGE + half)]
-        for item, score in hits:
-            n, question, answer = index.parts[item]
-            q = float(np.isin(question, n_grams(near, n)).mean())
-            a = float(np.isin(answer, near).mean())
+        for piece, score in hits:
+            before, after = index.around[piece]
+            key = d, index.rows[piece], (at - before - cuts[d]) // half
+            if key not in seen:
+                near = w[max(cuts[d], at - before - half) : min(cuts[d + 1], at + PASSAGE + after + half)]
+                n, question, answer = index.parts[piece]
+                seen[key] = float(np.isin(question, n_grams(near, n)).mean()), float(np.isin(answer, near).mean())
+            q, a = seen[key]
             if (q >= QUESTION and a >= ANSWER) or q >= QUESTION_ALONE:
-                out[d].append((index.items[item], score, q, a))
+                out[d].append((index.rows[piece], index.items[piece], score, q, a))
     return out
 
 
@@ -262,8 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for i, hits in enumerate(_matches(index, rows)):
                         best: dict = {}
                         for h in hits:
-                            best[h[0]] = max(best.get(h[0], h), h, key=lambda x: x[1:])
-                        got += [(ids[at + i], *h) for h in sorted(best.values())]
+                            best[h[0]] = max(best.get(h[0], h), h, key=lambda x: x[2:])
+                        got += [(ids[at + i], *best[k][1:]) for k in sorted(best)]
                 cols = list(zip(*got)) if got else [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
