@@ -276,6 +276,24 @@ def test_scoring_prefers_the_corpus(spark):
     assert lm.score(empty, none, lm.train(empty, none)).count() == 0
 
 
+def test_lm_learns_from_every_position():
+    import pyarrow as pa
+
+    words = lm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    texts = ["one two three", "one two three", None, "", "x", "a b " * 20_000]
+    got = np.concatenate(list(lm._examples([pa.record_batch({"text": texts})], words)))
+    want = [lm._windows(t) for x in texts if x for t in [lm.spread(words.of(np.frombuffer(x.encode(), np.uint8)))]]
+    assert len(got) == 3 + 3 + 1 + 40_000 and (got[:, :-1] == np.concatenate(want)).all()
+
+
+def test_lm_vocabulary_grows(spark):
+    small = lm.vocabulary(spark.createDataFrame([("a b c",)], "text string"))
+    large = lm.vocabulary(spark.range(40).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(250_000)), lambda i: (i % 7000).cast("string"))).alias("text")))
+    assert small.members == lm.MEMBERS and large.members == 2 * lm.MEMBERS and len(large.hashes) == 2 * lm.KNOWN
+    net = lm.Net.new(members=large.members)
+    assert lm.Net.unpack(net.pack()).members == large.members and large.placed(np.frombuffer(b"1 2 nowhere", np.uint8)).max() < len(net.emb)
+
+
 # ---- 8 language ID
 
 

@@ -2,18 +2,20 @@
 
 A bidirectional window network predicts every token of a text from ``WINDOW`` tokens on
 either side of it; the sum of the conditional log-probabilities scores the text. Tokens are
-words. The vocabulary holds the most frequent words of the whole corpus; words beyond it
-fall into hashed classes of rare words, so every token is predicted.
+words. The vocabulary holds the most frequent words of the whole corpus, ``KNOWN`` times
+the least whole number that makes them as many as the square root of the count of tokens;
+words beyond it fall into hashed classes of rare words, a third as many, so every token is
+predicted.
 
 The network embeds the 2 * ``WINDOW`` neighbours, joins them in one hidden layer and
 predicts in two steps, the class of the word and the word within its class, so a token costs
 two short softmaxes instead of one over the vocabulary.
 
-Training is data-parallel and covers every document: from every text one position in
-``EVERY``, at a place given by a hash, is a training example, so the examples grow with the
-corpus. In each round every partition goes on from the same weights over its own
-examples, and the results are averaged in two levels, weighted by their examples. Only one
-set of weights, of fixed size, comes to the driver a round.
+Training is data-parallel and covers every position of every document in each round: the
+examples are made from the texts as they are read and are not written. In each round every
+partition goes on from the same weights over its own examples, and the results are averaged
+in two levels, weighted by their examples. Only one set of weights, which grows with the
+vocabulary, comes to the driver a round.
 
 Defined cases: null and empty texts have no tokens, log-probability 0 and a null mean;
 texts are read whole in pieces; an empty corpus trains nothing and scores nothing; repeated
@@ -22,26 +24,29 @@ rows get equal results.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, schema_with, with_columns, written
-from .minhash import mixed, word_hashes
+from .common import byte_rows, drop_written, schema_with, with_columns, written
+from .minhash import word_hashes
 
 WINDOW = 2
 CLASSES, MEMBERS = 64, 64
-KNOWN = 3072
-RARE = CLASSES * MEMBERS - 1 - KNOWN
+KNOWN = 3072  # at least; in proportion to the members otherwise
 EDGE = CLASSES * MEMBERS - 1  # stands outside the text
 EMBED, HIDDEN = 16, 32
-EVERY, ROUNDS, BATCH, RATE = 32, 2, 512, 0.5
+ROUNDS, BATCH, RATE = 2, 512, 0.5
 PIECE = 1 << 14
 
 
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    most = z.max(axis=1)
+    return most + np.log(np.exp(z - most[:, None]).sum(axis=1))
+
+
 @dataclass
 class Net:
     emb: np.ndarray
@@ -53,23 +58,28 @@ class Net:
     bm: np.ndarray
 
     @staticmethod
-    def new(seed: int = 7) -> "Net":
+    def new(seed: int = 7, members: int = MEMBERS) -> "Net":
         r = np.random.default_rng(seed)
         n = lambda *s: r.standard_normal(s).astype(np.float32)
         z = lambda *s: np.zeros(s, np.float32)
         d = 2 * WINDOW * EMBED
-        return Net(n(CLASSES * MEMBERS, EMBED) * 0.3, n(d, HIDDEN) / d**0.5, z(HIDDEN), n(HIDDEN, CLASSES) * 0.05, z(CLASSES), n(CLASSES, HIDDEN, MEMBERS) * 0.05, z(CLASSES, MEMBERS))
+        return Net(n(CLASSES * members, EMBED) * 0.3, n(d, HIDDEN) / d**0.5, z(HIDDEN), n(HIDDEN, CLASSES) * 0.05, z(CLASSES), n(CLASSES, HIDDEN, members) * 0.05, z(CLASSES, members))
 
     def parts(self) -> list[np.ndarray]:
         return [self.emb, self.w1, self.b1, self.wc, self.bc, self.wm, self.bm]
 
+    @property
+    def members(self) -> int:
+        return self.bm.shape[1]
+
     def pack(self) -> bytes:
         return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float32).tobytes()
 
     @staticmethod
     def unpack(raw: bytes) -> "Net":
         flat, out, at = np.frombuffer(raw, np.float32), [], 0
-        for p in Net.new().parts():
+        fixed = (2 * WINDOW * EMBED + 1) * HIDDEN + (HIDDEN + 1) * CLASSES
+        for p in Net.new(members=(flat.size - fixed) // (CLASSES * (EMBED + HIDDEN + 1))).parts():
             out.append(flat[at : at + p.size].reshape(p.shape).copy())
             at += p.size
         return Net(*out)
@@ -81,22 +91,22 @@ class Net:
     def log_probs(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The log-probability of each token given its neighbours."""
         h = self.hidden(around)[1]
-        cls, member = token // MEMBERS, token % MEMBERS
+        cls, member = token // self.members, token % self.members
         z = h @ self.wc + self.bc
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
+        out = z[np.arange(len(z)), cls] - _log_sum(z)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[c] : cuts[c + 1]]
             z = h[at] @ self.wm[c] + self.bm[c]
-            out[at] += z[np.arange(len(z)), member[at]] - np.log(np.exp(z).sum(axis=1))
+            out[at] += z[np.arange(len(z)), member[at]] - _log_sum(z)
         return out
 
     def step(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of gradient descent over a batch; gradients are clipped."""
         n = len(token)
         x, h = self.hidden(around)
-        cls, member = token // MEMBERS, token % MEMBERS
+        cls, member = token // self.members, token % self.members
         z = h @ self.wc + self.bc
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -130,18 +140,23 @@ class Words:
 
     hashes: np.ndarray
     tokens: np.ndarray
+    members: int = MEMBERS
 
     def of(self, raw: np.ndarray) -> np.ndarray:
         h = word_hashes(raw)[0]
-        rare = KNOWN + (h % np.uint64(RARE)).astype(np.int64)
+        known = KNOWN * self.members // MEMBERS
+        rare = known + (h % np.uint64(CLASSES * self.members - 1 - known)).astype(np.int64)
         if not len(self.hashes):
             return rare
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.tokens[at], rare)
 
+    def placed(self, raw: np.ndarray) -> np.ndarray:
+        return spread(self.of(raw), self.members)
+
 
 def vocabulary(docs: DataFrame) -> Words:
-    """The KNOWN most frequent words of all texts, ties to the smaller hash."""
+    """The most frequent words of all texts, ties to the smaller hash."""
 
     def count(batches):
         import pyarrow as pa
@@ -169,68 +184,66 @@ def vocabulary(docs: DataFrame) -> Words:
             h, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
 
-    top = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    counts = written(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    times = max(1, -(-int((counts.agg(F.sum("n")).first()[0] or 0) ** 0.5) // KNOWN))
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN * times).collect()
+    drop_written(counts)
     h = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     # neighbours in frequency go to different classes, so that classes are of like weight
     rank = np.arange(len(h))
-    return Words(h[order], rank[order])
+    return Words(h[order], rank[order], MEMBERS * times)
 
 
-def spread(token: np.ndarray) -> np.ndarray:
+def spread(token: np.ndarray, members: int = MEMBERS) -> np.ndarray:
     """Token number to its place: the class is the remainder, the member the quotient."""
-    return (token % CLASSES) * MEMBERS + token // CLASSES
+    return (token % CLASSES) * members + token // CLASSES
 
 
-def _windows(t: np.ndarray) -> np.ndarray:
+def _windows(t: np.ndarray, edge: int = EDGE) -> np.ndarray:
     """The neighbours of every token."""
-    padded = np.concatenate([np.full(WINDOW, EDGE), t, np.full(WINDOW, EDGE)])
+    padded = np.concatenate([np.full(WINDOW, edge), t, np.full(WINDOW, edge)])
     return np.stack([padded[k : k + len(t)] for k in range(2 * WINDOW + 1) if k != WINDOW], axis=1)
 
 
-def _examples(docs: DataFrame, words: Words) -> DataFrame:
-    """(part, ids): the training examples of each batch, neighbours and token, as bytes."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = []
-            for raw in byte_rows(b.column("text")):
-                if raw is None or not len(raw):
-                    continue
-                t = words.of(raw)
-                t = spread(t)
-                pick = mixed(np.arange(len(t), dtype=np.uint64) + np.uint64(zlib.crc32(raw.tobytes())) * np.uint64(1 << 20)) % np.uint64(EVERY) == 0
-                if pick.any():
-                    rows.append(np.concatenate([_windows(t)[pick], t[pick, None]], axis=1).astype(np.uint16))
-            if rows:
-                x = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.tobytes()])], ["n", "ids"])
-
-    return docs.select("text").mapInArrow(run, "n long, ids binary")
+def _examples(batches, words: Words):
+    """Arrays of about PIECE training examples, neighbours and token: every position of every text."""
+    edge, held, size = CLASSES * words.members - 1, [], 0
+    for b in batches:
+        for raw in byte_rows(b.column("text")):
+            if raw is None or not len(raw):
+                continue
+            t = words.placed(raw)
+            for at in range(0, len(t), PIECE):
+                part = t[max(0, at - WINDOW) : at + PIECE + WINDOW]
+                mine = slice(min(at, WINDOW), min(at, WINDOW) + len(t[at : at + PIECE]))
+                held.append(np.concatenate([_windows(part, edge)[mine], part[mine, None]], axis=1))
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+    if size:
+        yield np.concatenate(held)
 
 
 def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, seed: int = 7) -> Net:
     """Rounds of local descent in every partition and weighted averages."""
-    examples = written(_examples(docs, words), "lm-examples")
-    net = Net.new(seed)
+    texts = docs.select("text")
+    net = Net.new(seed, words.members)
     for r in range(rounds):
-        start, rate = net.pack(), RATE / (1 + r)
+        start, rate = docs.sparkSession.sparkContext.broadcast(net.pack()), RATE / (1 + r)
 
         def local(batches, start=start, rate=rate):
             import pyarrow as pa
             from pyspark import TaskContext
 
             own, total = None, 0
-            for b in batches:
-                for ids in b.column("ids").to_pylist():
-                    own = own or Net.unpack(start)
-                    x = np.frombuffer(ids, np.uint16).reshape(-1, 2 * WINDOW + 1).astype(np.int64)
-                    x = x[np.random.default_rng(len(x)).permutation(len(x))]
-                    for at in range(0, len(x), BATCH):
-                        own.step(x[at : at + BATCH, :-1], x[at : at + BATCH, -1], rate)
-                    total += len(x)
+            for x in _examples(batches, words):
+                own = own or Net.unpack(start.value)
+                x = x[np.random.default_rng(len(x)).permutation(len(x))]
+                for at in range(0, len(x), BATCH):
+                    own.step(x[at : at + BATCH, :-1], x[at : at + BATCH, -1], rate)
+                total += len(x)
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([own.pack()])], ["part", "n", "weights"])
 
@@ -242,8 +255,8 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, seed: int = 7) ->
             return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [int(n.sum())], "weights": [w.astype(np.float32).tobytes()]})
 
         schema = "part int, n long, weights binary"
-        nets = examples.mapInArrow(local, schema)
-        groups = max(1, int(examples.rdd.getNumPartitions() ** 0.5))
+        nets = texts.mapInArrow(local, schema)
+        groups = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
         some = nets.groupBy((F.col("part") % groups).alias("g")).applyInPandas(average, schema)
         last = some.groupBy(F.lit(0).alias("g")).applyInPandas(average, schema).collect()
         if not last:
@@ -255,7 +268,7 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, seed: int = 7) ->
 def score(docs: DataFrame, words: Words, net: Net) -> DataFrame:
     """``docs`` with n_tokens, log_prob (the sum) and mean_log_prob; only ``text`` is read for them."""
     schema = schema_with(docs, n_tokens="long", log_prob="double", mean_log_prob="double")
-    raw_net = docs.sparkSession.sparkContext.broadcast(net.pack())  # of fixed size, under 1 MB
+    raw_net = docs.sparkSession.sparkContext.broadcast(net.pack())  # under 1 MB for each KNOWN words
 
     def run(batches):
         import pyarrow as pa
@@ -266,13 +279,13 @@ def score(docs: DataFrame, words: Words, net: Net) -> DataFrame:
             held, size = [], 0
 
             def flush():
-                around, token = np.concatenate([_windows(t) for _, t in held]), np.concatenate([t for _, t in held])
+                around, token = np.concatenate([_windows(t, CLASSES * own.members - 1) for _, t in held]), np.concatenate([t for _, t in held])
                 lp = np.concatenate([own.log_probs(around[a : a + PIECE], token[a : a + PIECE]) for a in range(0, len(token), PIECE)]).astype(np.float64)
                 at = np.array([i for i, _ in held])
                 total[at] = np.add.reduceat(lp, np.concatenate([[0], np.cumsum([len(t) for _, t in held])[:-1]]))
 
             for i, raw in enumerate(byte_rows(b.column("text"))):
-                if raw is None or not len(raw) or not len(t := spread(words.of(raw))):
+                if raw is None or not len(raw) or not len(t := words.placed(raw)):
                     continue
                 n[i] = len(t)
                 held.append((i, t))
