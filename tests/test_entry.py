@@ -30,6 +30,18 @@ def test_queries_match_sql(spark, name):
     assert got == want
 
 
+def test_union_of_all_languages(spark, tmp_path):
+    from voxloom.plans import catalog
+
+    rows = [(i, x) for i, x in enumerate(["en", None, "pl", "de", "en", "", None, "uk", "fr"])]
+    spark.createDataFrame(rows, "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["union_datasets"]).fetchall()
+    got = [tuple(x) for x in catalog.QUERIES["union_datasets"](spark, str(tmp_path)).select("lang", "doc_id", "seq", "file").collect()]
+    assert len(got) == len(rows) and sorted(got, key=lambda x: x[2]) == sorted(want, key=lambda x: x[2])
+
+
 def test_nothing_else_imports_llm():
     for p in (REPO / "voxloom").rglob("*.py"):
         if "llm" not in p.parts:

@@ -212,8 +212,9 @@ _UNION_SQL = "SELECT lang, doc_id, row_number() OVER (ORDER BY lang, doc_id) AS
 @query(_UNION_SQL)
 def union_datasets(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents")
-    parts = [d.where(F.col("lang") == x).select("lang", "doc_id") for x in ("de", "en", "es", "fr")]
-    n = D.numbered(D.union_datasets(parts), [F.col("src_ord"), F.col("doc_id")], chunk=F.col("src_ord"))
+    # every language is a part; the null one, the last in SQL, has a key too
+    part = F.coalesce(F.concat(F.lit("0"), F.col("lang")), F.lit("1"))
+    n = D.numbered(d.select("lang", "doc_id"), [F.col("doc_id").asc_nulls_last()], chunk=part)
     return n.select("lang", "doc_id", "seq", D.file_name(F.col("seq")).alias("file"))
 
 
