@@ -328,6 +328,18 @@ def test_language_rejection(spark):
     assert [x["text"][:40] for x in seen if not x["rejected"]] == []
 
 
+def test_language_of_many_copies_is_learned(spark):
+    """A language of few texts, each copied many times, has as many rows as others and is learned."""
+    r = random.Random(3)
+    make = lambda sy, n: " ".join("".join(r.choice(sy) for _ in range(3)) for _ in range(n))
+    few = [make(["ba", "do", "ki", "zu"], 30) for _ in range(3)]
+    rows = [(few[i % 3], "xx") for i in range(30_000)] + [(make(["sch", "ung", "ein"], 20), "zz") for _ in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=100)
+    assert set(model.langs) == {"xx", "zz"}
+    got = langid.predict(spark.createDataFrame([(few[0],), (make(["ba", "do", "ki", "zu"], 30),)], "text string"), model).collect()
+    assert [x["lang_pred"] for x in got] == ["xx", "xx"]
+
+
 # ---- 9 token shards
 
 

@@ -11,8 +11,8 @@ and size is rejected: it lies farther away than nearly every text of its kind; t
 the way is left for the error of the quantile. The share of letters is held likewise.
 
 The document frequencies behind the idf are counted over all labelled rows, map-side
-first. Only the k-means sees a sample: at most about ``sample`` different texts a
-language, chosen by a hash of the text.
+first. Only the k-means sees a sample: about ``sample`` different texts a language, or all
+it has, chosen by a hash of the text at a rate from the count of different texts.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and is
 rejected; with nothing to learn from, every text is. Grams without a letter do not count;
@@ -169,9 +169,8 @@ def fit(labelled: DataFrame, k: int = 4, sample: int = 1000) -> Model:
     if not total:
         return Model(idf, np.zeros((0, DIM), np.float32), (), np.zeros((0, SIZES), np.float32), np.zeros(0, np.float32))
 
-    spark = labelled.sparkSession
-    rate = spark.createDataFrame([(x, min(1.0, sample / n)) for x, n in per_lang.items()], "lang string, rate double")
     h = F.xxhash64(F.lit(8), "text")
+    rate = rows.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("rate"))
     drawn = rows.withColumn("h", h).join(F.broadcast(rate), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
