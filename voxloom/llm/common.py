@@ -27,9 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.conf.get("voxloom.shared.dir", None)
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="voxloom-")
             spark.conf.set("voxloom.shared.dir", named)
-    return named.rstrip("/")
+    return qualified(spark, named).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as the cluster's settings complete it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -57,15 +66,51 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Hadoop's names of file systems that pyarrow calls otherwise.
+_ARROW = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
-    """A pyarrow filesystem and the path in it, for files that Spark's writers cannot make."""
+    """A pyarrow filesystem and the path in it, for files that Spark's writers cannot make.
+
+    The path must name its file system (see :func:`qualified`): what no scheme tells could
+    be another disk on every executor. Schemes that pyarrow lacks raise.
+    """
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"the path names no file system: {uri}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if not rest.startswith("//"):
+        raise ValueError(f"the path names no host or bucket: {uri}")
+    return fs.FileSystem.from_uri(f"{_ARROW.get(scheme, scheme)}:{rest}")
+
+
+def replace_file(fs, path: str, fill) -> None:
+    """Write a file under a temporary name, then move it to its own: tasks may run again."""
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as out:
+        fill(out)
+    fs.move(part, path)
+
+
+#: A key is hot if it takes this part of all rows or more; so at most this many keys are hot.
+HOT = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, one row a key, whose column ``n`` counts the key's rows in ``left``.
+
+    Rows of hot keys, of which there are ``HOT`` at most, meet a broadcast and stay where
+    they are; the others are shuffled by the key. ``how`` is inner or left.
+    """
+    is_hot = F.col(n) * HOT >= F.lit(total)
+    hot = F.broadcast(right.where(is_hot))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(~is_hot), key, how)
+    return left.join(hot, key).unionByName(rest)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -123,3 +168,11 @@ def schema_with(df: DataFrame, **added: str):
 
     kept = [f for f in df.schema.fields if f.name not in added]
     return StructType(kept + [StructField(k, _parse_datatype_string(v), True) for k, v in added.items()])
+
+
+def apart(df: DataFrame, used: list[str]):
+    """``df`` with every column but the ``used`` ones under a name nobody has, and a function
+    that takes a frame with those columns back to all columns of ``df`` and those named more."""
+    names = {c: c if c in used else f"_own{k}_{uuid.uuid4().hex[:8]}" for k, c in enumerate(df.columns)}
+    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return own, lambda d, *more: d.select(*(F.col(n).alias(c) for c, n in names.items()), *more)
