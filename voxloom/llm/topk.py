@@ -8,11 +8,16 @@ freely. Where two blocks meet, each query row goes through its non-zero terms on
 and scatters weight times posting weight into a dense array of scores; the best k come
 from a partition selection, exact at ties, and the per-block results are merged.
 
-Defined cases: vectors that are null, hold a null or a non-finite component, have a
-component whose weight does not fit 31 bits, or a null id take no part; vectors of
-different lengths are compared over the terms both hold; an empty vector scores 0; rows
-with the query's own id are never its candidates; of repeated query ids the smallest
-vector counts; repeated candidates are candidates each; ties go to the smaller id.
+Weights and scores are longs. Where the greatest products of two blocks could leave a
+long's range, they are summed up as whole numbers of any size and then put to the nearest
+long, so nothing wraps around.
+
+Defined cases: vectors that are null, hold a null or a non-finite component, or have a null
+id take no part; weights beyond a long are the nearest long; vectors of different lengths
+are compared over the terms both hold; an empty vector scores 0; a row is never its own
+candidate, but other rows of its id are; repeated query rows are queries each, repeated
+candidates candidates each; ties go to the smaller id; empty tables give no rows; columns
+other than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,23 +26,28 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK = 4096
 QUERY_BLOCK = 1024
 
 
 def quantised(rows: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, embedding) to (vec_id, w array<int>), w = floor(scale * x); unfit rows go."""
+    """(vec_id, embedding) to (vec_id, w array<long>, row), w = floor(scale * x); unfit rows go.
+
+    ``row`` tells rows apart; the table is written, so that it stays as it is.
+    """
     w = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)))
-    fit = lambda x: x.isNotNull() & (F.abs(x.cast("double") * F.lit(scale)) < F.lit(2.0**31))  # noqa: E731  nan is above all numbers
+    fit = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))  # noqa: E731  nan is above all numbers
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fit)
-    return rows.where(ok).select("vec_id", w.cast("array<int>").alias("w"))
+    return written(rows.where(ok).select("vec_id", w.cast("array<long>").alias("w"), F.monotonically_increasing_id().alias("row")), "vectors")
 
 
 def _postings(key, pdf):
     """One block as an inverted index: postings of all terms, in the order of terms."""
     import pandas as pd
 
-    pdf = pdf.sort_values("vec_id", kind="stable")
+    pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
     lengths = pdf["w"].str.len().to_numpy()
     flat = np.concatenate([np.asarray(x, np.int64) for x in pdf["w"]]) if len(pdf) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(pdf)), lengths)
@@ -46,17 +56,18 @@ def _postings(key, pdf):
     order = np.argsort(term[held], kind="stable")
     pack = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
     ends = np.cumsum(np.bincount(term[held])) if held.any() else np.zeros(0)
-    return pd.DataFrame({"block": [int(key[0])], "ids": [pack(pdf["vec_id"], "<i8")], "ends": [pack(ends, "<i8")], "rows": [pack(row[held][order], "<i4")], "weights": [pack(flat[held][order], "<i4")]})
+    return pd.DataFrame({"block": [int(key[0])], "ids": [pack(pdf["vec_id"], "<i8")], "own": [pack(pdf["row"], "<i8")], "ends": [pack(ends, "<i8")], "rows": [pack(row[held][order], "<i4")], "weights": [pack(flat[held][order], "<i8")]})
 
 
-INDEX = "block int, ids binary, ends binary, rows binary, weights binary"
+PARTS = {"ids": "<i8", "own": "<i8", "ends": "<i8", "rows": "<i4", "weights": "<i8"}
+INDEX = "block int, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
 def index(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
     """Blocks of about ``block`` rows each, and how many there are."""
     n = rows.count()
     blocks = max(1, -(-n // block))
-    cut = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "w"), F.lit(blocks)).cast("int"))
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     return cut.groupBy("block").applyInPandas(_postings, INDEX), blocks
 
 
@@ -71,22 +82,27 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
+def _greatest(weights: np.ndarray) -> int:
+    return max(int(weights.max()), -int(weights.min())) if len(weights) else 0
+
+
 def _meet(k: int):
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                ids, ends, rows, weights = (np.frombuffer(x, t) for x, t in ((r.ids, "<i8"), (r.ends, "<i8"), (r.rows, "<i4"), (r.weights, "<i4")))
-                weights = weights.astype(np.int64)
-                q_ids, q_ends, q_rows, q_weights = (np.frombuffer(x, t) for x, t in ((r.q_ids, "<i8"), (r.q_ends, "<i8"), (r.q_rows, "<i4"), (r.q_weights, "<i4")))
+                ids, own, ends, rows, weights = (np.frombuffer(getattr(r, p), t) for p, t in PARTS.items())
+                q_ids, q_own, q_ends, q_rows, q_weights = (np.frombuffer(getattr(r, f"q_{p}"), t) for p, t in PARTS.items())
                 q_terms = np.searchsorted(q_ends, np.arange(len(q_rows)), side="right")
                 by_row = np.argsort(q_rows, kind="stable")
                 cuts = np.searchsorted(q_rows[by_row], np.arange(len(q_ids) + 1))
                 starts = np.concatenate([[0], ends])
+                fits = _greatest(weights) * _greatest(q_weights) * max(len(ends), 1) < 1 << 63
+                weights = weights if fits else weights.astype(object)
                 out = []
                 for q in range(len(q_ids)):
-                    scores = np.zeros(len(ids), np.int64)
+                    scores = np.zeros(len(ids), np.int64 if fits else object)
                     for p in by_row[cuts[q] : cuts[q + 1]]:
                         t = q_terms[p]
                         if t >= len(ends):
@@ -96,9 +112,11 @@ def _meet(k: int):
                             scores += weights[a:b] * int(q_weights[p])
                         else:
                             scores[rows[a:b]] += weights[a:b] * int(q_weights[p])
-                    own = np.flatnonzero(ids != q_ids[q])
-                    at = own[best(scores[own], ids[own], k)]
-                    out.append(pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[at], "score": scores[at]}))
+                    if not fits:
+                        scores = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
+                    others = np.flatnonzero(own != q_own[q])
+                    at = others[best(scores[others], ids[others], k)]
+                    out.append(pd.DataFrame({"query_id": q_ids[q], "query_row": q_own[q], "vec_id": ids[at], "score": scores[at]}))
                 if out:
                     yield pd.concat(out)
 
@@ -106,11 +124,10 @@ def _meet(k: int):
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(vec_id, w) rows against (vec_id, w) rows: query_id, rank from 1, vec_id, score."""
-    queries = queries.groupBy("vec_id").agg(F.min("w").alias("w"))
+    """(vec_id, w, row) rows against (vec_id, w, row) rows: query_id, rank from 1, vec_id, score."""
     q, _ = index(queries, QUERY_BLOCK)
     c, blocks = index(candidates, BLOCK)
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *(F.col(x).alias(f"q_{x}") for x in ("ids", "ends", "rows", "weights")))
-    found = c.join(q, "block").mapInPandas(_meet(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *(F.col(x).alias(f"q_{x}") for x in PARTS))
+    found = c.join(q, "block").mapInPandas(_meet(k), "query_id long, query_row long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
