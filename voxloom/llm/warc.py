@@ -5,14 +5,17 @@
 own and writes a sidecar index of offsets beside the archive. ``read`` seeks each record
 by the index. Payloads seen before are written as revisit records.
 
-Bytes pass through in pieces of bounded size; only one record's header is held at once
-when normalising. Archives are written under a temporary name and renamed, so a task that
+Normalising passes bytes through in pieces of bounded size and holds one record's header;
+writing and reading hold one record's payload at a time. A payload that very many pages
+share is not gathered: its pages learn of the first one by a broadcast of at most ``HOT``
+digests. Archives are written under a temporary name and renamed, so a task that
 runs again after an executor is lost replaces its archive by an equal one. Archives live
 in the shared folder.
 
 Defined cases: a null payload is empty; an empty table gives no archives and no rows;
 payloads under ``LEAST`` bytes are never revisits; rows that repeat the first page_id of a
-payload are responses too; null page ids are kept, but never referred to.
+payload are responses too; null page ids are kept, but never referred to; columns other
+than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from typing import BinaryIO, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, written
+from .common import drop_written, filesystem, join_skewed, new_path, qualified, replace_file, written
 
 LEAST = 100
 PIECE = 1 << 16
@@ -41,9 +44,9 @@ def decided(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     d = pages.select("page_id", "url", payload.alias("payload"))
     d = d.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    seen = d.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    out = d.join(seen, "payload_digest", "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    seen = d.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    out = join_skewed(d, seen, "payload_digest", "n", pages.count(), "left")
+    return out.drop("n").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -123,20 +126,9 @@ def normalise_stream(source: BinaryIO, sink: BinaryIO) -> Iterator[tuple[int, in
         yield start, at - start, fields
 
 
-def _replace(fs, path: str, write):
-    """Write a file under a temporary name, then move it to its own."""
-    import os
-    import uuid
-
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
-        write(out)
-    fs.move(part, path)
-
-
 def write(rows: DataFrame, folder: str) -> DataFrame:
     """Write decided rows to archives under ``folder``, one gzip stream each; their names."""
+    folder = qualified(rows.sparkSession, folder)
 
     def run(frames):
         import pandas as pd
@@ -155,7 +147,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
                     n += 1
             out.write(z.flush())
 
-        _replace(fs, f"{base}/{name}", fill)
+        replace_file(fs, f"{base}/{name}", fill)
         yield pd.DataFrame({"archive": [name], "records": [n]})
 
     ids = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "payload_digest", F.col("refers_to").cast("string").alias("refers_to"))
@@ -164,6 +156,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise each named archive of ``folder``: archive, sidecar, records."""
+    folder = qualified(archives.sparkSession, folder)
 
     def run(frames):
         import pandas as pd
@@ -180,8 +173,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         for offset, length, fields in normalise_stream(source, out):
                             lines.append({"offset": offset, "length": length, "type": fields.get("warc-type"), "id": fields.get("warc-record-id")})
 
-                _replace(fs, f"{base}/{own}", fill)
-                _replace(fs, f"{base}/{own}.idx", lambda out, lines=lines: out.write("".join(json.dumps(x) + "\n" for x in lines).encode()))
+                replace_file(fs, f"{base}/{own}", fill)
+                replace_file(fs, f"{base}/{own}.idx", lambda out, lines=lines: out.write("".join(json.dumps(x) + "\n" for x in lines).encode()))
                 yield pd.DataFrame({"archive": [own], "sidecar": [own + ".idx"], "records": [len(lines)]})
 
     return archives.mapInPandas(run, "archive string, sidecar string, records long")
@@ -189,6 +182,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
     """All records of the named archives, found through their sidecars."""
+    folder = qualified(archives.sparkSession, folder)
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, block_digest string"
 
     def run(frames):
