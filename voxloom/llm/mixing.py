@@ -17,8 +17,9 @@ times, always whole, and reruns agree.
 
 Defined cases: null text has size 0; null source is a source of its own, last in the
 order; null ids hash as the empty string; an empty table gives no rows; repeated rows are
-taken as documents of their own, all or none of one id; when all sizes are 0 every
-target is 0.
+taken as documents of their own, all or none of one id, so a source that is mostly one id
+comes near its target only by that id's size; when all sizes are 0 every target is 0;
+columns of any name pass through, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 BINS = 4096
 #: Fixed by the contract: weights repeat over the ordered sources.
@@ -70,7 +71,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 20
     made on (source, hash, size) only and come down to one row per source, so whatever else
     the rows carry is joined once.
     """
-    keep = [c for c in docs.columns if c not in ("source_size", "target", "repeats", "taken")]
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "repeats", "taken")))
+    own, back = apart(kept, ["doc_id", "source", "size"])
     narrow = written(docs.select("source", "size", draw(F.col("doc_id"), seed).alias("d")), "mix")
     bins = narrow.groupBy("source", bin_of(F.col("d")).alias("bin")).agg(F.sum("size").alias("bin_size"))
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
@@ -93,10 +95,9 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 20
     full = filled.where(F.col("room") >= F.col("bin_size")).groupBy("source").agg(F.max("bin").alias("full"))
     rules = written(
         per_source.alias("s").join(last.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left").join(full.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left")
-        .select(F.col("s.source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), "whole", "last", F.coalesce("full", F.lit(-1)).alias("full")),
+        .select(F.col("s.source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("last").alias("_last"), F.coalesce("full", F.lit(-1)).alias("_full")),
         "mix-rules",
     )
-    d = docs.select(*keep).withColumn("_draw", draw(F.col("doc_id"), seed))
-    j = d.join(rules, F.col("source").eqNullSafe(F.col("_source")))
-    more = ((bin_of(F.col("_draw")) <= F.col("full")) | F.coalesce(F.col("_draw") <= F.col("last"), F.lit(False))).cast("long")
-    return j.select(*keep, F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("whole") + more).alias("repeats"), (F.col("size") * (F.col("whole") + more)).alias("taken"))
+    j = own.withColumn("_draw", draw(F.col("doc_id"), seed)).join(rules, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.col("_whole") + ((bin_of(F.col("_draw")) <= F.col("_full")) | F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False))).cast("long")
+    return back(j, F.col("_size").alias("source_size"), F.col("_target").alias("target"), times.alias("repeats"), (F.col("size") * times).alias("taken"))
