@@ -18,33 +18,39 @@ the piece, and half a passage more: the share of the question's word n-grams and
 the answer's words found there must be high. An item's answer is what follows "Answer:",
 or its last sentence.
 
-The index is cut into shards of at most ``SHARD_TERMS`` postings; the documents are read
-once a shard, so what is sent to the executors is bounded. BM25's statistics are those of
-all pieces.
+The index is cut into shards of about ``SHARD_TERMS`` postings. A shard is made in one task
+and written as a file in the shared folder; nothing of the index comes to the driver. The
+documents are read once: a worker keeps up to ``LOADED`` shards in memory, and where there
+are more, it takes shard after shard over ``HELD`` bytes of text at a time. BM25's
+statistics are those of all pieces.
 
 Defined cases: null or empty texts and items match nothing; an item without two sentences
 is question and answer at once; an item is a different (item_id, text): different texts of
 one id, one text of several ids and texts without an id are matched each; rows without
-doc_id are handled like others; an empty benchmark leaves all documents clean.
+doc_id are handled like others; an empty benchmark leaves all documents clean; texts are
+read whole, about 60 bytes of memory a word; columns of any name pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, written
+from .common import byte_rows, drop_written, filesystem, new_path, replace_file, written
 from .minhash import mixed, word_hashes
 
 PASSAGE = 128
 THRESHOLD = 0.5
 K1, B = 1.2, 0.75
 BLOCKS = 64
-SHARD_TERMS = 2_000_000
+SHARD_TERMS = 500_000
+LOADED, HELD = 2, 1 << 25
 QUESTION, ANSWER, QUESTION_ALONE = 0.5, 0.5, 0.8
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -110,26 +116,57 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names)
 
 
-def build(benchmark: DataFrame):
-    """The shards of the index, one after another."""
+@dataclass(frozen=True)
+class Shards:
+    """The index's files."""
+
+    folder: str
+    numbers: list[int]
+
+    def load(self, k: int) -> Index:
+        fs, base = filesystem(self.folder)
+        with fs.open_input_stream(f"{base}/index-{k:05d}", compression=None) as f:
+            texts, rows, ids = pickle.loads(f.read())
+        return _shard(texts, rows, ids)
+
+
+def build(benchmark: DataFrame) -> Shards:
+    """The shards of the index, each made in a task of its own."""
+    folder = new_path(benchmark.sparkSession, "bm25-index")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates()
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "bm25")
     tokens = written(items.select("item", "text").mapInArrow(_tokens, "item long, piece long, term long, tf long, n long"), "bm25")
     postings = tokens.count()
     if not postings:
-        return
+        return Shards(folder, [])
     count, mean = tokens.groupBy("item", "piece").agg(F.max("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    weights = written(tokens.join(df, "term").select("item", "piece", "term", (idf * tf).alias("w")), "bm25")
+    weights = tokens.join(df, "term").select("item", "piece", "term", (idf * tf).alias("w"))
     shards = -(-postings // SHARD_TERMS)
-    for k in range(shards):
-        mine = lambda d: d.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)  # noqa: B023,E731
-        got = mine(items).collect()
-        rows = mine(weights).select(F.col("item").alias("item_id"), "piece", "term", "w").collect()
-        if rows:
-            yield _shard({r["item"]: [r["text"]] for r in got}, rows, {r["item"]: r["item_id"] for r in got})
+    cut = lambda d: d.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("shard")
+
+    def make(key, own, rows):
+        import pandas as pd
+
+        k, fs = int(key[0]), filesystem(folder)
+        if not len(rows):  # items without a word
+            return pd.DataFrame({"shard": [], "postings": []})
+        texts = dict(zip(own["item"].tolist(), ([t] for t in own["text"])))
+        ids = {i: None if x is None or x != x else int(x) for i, x in zip(own["item"].tolist(), own["item_id"])}
+        columns = rows.sort_values(["item", "piece", "term"])
+        raw = pickle.dumps((texts, {c: columns[c].to_numpy() for c in ("item", "piece", "term", "w")}, ids))
+        replace_file(fs[0], f"{fs[1]}/index-{k:05d}", lambda out: out.write(raw))
+        return pd.DataFrame({"shard": [k], "postings": [len(rows)]})
+
+    # ids beyond a double's whole numbers would be changed in a pandas column with nulls
+    own = items.select("item", "text", F.col("item_id").cast("string").alias("item_id"))
+    made = written(cut(own).cogroup(cut(weights)).applyInPandas(make, "shard int, postings long"), "bm25")
+    numbers = sorted(r["shard"] for r in made.select("shard").collect())  # a number for each SHARD_TERMS postings
+    for t in (made, tokens, items):
+        drop_written(t)
+    return Shards(folder, numbers)
 
 
 def _parts(text: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -141,14 +178,14 @@ def _parts(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     return n, np.unique(n_grams(wq, n)), np.unique(wa)
 
 
-def _shard(texts: dict, rows: list, ids: dict | None = None) -> Index:
-    """The index of the pieces in ``rows``; ids: of each item its id, where that is another."""
-    of = [(r["item_id"], r["piece"] if "piece" in r else 0) for r in rows]
+def _shard(texts: dict, rows: dict, ids: dict | None = None) -> Index:
+    """The index of the postings in ``rows``: arrays item, piece, term, w. ids: of each item its id, where that is another."""
+    of = list(zip(rows["item"].tolist(), rows["piece"].tolist()))
     keys = sorted(set(of))
     number = {i: k for k, i in enumerate(keys)}
     at = np.array([number[i] for i in of])
-    term = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
-    w = np.array([r["w"] for r in rows], np.float64)
+    term = np.asarray(rows["term"], np.int64).view(np.uint64)
+    w = np.asarray(rows["w"], np.float64)
     own = np.bincount(at, w, len(keys))
     w = w / own[at]
     order = np.lexsort((at, term))
@@ -271,49 +308,66 @@ def _pieces(batch, size: int = 1 << 21):
         at = end
 
 
+def _searched(batches, shards: Shards):
+    """Each batch with the matches of each of its rows, of all shards."""
+    loaded: OrderedDict[int, Index] = OrderedDict()
+
+    def index(k: int) -> Index:
+        if k not in loaded:
+            while len(loaded) >= LOADED:
+                loaded.popitem(last=False)
+            loaded[k] = shards.load(k)
+        return loaded[k]
+
+    def search(held):
+        found = [[[] for _ in range(b.num_rows)] for b in held]
+        for k in sorted(shards.numbers, key=lambda k: k not in loaded):
+            for b, hits in zip(held, found):
+                for at, rows in _pieces(b):
+                    for i, h in enumerate(_matches(index(k), rows)):
+                        hits[at + i] += h
+        return zip(held, found)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("text").nbytes
+        if len(shards.numbers) <= LOADED or size >= HELD:
+            yield from search(held)
+            held, size = [], 0
+    yield from search(held)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text) rows to doc_id, item_id, score, question_overlap, answer_overlap: one row per leak."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    shards = build(benchmark)
 
-    def search(index):
-        def run(batches):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                got = []
-                for at, rows in _pieces(b):
-                    for i, hits in enumerate(_matches(index, rows)):
-                        best: dict = {}
-                        for h in hits:
-                            best[h[0]] = max(best.get(h[0], h), h, key=lambda x: x[2:])
-                        got += [(ids[at + i], *best[k][1:]) for k in sorted(best)]
-                cols = list(zip(*got)) if got else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        return run
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in build(benchmark):
-        out = out.unionAll(docs.mapInArrow(search(index), schema))
-    return out
+        for b, found in _searched(batches, shards):
+            ids = b.column("doc_id").to_pylist()
+            got = []
+            for doc, hits in zip(ids, found):
+                best: dict = {}
+                for h in hits:
+                    best[h[0]] = max(best.get(h[0], h), h, key=lambda x: x[2:])
+                got += [(doc, *best[k][1:]) for k in sorted(best)]
+            cols = list(zip(*got)) if got else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item; their columns stay as they are."""
+    shards = build(benchmark)
 
-    def search(index):
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                clean = [not hits for _, rows in _pieces(b) for hits in _matches(index, rows)]
-                yield b.filter(pa.array(clean, pa.bool_()))
+    def run(batches):
+        import pyarrow as pa
 
-        return run
+        for b, found in _searched(batches, shards):
+            yield b.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-    for index in build(benchmark):
-        docs = docs.mapInArrow(search(index), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
