@@ -35,7 +35,7 @@ def _state(e: DataFrame):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Links (a, b) to (node, component): the smallest node reachable; linked nodes only."""
+    """Links (a, b) to (node, component), written: the smallest node reachable; linked nodes only."""
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(links, "links")
     before = _state(e)
@@ -48,4 +48,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = written(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "labels")
+    drop_written(e)
+    return out

@@ -13,10 +13,15 @@ blocks of bounded size, first by signature, then, those with a likely partner, o
 full sets. Members of one component never meet. Pairs stay within a block's task; what
 leaves it is one link for each member and component.
 
+What later steps no longer read is deleted from the shared folder as soon as the next
+table stands. Hot buckets are told by their counts and not gathered: a hub's text goes to
+as many tasks as its bucket needs.
+
 Defined cases: a null or blank text has an empty set and is linked with nothing; texts of
 fewer than five words are one shingle; rows without an id are linked with nothing; rows
 that repeat an id count as one document, linked if any of them is; an empty table gives
-no rows.
+no rows; texts are read whole, about 40 bytes of memory a word; columns other than doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, partitions, written
+from .common import byte_rows, drop_written, join_skewed, partitions, written
 from .components import components
 
 SHINGLE = 5
@@ -34,6 +39,8 @@ PERMS = BANDS * ROWS
 #: Least equal minima of a pair that is checked on its full sets: five standard deviations under 0.75.
 LEAST_EQUAL = 71
 BLOCK = 512
+#: Members of a bucket that meet its hub in one task.
+HUB = 1024
 PIECE = 1 << 22
 
 _rng = np.random.default_rng(6)
@@ -53,13 +60,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(buf: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of the bytes, A-Z lower-cased; ``apart`` marks bytes between words."""
-    word = ~apart[buf]
-    edge = np.diff(word.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def word_edges(buf: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes start and end; ``apart`` marks bytes between words."""
+    edge = np.diff((~apart[buf]).view(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_hashes(buf: np.ndarray, apart: np.ndarray = _SPACE, edges: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of the bytes, A-Z lower-cased."""
+    starts, ends = edges or word_edges(buf, apart)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
+    word = ~apart[buf]
     lengths = ends - starts
     chars = _BYTE[_LOWER[buf[word]]]
     first = np.cumsum(lengths) - lengths
@@ -141,7 +153,7 @@ def _likely(batches):
     for b in batches:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PERMS) for c in ("low", "low_b"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
+            yield b.select(["a", "b", "n"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
 
 
 def _exact(least: float):
@@ -164,12 +176,24 @@ def _exact(least: float):
     return run
 
 
+def _with_hubs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b, n) with the columns of ``rows`` for a, and those for b as c_b.
+
+    Every member of a bucket has the bucket's hub for b, so a hub's row goes to as many
+    tasks as its largest bucket, of n members, needs: ``HUB`` members a task.
+    """
+    salts = F.ceil(F.col("n") / HUB).cast("int")
+    hubs = pairs.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
+    hubs = hubs.join(rows.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
+    own = pairs.join(rows.select(F.col("doc_id").alias("a"), *columns), "a").withColumn("s", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    return own.join(hubs, ["b", "s"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets; texts of the pairs' documents only."""
+    """The pairs (a, b, n) that are links on their full sets; texts of the pairs' documents only."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    t = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return t.select("a", "b", "text", "text_b").mapInArrow(_exact(least), "a long, b long")
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    return _with_hubs(pairs, texts, ["text"]).select("a", "b", "text", "text_b").mapInArrow(_exact(least), "a long, b long")
 
 
 GROUP = ["key", "band", "o", "kind", "i"]
@@ -228,9 +252,9 @@ def _linked(least: float):
 
 
 def _between(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Links between components within buckets, beyond those with the hubs."""
+    """Links between components within buckets, beyond those with the hubs; written."""
     m = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("label"))
-    m = written(m, "members")
+    m = m_all = written(m, "members")
     per = m.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_ = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.count("*").alias("labels")).where("labels > 1 and all > 2")
     m = m.join(open_, "key").withColumn("other", F.col("label") != F.col("main"))
@@ -248,34 +272,44 @@ def _between(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataF
     met = met.join(reps.select(F.col("rep").alias("node"), "sig"), "node")
     met = met.repartition(partitions(docs.sparkSession), *GROUP)
     near = written(met.groupBy(*GROUP).applyInPandas(_near, MET), "near")
+    drop_written(m_all)
     texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
-    return near.join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct()
+    links = written(near.join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct(), "links")
+    drop_written(near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """(doc_id, text) rows to doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_sign, SIGNED), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig", "low", "keys")).alias("r"), F.count("*").alias("copies"))
+    full = written(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = written(full.select("doc_id", "n_shingles", "h1", "h2"), "sizes")
+    sets = full.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig", "low", "keys")).alias("r"), F.count("*").alias("copies"))
     reps = written(sets.select("h1", "h2", "copies", "r.rep", "r.sig", "r.low", "r.keys"), "sets")
+    drop_written(full)
 
     bands = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    members = written(bands.join(buckets, "key"), "buckets")
+    members = written(join_skewed(bands, buckets, "key", "n", BANDS * reps.count()), "buckets")
     # only texts that share a bucket move on; always by a merge join, as their ids grow with the corpus
     ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     docs = written(docs.join(ids, "doc_id", "left_semi"), "texts")
-    pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    lows = reps.select("rep", "low")
-    seen = pairs.join(lows.withColumnRenamed("rep", "a"), "a").join(lows.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
-    likely = written(seen.select("a", "b", "low", "low_b").mapInArrow(_likely, "a long, b long"), "likely")
+    pairs = members.where("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
+    seen = _with_hubs(pairs, reps.select(F.col("rep").alias("doc_id"), "low"), ["low"])
+    likely = written(seen.select("a", "b", "n", "low", "low_b").mapInArrow(_likely, "a long, b long, n long"), "likely")
     first = written(_confirmed(likely, docs, least), "links")
-    labels = written(components(first), "labels")
+    drop_written(likely)
+    labels = components(first)
+    drop_written(first)
 
-    second = written(_between(members, labels, reps, docs, least), "links")
+    second = _between(members, labels, reps, docs, least)
+    drop_written(members)
+    drop_written(docs)
     if not second.isEmpty():
-        tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(tree.unionAll(second))
+        tree = labels
+        labels = components(tree.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second))
+        drop_written(tree)
+    drop_written(second)
 
     folded = reps.join(labels, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(folded, ["h1", "h2"], "left")
