@@ -2,24 +2,27 @@
 
 A bidirectional window network predicts every token of a text from ``WINDOW`` tokens on
 either side of it; the sum of the conditional log-probabilities scores the text. Tokens are
-words. The vocabulary holds the most frequent words of the whole corpus, ``KNOWN`` times
-the least whole number that makes them as many as the square root of the count of tokens;
-words beyond it fall into hashed classes of rare words, a third as many, so every token is
-predicted.
+words. The vocabulary has a place for each of the most frequent words of the whole corpus,
+and it grows with the corpus: with the fourth root of the count of tokens, ``KNOWN`` words at
+least. Other words fall into classes by a hash of their last ``SUFFIX`` bytes, a third as
+many, so every token is predicted and a rare word still tells its language and form.
 
 The network embeds the 2 * ``WINDOW`` neighbours, joins them in one hidden layer and
-predicts in two steps, the class of the word and the word within its class, so a token costs
-two short softmaxes instead of one over the vocabulary.
-
-Training is data-parallel and covers every position of every document in each round: the
-examples are made from the texts as they are read and are not written. In each round every
-partition goes on from the same weights over its own examples, and the results are averaged
-in two levels, weighted by their examples. Only one set of weights, which grows with the
-vocabulary, comes to the driver a round.
-
-Defined cases: null and empty texts have no tokens, log-probability 0 and a null mean;
-texts are read whole in pieces; an empty corpus trains nothing and scores nothing; repeated
-rows get equal results.
+predicts in two steps, the class of the word and the word within its class; there are as many
+classes as words in one, so a token costs two short softmaxes.
+
+Every text is encoded once; ids are kept in a table in the shared folder. Training covers
+every position of every document: it starts with the first ``WARM`` tokens of one shard, in
+one task, then every shard goes on from there over its own tokens, and the results are
+averaged, weighted by tokens, in two levels. Shards are made by a hash of (doc_id, text) and
+read in the order of that hash, and their count comes from the count of tokens, so the model
+does not depend on how the input is partitioned, but for the rounding of sums. Steps are
+Adagrad's. One set of weights, which grows with the vocabulary, comes to the driver twice.
+
+Defined cases: null and empty texts have no tokens, log-probability 0 and a null mean; texts
+of any length are read whole, windows are made in pieces of ``PIECE`` tokens (a text's ids
+take two to eight bytes a token); an empty corpus trains nothing and scores nothing;
+repeated rows get equal results; columns of any name pass through :func:`score`.
 """
 
 from __future__ import annotations
@@ -30,108 +33,153 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, drop_written, schema_with, with_columns, written
-from .minhash import word_hashes
+from .common import byte_rows, drop_written, partitions, schema_with, with_columns, written
+from .minhash import mixed, word_edges, word_hashes
 
 WINDOW = 2
-CLASSES, MEMBERS = 64, 64
-KNOWN = 3072  # at least; in proportion to the members otherwise
-EDGE = CLASSES * MEMBERS - 1  # stands outside the text
-EMBED, HIDDEN = 16, 32
-ROUNDS, BATCH, RATE = 2, 512, 0.5
-PIECE = 1 << 14
+KNOWN = 3072
+SUFFIX = 3
+EMBED, HIDDEN = 8, 16
+BATCH, RATE = 4096, 0.2
+PIECE = 1 << 15
+WARM = 1 << 20
+SHARD = 1 << 22  # tokens; 16 for each weight, if these are more
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    most = z.max(axis=1)
-    return most + np.log(np.exp(z - most[:, None]).sum(axis=1))
+def side_of(tokens: int) -> int:
+    """How many classes there are, and places in each, for a corpus of so many tokens."""
+    known = max(KNOWN, 64 * int(tokens**0.25))
+    return -(-int(np.ceil((known * 4 / 3) ** 0.5)) // 8) * 8
+
+
+def _tally(cls: np.ndarray, side: int) -> list[int]:
+    return np.searchsorted(cls, np.arange(side + 1)).tolist()
 
 
 @dataclass
 class Net:
-    emb: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    wc: np.ndarray
-    bc: np.ndarray
-    wm: np.ndarray
-    bm: np.ndarray
+    """Weights, and Adagrad's sums of squares of each."""
+
+    side: int
+    weights: list[np.ndarray]
+    squares: list[np.ndarray]
 
     @staticmethod
-    def new(seed: int = 7, members: int = MEMBERS) -> "Net":
-        r = np.random.default_rng(seed)
-        n = lambda *s: r.standard_normal(s).astype(np.float32)
-        z = lambda *s: np.zeros(s, np.float32)
-        d = 2 * WINDOW * EMBED
-        return Net(n(CLASSES * members, EMBED) * 0.3, n(d, HIDDEN) / d**0.5, z(HIDDEN), n(HIDDEN, CLASSES) * 0.05, z(CLASSES), n(CLASSES, HIDDEN, members) * 0.05, z(CLASSES, members))
+    def shapes(side: int) -> list[tuple[int, ...]]:
+        """Embeddings; hidden layer and its bias; classes and bias; words of a class and bias."""
+        return [(side * side, EMBED), (2 * WINDOW * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, side), (side,), (side, HIDDEN, side), (side, side)]
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.emb, self.w1, self.b1, self.wc, self.bc, self.wm, self.bm]
+    @staticmethod
+    def new(side: int, seed: int = 7) -> "Net":
+        r = np.random.default_rng(seed)
+        scales = [0.3, (2 * WINDOW * EMBED) ** -0.5, 0, 0.05, 0, 0.05, 0]
+        shapes = Net.shapes(side)
+        return Net(side, [(r.standard_normal(s) * k).astype(np.float32) for s, k in zip(shapes, scales)], [np.full(s, 1e-6, np.float32) for s in shapes])
 
-    @property
-    def members(self) -> int:
-        return self.bm.shape[1]
+    def start_at(self, tokens: np.ndarray) -> None:
+        """The biases of word frequencies."""
+        n = (np.bincount(tokens, minlength=self.side**2) + 0.5).reshape(self.side, self.side)
+        self.weights[4][:] = np.log(n.sum(1) / n.sum())
+        self.weights[6][:] = np.log(n / n.sum(1, keepdims=True))
 
     def pack(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float32).tobytes()
+        return np.concatenate([p.ravel() for p in self.weights + self.squares]).tobytes()
 
     @staticmethod
-    def unpack(raw: bytes) -> "Net":
+    def unpack(raw: bytes, side: int) -> "Net":
         flat, out, at = np.frombuffer(raw, np.float32), [], 0
-        fixed = (2 * WINDOW * EMBED + 1) * HIDDEN + (HIDDEN + 1) * CLASSES
-        for p in Net.new(members=(flat.size - fixed) // (CLASSES * (EMBED + HIDDEN + 1))).parts():
-            out.append(flat[at : at + p.size].reshape(p.shape).copy())
-            at += p.size
-        return Net(*out)
-
-    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.emb[around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.w1 + self.b1)
+        for s in Net.shapes(side) * 2:
+            n = int(np.prod(s))
+            out.append(flat[at : at + n].reshape(s).copy())
+            at += n
+        return Net(side, out[:7], out[7:])
+
+    def _hidden(self, around: np.ndarray):
+        x = self.weights[0].take(around.ravel(), axis=0).reshape(len(around), -1)
+        z = x @ self.weights[1]
+        z += self.weights[2]
+        scale = 1 + np.abs(z)
+        return x, z / scale, scale  # softsign
+
+    def _members(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
+        z = np.empty((len(h), self.side), np.float32)
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                np.matmul(h[a:b], self.weights[5][c], out=z[a:b])
+                z[a:b] += self.weights[6][c]
+        return z
 
     def log_probs(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The log-probability of each token given its neighbours."""
-        h = self.hidden(around)[1]
-        cls, member = token // self.members, token % self.members
-        z = h @ self.wc + self.bc
-        out = z[np.arange(len(z)), cls] - _log_sum(z)
+        n, ones = np.arange(len(token)), np.ones(self.side, np.float32)
+        cls = (token // self.side).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            z = h[at] @ self.wm[c] + self.bm[c]
-            out[at] += z[np.arange(len(z)), member[at]] - _log_sum(z)
+        cls, member = cls[order], (token % self.side)[order]
+        _, h, _ = self._hidden(around[order])
+        out = np.empty(len(token))
+        z = h @ self.weights[3]
+        z += self.weights[4]
+        z -= z.max(axis=1, keepdims=True)
+        lp = z[n, cls].astype(np.float64)
+        lp -= np.log(np.exp(z, out=z) @ ones)
+        z = self._members(h, _tally(cls, self.side))
+        z -= z.max(axis=1, keepdims=True)
+        lp += z[n, member]
+        lp -= np.log(np.exp(z, out=z) @ ones)
+        out[order] = lp
         return out
 
     def step(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
-        """One step of gradient descent over a batch; gradients are clipped."""
-        n = len(token)
-        x, h = self.hidden(around)
-        cls, member = token // self.members, token % self.members
-        z = h @ self.wc + self.bc
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), cls] -= 1
-        dh = p @ self.wc.T
-        gwc, gbc = h.T @ p / n, p.sum(0) / n
+        """One step of descent over a batch. Softmax rows are kept unscaled; what they meet is scaled instead."""
+        emb, w1, _, wc, bc, wm, _ = self.weights
+        n, ones = np.arange(len(token)), np.ones(self.side, np.float32)
+        cls = (token // self.side).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[c] : cuts[c + 1]]
-            z = h[at] @ self.wm[c] + self.bm[c]
-            q = np.exp(z - z.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), member[at]] -= 1
-            dh[at] += q @ self.wm[c].T
-            # a class sees few of the batch; its step is scaled by its own share
-            self.wm[c] -= rate * (h[at].T @ q) / max(len(at), 8)
-            self.bm[c] -= rate * q.sum(0) / max(len(at), 8)
-        self.wc -= rate * gwc
-        self.bc -= rate * gbc
-        dz = dh * (1 - h * h)
-        dx = (dz @ self.w1.T).reshape(n, 2 * WINDOW, EMBED)
-        self.w1 -= rate * np.clip(x.T @ dz / n, -1, 1)
-        self.b1 -= rate * np.clip(dz.sum(0) / n, -1, 1)
-        np.subtract.at(self.emb, around.ravel(), np.clip(rate * dx.reshape(-1, EMBED) / 16, -0.1, 0.1))
+        cls, member, around = cls[order], (token % self.side)[order], around[order]
+        cuts = _tally(cls, self.side)
+        x, h, scale = self._hidden(around)
+
+        z = h @ wc
+        z += bc
+        z -= z.max(axis=1, keepdims=True)
+        total = np.exp(z, out=z) @ ones
+        z[n, cls] -= total
+        one = 1 / total
+        g_wc, g_bc = (h * one[:, None]).T @ z, one @ z
+        dh = z @ wc.T
+        dh *= one[:, None]
+
+        z = self._members(h, cuts)
+        z -= z.max(axis=1, keepdims=True)
+        total = np.exp(z, out=z) @ ones
+        z[n, member] -= total
+        one = 1 / total
+        scaled, back = h * one[:, None], np.empty_like(h)
+        g_wm, g_bm = np.zeros_like(wm), np.zeros_like(self.weights[6])
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                np.matmul(z[a:b], wm[c].T, out=back[a:b])
+                np.matmul(scaled[a:b].T, z[a:b], out=g_wm[c])
+                np.matmul(one[a:b], z[a:b], out=g_bm[c])
+        back *= one[:, None]
+        dh += back
+
+        dh /= scale * scale
+        dx = (dh @ w1.T).reshape(-1, EMBED)
+        flat = around.ravel()
+        by = np.argsort(flat, kind="stable")
+        ordered = flat[by]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        g = np.add.reduceat(dx.take(by, axis=0), heads, axis=0)
+        at = ordered[heads]
+        squares = self.squares[0][at] + g * g
+        self.squares[0][at] = squares
+        emb[at] -= np.float32(rate) * g / np.sqrt(squares)
+        for w, s, g in zip(self.weights[1:], self.squares[1:], (x.T @ dh, dh.sum(0), g_wc, g_bc, g_wm, g_bm)):
+            s += g * g
+            g /= np.sqrt(s)
+            g *= np.float32(rate)
+            w -= g
 
 
 @dataclass(frozen=True)
@@ -140,19 +188,27 @@ class Words:
 
     hashes: np.ndarray
     tokens: np.ndarray
-    members: int = MEMBERS
+    side: int
 
-    def of(self, raw: np.ndarray) -> np.ndarray:
-        h = word_hashes(raw)[0]
-        known = KNOWN * self.members // MEMBERS
-        rare = known + (h % np.uint64(CLASSES * self.members - 1 - known)).astype(np.int64)
-        if not len(self.hashes):
-            return rare
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.tokens[at], rare)
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.side**2 <= 1 << 16 else "<u4"
 
-    def placed(self, raw: np.ndarray) -> np.ndarray:
-        return spread(self.of(raw), self.members)
+    def of(self, raw: np.ndarray) -> np.ndarray:
+        """The place of every word of a text. Class is the remainder of a token's number, so classes are of like weight."""
+        starts, ends = edges = word_edges(raw)
+        h, _ = word_hashes(raw, edges=edges)
+        known = self.side**2 * 3 // 4
+        tail, size = np.zeros(len(h), np.uint64), ends - starts
+        for k in range(1, SUFFIX + 1):
+            b = raw[np.maximum(ends - k, 0)].astype(np.uint64)
+            b += ((b >= 65) & (b <= 90)).astype(np.uint64) * np.uint64(32)
+            tail |= np.where(size >= k, b << np.uint64(8 * (k - 1)), np.uint64(0))
+        token = known + (mixed(tail) % np.uint64(self.side**2 - 1 - known)).astype(np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            token = np.where(self.hashes[at] == h, self.tokens[at], token)
+        return ((token % self.side) * self.side + token // self.side).astype(self.kind)
 
 
 def vocabulary(docs: DataFrame) -> Words:
@@ -170,9 +226,9 @@ def vocabulary(docs: DataFrame) -> Words:
         for b in batches:
             for raw in byte_rows(b.column("text")):
                 if raw is not None and len(raw):
-                    h, c = np.unique(word_hashes(raw)[0], return_counts=True)
+                    h = word_hashes(raw)[0]
                     held.append(h)
-                    weights.append(c)
+                    weights.append(np.ones(len(h)))
                     n += len(h)
                     if n > 1 << 20:
                         h, c = merged()
@@ -185,117 +241,170 @@ def vocabulary(docs: DataFrame) -> Words:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
 
     counts = written(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    times = max(1, -(-int((counts.agg(F.sum("n")).first()[0] or 0) ** 0.5) // KNOWN))
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN * times).collect()
+    side = side_of(counts.agg(F.sum("n")).first()[0] or 0)
+    top = counts.orderBy(F.desc("n"), "word").limit(side**2 * 3 // 4).collect()
     drop_written(counts)
     h = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
-    # neighbours in frequency go to different classes, so that classes are of like weight
-    rank = np.arange(len(h))
-    return Words(h[order], rank[order], MEMBERS * times)
+    return Words(h[order], np.arange(len(h))[order], side)
 
 
-def spread(token: np.ndarray, members: int = MEMBERS) -> np.ndarray:
-    """Token number to its place: the class is the remainder, the member the quotient."""
-    return (token % CLASSES) * members + token // CLASSES
+def encoded(docs: DataFrame, words: Words) -> DataFrame:
+    """(doc_id, text) to doc_id, h (of id and text), n, ids; written."""
+    known = docs.sparkSession.sparkContext.broadcast(words)  # grows with the fourth root of the corpus
 
+    def run(batches):
+        import pyarrow as pa
 
-def _windows(t: np.ndarray, edge: int = EDGE) -> np.ndarray:
-    """The neighbours of every token."""
-    padded = np.concatenate([np.full(WINDOW, edge), t, np.full(WINDOW, edge)])
-    return np.stack([padded[k : k + len(t)] for k in range(2 * WINDOW + 1) if k != WINDOW], axis=1)
+        for b in batches:
+            ids = [known.value.of(raw) if raw is not None and len(raw) else np.zeros(0, known.value.kind) for raw in byte_rows(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "h", "n", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    return written(rows.mapInArrow(run, "doc_id long, h long, n long, ids binary"), "lm-ids")
+
+
+def windows(rows, edge: int):
+    """(number, ids) rows to pieces of about PIECE tokens: neighbours, tokens and numbers.
+
+    Tokens of different rows do not meet: ``edge`` stands outside every text.
+    """
+    held, size = [], 0
+
+    def piece():
+        sizes = np.array([len(o) for _, _, o, _ in held])
+        flat = np.concatenate([p for _, *parts in held for p in parts]).astype(np.int32)
+        at = np.arange(sizes.sum()) + np.repeat(WINDOW * (2 * np.arange(len(held)) + 1), sizes)
+        around = np.stack([flat[at + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1)
+        return around, flat[at], np.repeat([i for i, *_ in held], sizes)
+
+    out = np.full(WINDOW, edge)
+    for i, ids in rows:
+        for a in range(0, len(ids), PIECE):
+            own = ids[a : a + PIECE]
+            left, right = ids[max(0, a - WINDOW) : a], ids[a + PIECE : a + PIECE + WINDOW]
+            held.append((i, np.concatenate([out[len(left) :], left]), own, np.concatenate([right, out[len(right) :]])))
+            size += len(own)
+            if size >= PIECE:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
+
+
+def _learn(net: Net, rows) -> int:
+    """Steps over all positions of the rows, in pieces whose order is drawn; how many tokens."""
+    total = 0
+    for around, token, _ in windows(rows, net.side**2 - 1):
+        order = np.random.default_rng(len(token)).permutation(len(token))
+        around, token = around[order], token[order]
+        for at in range(0, len(token), BATCH):
+            net.step(around[at : at + BATCH], token[at : at + BATCH], RATE)
+        total += len(token)
+    return total
+
+
+def _ids(batches, kind: str):
+    for b in batches:
+        for s, raw in zip(b.column("shard").to_pylist(), byte_rows(b.column("ids"))):
+            yield s, raw.view(kind)
+
+
+def train(ids: DataFrame, words: Words, warm: int = WARM) -> Net:
+    """A network over all rows of :func:`encoded`."""
+    spark, side, kind = ids.sparkSession, words.side, words.kind
+    net = Net.new(side)
+    weights = sum(p.size for p in net.weights)
+    tokens = ids.agg(F.sum("n")).first()[0]
+    if not tokens:
+        return net
+    shards = -(-tokens // max(SHARD, 16 * weights))
+    cut = ids.where("n > 0").select(F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(shards)).cast("int").alias("shard"), "h", "ids")
+
+    def first(batches):
+        import pyarrow as pa
 
+        own, rows, n = Net.new(side), [], 0
+        for _, x in _ids(batches, kind):
+            if n < warm:
+                rows.append((0, x[: warm - n]))
+                n += len(x)
+        if rows:
+            own.start_at(np.concatenate([x for _, x in rows]))
+            _learn(own, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([own.pack()])], ["weights"])
 
-def _examples(batches, words: Words):
-    """Arrays of about PIECE training examples, neighbours and token: every position of every text."""
-    edge, held, size = CLASSES * words.members - 1, [], 0
-    for b in batches:
-        for raw in byte_rows(b.column("text")):
-            if raw is None or not len(raw):
-                continue
-            t = words.placed(raw)
-            for at in range(0, len(t), PIECE):
-                part = t[max(0, at - WINDOW) : at + PIECE + WINDOW]
-                mine = slice(min(at, WINDOW), min(at, WINDOW) + len(t[at : at + PIECE]))
-                held.append(np.concatenate([_windows(part, edge)[mine], part[mine, None]], axis=1))
-                size += len(held[-1])
-                if size >= PIECE:
-                    yield np.concatenate(held)
-                    held, size = [], 0
-    if size:
-        yield np.concatenate(held)
-
-
-def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, seed: int = 7) -> Net:
-    """Rounds of local descent in every partition and weighted averages."""
-    texts = docs.select("text")
-    net = Net.new(seed, words.members)
-    for r in range(rounds):
-        start, rate = docs.sparkSession.sparkContext.broadcast(net.pack()), RATE / (1 + r)
-
-        def local(batches, start=start, rate=rate):
-            import pyarrow as pa
+    head = cut.where("shard = 0").coalesce(1).sortWithinPartitions("h", "ids").mapInArrow(first, "weights binary").first()
+    start = spark.sparkContext.broadcast(head["weights"] if head else net.pack())
+
+    def local(batches):
+        import pyarrow as pa
+        from itertools import groupby
+
+        total, sums = 0, None
+        for _, rows in groupby(_ids(batches, kind), lambda r: r[0]):
+            own = Net.unpack(start.value, side)
+            n = _learn(own, ((0, x) for _, x in rows))
+            w = np.frombuffer(own.pack(), np.float32) * np.float64(n)
+            total, sums = total + n, w if sums is None else sums + w
+        if total:
             from pyspark import TaskContext
 
-            own, total = None, 0
-            for x in _examples(batches, words):
-                own = own or Net.unpack(start.value)
-                x = x[np.random.default_rng(len(x)).permutation(len(x))]
-                for at in range(0, len(x), BATCH):
-                    own.step(x[at : at + BATCH, :-1], x[at : at + BATCH, -1], rate)
-                total += len(x)
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([own.pack()])], ["part", "n", "weights"])
-
-        def average(pdf):
-            import pandas as pd
-
-            n = pdf["n"].to_numpy(np.float64)
-            w = sum(k * np.frombuffer(x, np.float32) for k, x in zip(n / n.sum(), pdf["weights"]))
-            return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [int(n.sum())], "weights": [w.astype(np.float32).tobytes()]})
-
-        schema = "part int, n long, weights binary"
-        nets = texts.mapInArrow(local, schema)
-        groups = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
-        some = nets.groupBy((F.col("part") % groups).alias("g")).applyInPandas(average, schema)
-        last = some.groupBy(F.lit(0).alias("g")).applyInPandas(average, schema).collect()
-        if not last:
-            break
-        net = Net.unpack(last[0]["weights"])
-    return net
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([(sums / total).astype(np.float32).tobytes()])], ["part", "n", "weights"])
 
+    def average(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("part")
+        n = pdf["n"].to_numpy(np.float64)
+        w = sum(k * np.frombuffer(x, np.float32) for k, x in zip(n / n.sum(), pdf["weights"]))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [int(n.sum())], "weights": [w.astype(np.float32).tobytes()]})
+
+    parts, schema = partitions(spark), "part int, n long, weights binary"
+    nets = cut.repartition(parts, "shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(local, schema)
+    some = nets.groupBy((F.col("part") % max(1, int(parts**0.5))).alias("g")).applyInPandas(average, schema)
+    last = some.groupBy(F.lit(0).alias("g")).applyInPandas(average, schema).first()
+    return Net.unpack(last["weights"], side)
+
+
+RESULTS = ["n_tokens", "log_prob", "mean_log_prob"]
+
+
+def _scores(net: Net, rows: list) -> list:
+    """Arrow arrays of the counts, sums and means of rows of ids."""
+    import pyarrow as pa
+
+    n, total = np.array([len(x) for x in rows], np.int64), np.zeros(len(rows))
+    for around, token, of in windows(enumerate(rows), net.side**2 - 1):
+        total += np.bincount(of, net.log_probs(around, token), len(rows))
+    return [pa.array(n), pa.array(total), pa.array([float(s / k) if k else None for s, k in zip(total, n)], pa.float64())]
 
-def score(docs: DataFrame, words: Words, net: Net) -> DataFrame:
-    """``docs`` with n_tokens, log_prob (the sum) and mean_log_prob; only ``text`` is read for them."""
-    schema = schema_with(docs, n_tokens="long", log_prob="double", mean_log_prob="double")
-    raw_net = docs.sparkSession.sparkContext.broadcast(net.pack())  # under 1 MB for each KNOWN words
+
+def score_encoded(ids: DataFrame, words: Words, net: Net) -> DataFrame:
+    """Rows of :func:`encoded` to doc_id, n_tokens, log_prob (the sum) and mean_log_prob."""
+    raw_net = ids.sparkSession.sparkContext.broadcast(net.pack())  # grows with the vocabulary
+    side, kind = words.side, words.kind
 
     def run(batches):
         import pyarrow as pa
 
-        own = Net.unpack(raw_net.value)
+        own = Net.unpack(raw_net.value, side)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_scores(own, [x.view(kind) for x in byte_rows(b.column("ids"))])], ["doc_id", *RESULTS])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+
+
+def score(docs: DataFrame, words: Words, net: Net) -> DataFrame:
+    """``docs`` with n_tokens, log_prob and mean_log_prob; only ``text`` is read for them."""
+    schema = schema_with(docs, n_tokens="long", log_prob="double", mean_log_prob="double")
+    raw = docs.sparkSession.sparkContext.broadcast((words, net.pack()))
+
+    def run(batches):
+        words, packed = raw.value
+        own = Net.unpack(packed, words.side)
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            held, size = [], 0
-
-            def flush():
-                around, token = np.concatenate([_windows(t, CLASSES * own.members - 1) for _, t in held]), np.concatenate([t for _, t in held])
-                lp = np.concatenate([own.log_probs(around[a : a + PIECE], token[a : a + PIECE]) for a in range(0, len(token), PIECE)]).astype(np.float64)
-                at = np.array([i for i, _ in held])
-                total[at] = np.add.reduceat(lp, np.concatenate([[0], np.cumsum([len(t) for _, t in held])[:-1]]))
-
-            for i, raw in enumerate(byte_rows(b.column("text"))):
-                if raw is None or not len(raw) or not len(t := words.placed(raw)):
-                    continue
-                n[i] = len(t)
-                held.append((i, t))
-                size += len(t)
-                if size > PIECE:
-                    flush()
-                    held, size = [], 0
-            if held:
-                flush()
-            mean = [float(s / k) if k else None for s, k in zip(total, n)]
-            yield with_columns(b, ["n_tokens", "log_prob", "mean_log_prob"], [pa.array(n), pa.array(total), pa.array(mean, pa.float64())])
+            rows = [words.of(x) if x is not None and len(x) else np.zeros(0, words.kind) for x in byte_rows(b.column("text"))]
+            yield with_columns(b, RESULTS, _scores(own, rows))
 
     return docs.mapInArrow(run, schema)

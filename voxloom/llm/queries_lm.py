@@ -9,7 +9,8 @@ from .common import table
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = lm.vocabulary(docs)
-    return lm.score(docs, words, lm.train(docs, words)).drop("text")
+    ids = lm.encoded(docs, words)
+    return lm.score_encoded(ids, words, lm.train(ids, words))
 
 
 SQL: dict = {}
