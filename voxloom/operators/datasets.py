@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,20 +13,39 @@ def union_datasets(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (p.withColumn("src_ord", F.lit(k)) for k, p in enumerate(parts)))
 
 
+def ready_for_checkpoints(spark: SparkSession) -> None:
+    """Names the folder for checkpoints that the cluster gives; a local one only in local mode."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="voxloom-")
+        sc.setCheckpointDir(named)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "seq", chunk: Column | None = None) -> DataFrame:
     """Dense numbers from 1 over all rows.
 
     With ``chunk`` (an expression that ascends with the order, such as a partition key), rows
     are numbered within chunks and chunk totals are summed up, so only one row a chunk meets
-    in one task.
+    in one task. Without it, rows are dealt into ranges of the order, which are the chunks; the
+    ranges are checkpointed, so that they stay as they are.
     """
     if chunk is None:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
-    d = df.withColumn("_chunk", chunk)
+        ready_for_checkpoints(df.sparkSession)
+        # the place in a range stands in the lower 33 bits, the range above them
+        d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+        d = d.withColumn("_chunk", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m")
+    else:
+        d = df.withColumn("_chunk", chunk)
+        d = d.withColumn("_r", F.row_number().over(W.partitionBy("_chunk").orderBy(*order)))
     totals = d.groupBy("_chunk").agg(F.count("*").alias("_n"))
     before = totals.select("_chunk", (F.sum("_n").over(W.orderBy("_chunk")) - F.col("_n")).alias("_before"))
-    inner = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
-    return d.withColumn("_r", inner).join(before, "_chunk").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_chunk", "_r", "_before")
+    return d.join(before, "_chunk").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_chunk", "_r", "_before")
 
 
 def file_name(seq: Column, prefix: Column | None = None) -> Column:
@@ -40,11 +59,29 @@ def eval_count(n: Column, share: float = 0.05) -> Column:
 
 
 def split_eval(df: DataFrame, key: Column, share: float = 0.05, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """Adds ``is_eval``: the first rows by a keyed hash. Sizes are exact, the order needs no shuffle of its own."""
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    h = F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
-    d = df.withColumn("_n", F.count("*").over(part)).withColumn("_k", F.row_number().over(part.orderBy(h, key)))
-    return d.withColumn("is_eval", F.col("_k") <= eval_count(F.col("_n"), share)).drop("_n", "_k")
+    """Adds ``is_eval``: the first rows by a keyed hash of a key that tells rows apart.
+
+    Sizes are exact, yet no group is put in order: the hash deals rows into bins, counts of bins
+    say in which one the share ends, and only that bin's rows are ordered.
+    """
+    by = by or []
+    d = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))).withColumn("_bin", F.substring("_h", 1, 3)).withColumn("_key", key)
+    bins = d.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # 4096 bins a group at most
+    bins = bins.withColumn("_all", F.sum("_n").over(w)).withColumn("_upto", F.sum("_n").over(w.orderBy("_bin")))
+    need = eval_count(F.col("_all"), share) - (F.col("_upto") - F.col("_n"))
+    last = bins.withColumn("_need", need).where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_bin").alias("_last"), "_need")
+    same = lambda *more: reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + list(more))
+    inside = d.join(last, same(F.col("_bin") == F.col("_last"))).select(*(f"_by_{c}" for c in by), "_last", "_need", "_h", "_key")
+    place = F.row_number().over(W.partitionBy(*(f"_by_{c}" for c in by), "_last").orderBy("_h", "_key"))
+    ends = inside.withColumn("_k", place).where("_k = _need").select(*(f"_by_{c}" for c in by), "_last", F.struct("_h", "_key").alias("_end"))
+    if by:
+        d = d.join(ends, same(), "left")
+    else:
+        end = ends.select("_last", "_end._h", "_end._key").first()  # one row
+        kind = d.schema["_key"].dataType
+        d = d.withColumn("_last", F.lit(end[0] if end else None)).withColumn("_end", F.struct(F.lit(end[1]).alias("_h"), F.lit(end[2]).cast(kind).alias("_key")) if end else F.lit(None).cast(f"struct<_h:string,_key:{kind.simpleString()}>"))
+    return d.withColumn("is_eval", F.coalesce(F.struct("_h", "_key") <= F.col("_end"), F.lit(False))).drop("_h", "_bin", "_key", "_last", "_end", *(f"_by_{c}" for c in by))
 
 
 def dedupe_latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def spread(value: str) -> list[Column]:
 
 
 def totals(seconds: Column) -> list[Column]:
-    return [F.count("*").alias("clips"), F.round(F.sum(seconds), 2).alias("seconds"), F.round(F.sum(seconds) / 3600, 2).alias("hours")]
+    """Clips, seconds and hours; 0 for no rows."""
+    s = F.coalesce(F.sum(seconds), F.lit(0)).cast("double")
+    return [F.count("*").alias("clips"), F.round(s, 2).alias("seconds"), F.round(s / 3600, 2).alias("hours")]
 
 
 def top_share(df: DataFrame, value: str, n: int = 12) -> DataFrame:
@@ -53,15 +57,80 @@ def drift(base: DataFrame, tuned: DataFrame, keys: list[str], group: str) -> Dat
     return out.withColumn("rel_l2", F.when(F.col("b2") > 0, F.sqrt(F.col("d2") / F.col("b2"))).otherwise(0.0))
 
 
+#: A string of ANCHORED bytes holds a whole window of grams, so it can be found by one of them.
+GRAM, WINDOW, SHORT = 8, 8, 4
+ANCHORED = GRAM + WINDOW - 1
+
+
+def _grams(raw, n: int):
+    """A hash of every n bytes, n up to 8."""
+    if len(raw) < n:
+        return np.zeros(0, np.uint64)
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    x = np.ndarray((len(raw) - n + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * n) - 1)
+    x = (x + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _part_key(raw: bytes) -> int:
+    """Of a part, the key by which any whole that holds it is found."""
+    n = GRAM if len(raw) >= ANCHORED else min(SHORT, len(raw))
+    return int(_grams(raw, n).min().astype(np.int64))
+
+
+def _whole_keys(raw: bytes, tiny: list[int]) -> list[int]:
+    """Keys of all parts that a whole can hold: the least gram of every window, all short grams."""
+    found = [_grams(raw, n) for n in [SHORT, *tiny]]
+    if len(raw) >= ANCHORED:
+        found.append(np.lib.stride_tricks.sliding_window_view(_grams(raw, GRAM), WINDOW).min(axis=1))
+    return np.unique(np.concatenate(found)).astype(np.int64)
+
+
+def held_within(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """Different strings of ``parts`` with those of ``wholes`` that hold them, by an equi-join.
+
+    The least 8-byte gram of a part is the least of one of its windows, and of the same window
+    in whatever holds the part; so a whole sends the least gram of every window, about two in
+    WINDOW + 1 bytes, and a part its own least. Parts too short for a window go by their least
+    gram of SHORT bytes, the tiniest as they are. ``contains`` decides.
+    """
+    p = parts.where(F.length(part) > 0).select(part).distinct()
+    w = wholes.where(F.col(whole).isNotNull()).select(whole).distinct()
+    tiny = sorted(r[0] for r in p.where(F.octet_length(part) < SHORT).select(F.octet_length(part)).distinct().collect())  # three at most
+
+    @F.pandas_udf("long")
+    def part_key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _part_key(t.encode()))
+
+    @F.pandas_udf("array<long>")
+    def whole_keys(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _whole_keys(t.encode(), tiny))
+
+    p, w = p.withColumn("_key", part_key(part)), w.select(whole, F.explode(whole_keys(whole)).alias("_key"))
+    return p.join(w, "_key").where(F.col(whole).contains(F.col(part))).select(part, whole)
+
+
 def match_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     """Each quote (qid, quote) with the segment (sid, text) of the same text, the last one; else
-    the first segment that holds it or is held by it."""
-    last = segments.groupBy("text").agg(F.max("sid").alias("sid"))
-    exact = quotes.join(last, F.col("quote") == F.col("text")).select("qid", "quote", "sid", F.lit("exact").alias("how"))
-    rest = quotes.join(exact.select("qid"), "qid", "left_anti")
-    near = rest.join(segments, F.col("text").contains(F.col("quote")) | F.col("quote").contains(F.col("text")))
-    near = near.groupBy("qid", "quote").agg(F.min("sid").alias("sid")).withColumn("how", F.lit("part"))
-    return exact.unionByName(near)
+    the first segment that holds it or is held by it. Empty texts match as equals only."""
+    sids = segments.where("text is not null").groupBy("text").agg(F.max("sid").alias("last"), F.min("sid").alias("first"))
+    exact = quotes.join(sids, F.col("quote") == F.col("text")).select("qid", "quote", F.col("last").alias("sid"), F.lit("exact").alias("how"))
+    rest = quotes.join(sids, F.col("quote") == F.col("text"), "left_anti").where("quote is not null")
+    met = held_within(rest, sids, "quote", "text").unionByName(held_within(sids, rest, "text", "quote"))
+    near = met.join(sids, "text").groupBy("quote").agg(F.min("first").alias("sid"))
+    return exact.unionByName(rest.join(near, "quote").select("qid", "quote", "sid", F.lit("part").alias("how")))
+
+
+def audit(segments: DataFrame) -> DataFrame:
+    """What the alignment of a corpus lost: one row over segments (video_id, start, end, text, words,
+    aligned, alignment_failed)."""
+    seconds = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
+    bare = F.col("alignment_failed") | (F.col("aligned") & (F.trim("text") != "") & (F.coalesce(F.size("words"), F.lit(0)) == 0))
+    return segments.agg(
+        F.count("*").alias("segments"), F.count_distinct("video_id").alias("files"), F.count_if("aligned").alias("aligned"), F.count_if(bare).alias("dropped"),
+        F.round(F.sum(seconds), 3).alias("seconds"), F.round(F.sum(F.when(bare, seconds).otherwise(0.0)), 3).alias("dropped_seconds"),
+    )
 
 
 def _counted(label: str, name: str) -> Column:

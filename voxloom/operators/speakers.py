@@ -5,40 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, global_speaker, natural_rank
+from ..functions.text import global_speaker, natural_rank
+from .datasets import ready_for_checkpoints
 
 
-def unit(v):
-    """The vector in doubles over its length; null for null, empty and zero vectors."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n > 0, F.transform(d, lambda x: x / n))
-
-
-def similar_pairs(nodes: DataFrame, threshold: float, key: str = "name", vector: str = "embedding", blocks: int = 8) -> DataFrame:
+def similar_pairs(nodes: DataFrame, threshold: float, key: str = "name", vector: str = "embedding", block: int = 1024) -> DataFrame:
     """Pairs a < b whose cosine is above the threshold.
 
-    Every node meets every other one once: nodes are dealt into blocks, and the blocks meet
-    in an equi-join on their pair, which spreads the work over blocks * (blocks + 1) / 2 tasks.
-    Speakers are thousands; for more, cluster within a label first.
+    Every node meets every other one once: nodes are dealt into blocks of about ``block``, one
+    row a block, whose vectors are put to length one; blocks meet in an equi-join on their
+    pair, and each meeting is a matrix product in doubles. A block's task holds block * block
+    doubles. Nulls, zero vectors and vectors of other lengths are similar to nothing.
     """
-    n = nodes.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("g"))
-    left = n.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("h >= g").select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("g").alias("p"), F.col("h").alias("q"))
-    right = n.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("p <= g").select(F.col("k").alias("kb"), F.col("v").alias("vb"), "p", F.col("g").alias("q"))
-    met = left.join(right, ["p", "q"]).where((F.col("p") < F.col("q")) | (F.col("ka") < F.col("kb")))
-    met = met.withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold)
-    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    kind = nodes.schema[key].dataType.simpleString()
+    n = nodes.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-n.count() // block))
+    g = n.groupBy(F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int").alias("g")).agg(F.collect_list(F.struct("k", "v")).alias("rows"))
+    g = g.select("g", F.transform("rows", lambda r: r["k"]).alias("keys"), F.transform("rows", lambda r: r["v"]).alias("vectors"))
+    left = g.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))))
+    right = g.select(F.col("g").alias("h"), F.col("keys").alias("keys_b"), F.col("vectors").alias("vectors_b"))
+    met = left.join(right, "h").select("g", "h", "keys", "vectors", "keys_b", "vectors_b")
+
+    def units(rows: list) -> dict:
+        """By length: which rows have it, and their vectors over their lengths."""
+        import numpy as np
+
+        out = {}
+        for size in {len(r) for r in rows} - {0}:
+            at = np.array([i for i, r in enumerate(rows) if len(r) == size])
+            x = np.array([rows[i] for i in at], np.float64)
+            norm = np.sqrt((x * x).sum(axis=1))
+            ok = norm > 0
+            out[size] = at[ok], x[ok] / norm[ok, None]
+        return out
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                x, y = units(r["vectors"]), units(r["vectors_b"])
+                for size in sorted(x.keys() & y.keys()):
+                    (i, u), (j, v) = x[size], y[size]
+                    s = u @ v.T
+                    p, q = np.nonzero(s > threshold)
+                    rows = [(min(m, n), max(m, n), c) for k, l, c in zip(i[p].tolist(), j[q].tolist(), s[p, q].tolist()) if (m := r["keys"][k]) != (n := r["keys_b"][l]) and (r["g"] < r["h"] or m < n)]
+                    cols = list(zip(*rows)) if rows else [[]] * 3
+                    yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "similarity"), cols)), schema=pa.schema([("a", b.schema.field("keys").type.value_type), ("b", b.schema.field("keys").type.value_type), ("similarity", pa.float64())]))
+
+    return met.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, key: str = "name", rounds: int = 50) -> DataFrame:
     """(key, root): the smallest node reachable. Labels take the least of their neighbours'
     labels, and labels of labels are followed, so long chains halve each round; each round is
     checkpointed, which cuts the lineage."""
-    sc = nodes.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxloom-"))
+    ready_for_checkpoints(nodes.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("root")).distinct().checkpoint()
     for _ in range(rounds):
@@ -53,13 +76,13 @@ def clusters(edges: DataFrame, nodes: DataFrame, key: str = "name", rounds: int
     raise RuntimeError("clusters did not settle")
 
 
-def cluster_speakers(nodes: DataFrame, threshold: float, base: str = "speaker", blocks: int = 8) -> DataFrame:
+def cluster_speakers(nodes: DataFrame, threshold: float, base: str = "speaker", block: int = 1024) -> DataFrame:
     """(name, embedding, speech_seconds) to name, root, rank from 0 and global name.
 
     Clusters rank by their total speech, longest first, ties to the smaller root. Nodes that
     repeat a name count once, the last position winning.
     """
-    rooted = nodes.join(clusters(similar_pairs(nodes, threshold, blocks=blocks), nodes), "name")
+    rooted = nodes.join(clusters(similar_pairs(nodes, threshold, block=block), nodes), "name")
     total = rooted.groupBy("root").agg(F.sum("speech_seconds").alias("speech"), F.count("*").alias("members"))
     ranked = total.withColumn("rank", F.row_number().over(W.orderBy(F.desc("speech"), "root")) - 1)
     return rooted.join(ranked, "root").select("name", "root", "rank", "members", "speech", global_speaker(F.lit(base), F.col("rank")).alias("speaker"))

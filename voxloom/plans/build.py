@@ -149,12 +149,12 @@ def export(clips: DataFrame, mapping: DataFrame | None = None, min_clips: int =
     if mapping is not None:
         c = D.apply_map(c, mapping, "speaker_name").drop("changed")
     c, _ = D.prune_speakers(c, min_clips, min_seconds)
-    c = D.numbered(c, [F.col("clip_id")], chunk=F.col("video_id"))
+    c = D.numbered(c, [F.col("clip_id")])
     return D.split_eval(c.withColumn("audio_file", F.concat(D.file_name(F.col("seq")), F.lit(".wav"))), F.col("clip_id"), share, seed)
 
 
 def merge_datasets(parts: list[DataFrame], default_speaker: str = "speaker", share: float = 0.05, seed: int = 42) -> DataFrame:
     """Datasets (audio_file, text, speaker_name) as one: in order, numbered anew, split anew."""
     d = D.union_datasets(parts).withColumn("speaker_name", T.or_default(F.col("speaker_name"), default_speaker)).withColumnRenamed("audio_file", "source_file")
-    d = D.numbered(d, [F.col("src_ord"), F.col("source_file")], chunk=F.col("src_ord"))
+    d = D.numbered(d, [F.col("src_ord"), F.col("source_file")])
     return D.split_eval(d.withColumn("audio_file", F.concat(D.file_name(F.col("seq")), F.lit(".wav"))), F.col("seq"), share, seed)

@@ -137,10 +137,8 @@ SELECT conv_id, turn, pack::BIGINT AS pack, min(s) AS start_ms, max(e) AS end_ms
 def split_long_segments(spark, sf_dir):
     c = X.table(spark, sf_dir, "conversations")
     words = F.split("text", " ", -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0).cast("long"), lambda s, x: s + 60 * (F.length(x) + 1)))
     # word times by cumulative characters; posexplode and a window keep this linear in a turn's words
     d = c.select("conv_id", "turn", F.posexplode(words).alias("i", "word")).withColumn("e", F.sum(60 * (F.length("word") + 1)).over(W.partitionBy("conv_id", "turn").orderBy("i")).cast("long") - 60)
-    del ends
     a = d.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word", "e"))), lambda x: F.struct(x["word"].alias("word"), (x["e"] - 60 * F.length(x["word"])).alias("start"), x["e"].alias("end"))).alias("w"))
     p = a.select("conv_id", "turn", F.posexplode(S.pack_words(F.col("w"), 12_000)).alias("k", "p"))
     return p.select("conv_id", "turn", (F.col("k") + 1).cast("long").alias("pack"), F.col("p.start").alias("start_ms"), F.col("p.end").alias("end_ms"), F.size("p.words").cast("long").alias("n_words"))
@@ -332,26 +330,45 @@ def fallback_clusters(spark, sf_dir):
     return P.fallback_map(n, "chan")
 
 
-@query("""WITH q AS (SELECT item_id AS qid, text AS quote FROM benchmark UNION ALL SELECT 1000000 + turn, text FROM conversations WHERE conv_id = 1), s AS (SELECT conv_id * 1000 + turn AS sid, text FROM conversations),
-x AS (SELECT qid, quote, max(sid) AS sid FROM q JOIN s ON quote = text GROUP BY 1, 2), y AS (SELECT qid, quote, min(sid) AS sid FROM q JOIN s ON contains(text, quote) OR contains(quote, text) WHERE qid NOT IN (SELECT qid FROM x) GROUP BY 1, 2)
+@query(_with(X.SEGMENTS_SQL) + """, q AS (SELECT item_id AS qid, text AS quote FROM benchmark UNION ALL SELECT 1000000 + video_id * 100000 + id, text FROM seg), s AS (SELECT conv_id * 1000 + turn AS sid, text FROM conversations),
+x AS (SELECT qid, quote, max(sid) AS sid FROM q JOIN s ON quote = text GROUP BY 1, 2), y AS (SELECT qid, quote, min(sid) AS sid FROM q JOIN s ON contains(text, quote) OR contains(quote, text) WHERE text <> '' AND qid NOT IN (SELECT qid FROM x) GROUP BY 1, 2)
 SELECT qid, sid, 'exact' AS how FROM x UNION ALL SELECT qid, sid, 'part' FROM y""")
 def alignment_audit(spark, sf_dir):
-    c = X.table(spark, sf_dir, "conversations")
-    q = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")).unionAll(c.where("conv_id = 1").select(F.lit(1000000) + F.col("turn"), "text"))
+    """Items and all sentences as quotes, whole turns as what may hold them."""
+    c, s = X.table(spark, sf_dir, "conversations"), X.segments(spark, sf_dir)
+    q = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")).unionAll(s.select(F.lit(1000000) + F.col("video_id") * 100000 + F.col("id"), "text"))
     return R.match_quotes(q, c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")).select("qid", "sid", "how")
 
 
+@query(_with(X.SEGMENTS_SQL) + """, a AS (SELECT *, (id * 31) % 7 = 0 AS failed, (video_id * 13) % 4 <> 0 AS aligned, id % 5 = 0 AS bare FROM seg)
+SELECT count(*) AS segments, count(DISTINCT video_id) AS files, count(*) FILTER (aligned) AS aligned, count(*) FILTER (failed OR (aligned AND bare)) AS dropped,
+  round(sum(end_ms - start_ms) / 1000.0, 3)::DOUBLE AS seconds, round(sum(CASE WHEN failed OR (aligned AND bare) THEN end_ms - start_ms ELSE 0 END) / 1000.0, 3)::DOUBLE AS dropped_seconds FROM a""")
+def alignment_losses(spark, sf_dir):
+    s = X.segments(spark, sf_dir).select("*", *_seconds()).withColumn("aligned", (F.col("video_id") * 13) % 4 != 0).withColumn("alignment_failed", (F.col("id") * 31) % 7 == 0)
+    return R.audit(s.withColumn("words", F.when(F.col("id") % 5 != 0, F.array(F.lit("w")))))
+
+
 @query("""WITH b AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (SELECT vec_id, label, i, floor(x * 1000) AS b, floor(x * 1000) + CASE WHEN i % 2 = 0 THEN vec_id % 5 ELSE 0 END AS t FROM b)
-SELECT label, sum((t - b) * (t - b))::BIGINT AS d2, sum(b * b)::BIGINT AS b2, max(abs(t - b))::BIGINT AS max_abs, count(*) AS params, count(*) FILTER (t <> b) AS changed FROM q GROUP BY label""")
+SELECT label, sum((t - b) * (t - b))::BIGINT AS d2, sum(b * b)::BIGINT AS b2, max(abs(t - b))::BIGINT AS max_abs, count(*) AS params, count(*) FILTER (t <> b) AS changed,
+  round(CASE WHEN sum(b * b) > 0 THEN sqrt(sum((t - b) * (t - b)) / sum(b * b)) ELSE 0 END, 9)::DOUBLE AS rel_l2 FROM q GROUP BY label""")
 def array_drift(spark, sf_dir):
     b = X.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", "i", F.floor(F.col("x").cast("double") * 1000).alias("x"))
     t = b.select("vec_id", "i", (F.col("x") + F.when(F.col("i") % 2 == 1, F.col("vec_id") % 5).otherwise(0)).alias("x"))
-    return R.drift(b, t, ["vec_id"], "label").drop("rel_l2")
+    return R.drift(b, t, ["vec_id"], "label").withColumn("rel_l2", F.round("rel_l2", 9))
+
+
+@query("""WITH b AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (SELECT vec_id, floor(x * 1000) AS b, floor(x * 1000) + CASE WHEN i % 2 = 0 THEN vec_id % 5 ELSE 0 END AS t FROM b)
+SELECT vec_id, max(abs(t - b))::BIGINT AS max_abs, sum((t - b) * (t - b))::BIGINT AS d2 FROM q GROUP BY vec_id ORDER BY d2 DESC, vec_id LIMIT 20""")
+def most_drifted(spark, sf_dir):
+    """The tensors, one a vector, that moved most."""
+    b = X.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.floor(F.col("x").cast("double") * 1000).alias("x"))
+    t = b.select("vec_id", "i", (F.col("x") + F.when(F.col("i") % 2 == 1, F.col("vec_id") % 5).otherwise(0)).alias("x"))
+    return R.extremes(R.drift(b.withColumn("tensor", F.col("vec_id")), t, ["vec_id"], "tensor"), "d2", 20, True, ["tensor"]).select(F.col("tensor").alias("vec_id"), "max_abs", "d2")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'only_b' WHEN l.doc_id IS NULL THEN 'only_a' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'only_b' WHEN l.doc_id IS NULL THEN 'only_a' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def key_set_diff(spark, sf_dir):
-    return D.require_same_keys(X.table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), X.table(spark, sf_dir, "labels"), "doc_id")
+    return D.require_same_keys(X.table(spark, sf_dir, "documents"), X.table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT lang AS dataset, count(*) AS clips, sum(n_chars * 60)::BIGINT AS ms, count(DISTINCT source) AS speakers FROM documents GROUP BY 1")
