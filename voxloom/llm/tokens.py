@@ -1,52 +1,102 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
 Every text becomes token ids plus one end mark, cut into sequences of ``stride`` ids, the
-last one padded. Sequences are numbered 0 to N-1 in the order of the written token table,
-and a keyed Feistel permutation with cycle-walking gives each number a global slot in
-0 to N-1: the order of training, without sorting by random numbers. Slots are cut in
-ranges of ``per_shard``; each range is written as one shard of ``per_shard`` records of
-``2 * stride`` bytes, so a reader finds slot s at ``(s % per_shard) * 2 * stride`` of
-shard ``s // per_shard`` and can resume anywhere.
-
-Texts are tokenised once; compressed ids are kept in a table in the shared folder. A task
-packs what it has for a shard before the shuffle. A shard is assembled in one task, whose
-memory is bounded by ``per_shard``. Shards are renamed into place when whole, so tasks may
-run again.
-
-Defined cases: null and empty texts give no sequences; repeated rows give sequences each;
-an empty table gives no shards; the last shard may be shorter.
+last one padded. Sequences are numbered 0 to N-1 in the order of (doc_id, hash of the text,
+place in the text), and a keyed Feistel permutation with cycle-walking gives each number a
+global slot in 0 to N-1: the order of training, without sorting by random numbers, and the
+same however the input is partitioned. Slots are cut in ranges of ``per_shard``; each range
+is written as one shard of ``per_shard`` records of ``stride`` ids, so a reader finds slot s
+at record ``s % per_shard`` of shard ``s // per_shard`` and can resume anywhere. Ids take
+two bytes, four where the vocabulary needs them; ``shards.json`` beside the shards says so.
+
+Texts are tokenised once; compressed ids are kept in a table in the shared folder. The
+numbers are found over (doc_id, hash, count) alone: rows are put in order by ranges, each
+range is summed up, and the numbers of a task's documents go back to it as one small file,
+so token ids move once, to their shards. A task packs what it has for a shard before the
+shuffle; a shard is assembled in one task, whose memory is bounded by ``per_shard``. Shards
+are renamed into place when whole, so tasks may run again. :func:`shards` returns when all
+shards are written.
+
+Runs of white space of ``LONG`` characters or more are encoded apart, as one piece less
+their last character, which is how the split before the merges cuts them; so texts of any
+length and make are encoded as a whole would be.
+
+Defined cases: null and empty texts give no sequences; rows without an id come first;
+repeated rows give sequences each, texts that share an id follow each other; an empty
+table gives no shards; the last shard may be shorter; a very long text is tokenised and cut
+in one task, about 12 bytes of memory a token; columns other than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, written
+from .common import drop_written, filesystem, new_path, partitions, qualified, remove, replace_file, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: The split before the merges of the rank files, and the id that they leave free.
+#: The split before the merges of the rank files, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END = 50256
-PAD = 0xFFFF
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 1 << 14
 STRIDE, PER_SHARD, KEY = 256, 1 << 16, 9
+FRAME = 1 << 17
+_RUNS = re.compile(f"[{WHITE}]{{{LONG},}}")
 
-_encodings: dict = {}
+_encoders: dict = {}
 
 
-def encoding(raw: bytes):
-    """A tokenizer of a rank file's content, kept for the worker's later tasks."""
-    import tiktoken
+class Encoder:
+    """A tokenizer of a rank file's content. ``end`` is the id after the last rank."""
+
+    def __init__(self, raw: bytes):
+        import tiktoken
 
-    k = zlib.crc32(raw)
-    if k not in _encodings:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-        _encodings[k] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[k]
+        self.end = max(ranks.values()) + 1
+        self.split = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    @property
+    def kind(self) -> str:
+        return kind_of(self.end)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a whole text and the end mark."""
+        out: list[int] = []
+        at = 0
+        for m in _RUNS.finditer(text) if len(text) >= LONG else ():
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.split.encode_ordinary(text[at : m.start()])
+            out += self.whole.encode_ordinary(text[m.start() : stop])
+            at = stop
+        out += self.split.encode_ordinary(text[at:] if at else text)
+        out.append(self.end)
+        return np.array(out, self.kind)
+
+
+def kind_of(end: int) -> str:
+    """The type of ids whose largest is ``end``; the type's own largest value pads."""
+    return "<u2" if end < 0xFFFF else "<u4"
+
+
+def pad_of(kind: str) -> int:
+    return int(np.iinfo(kind).max)
+
+
+def encoder(raw: bytes) -> Encoder:
+    """Kept for the worker's later tasks."""
+    k = zlib.crc32(raw)
+    if k not in _encoders:
+        _encoders[k] = Encoder(raw)
+    return _encoders[k]
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -73,13 +123,12 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np.nd
     return out.astype(np.int64)
 
 
-def tokenised(docs: DataFrame, stride: int = STRIDE, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) to frames of documents: task, first, n, docs, sizes, ids (compressed).
+def tokenised(docs: DataFrame, raw: bytes) -> DataFrame:
+    """(doc_id, text) to frames of documents: task, first, docs, hashes, sizes, ids (compressed).
 
-    ``first`` numbers the frame's first sequence within its task; ``n`` counts its sequences.
+    ``first`` numbers the frame's first document within its task.
     """
-    with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size, about 1 MB
+    ranks = docs.sparkSession.sparkContext.broadcast(raw)  # a file of fixed size, about 1 MB
 
     def run(batches):
         import pyarrow as pa
@@ -87,35 +136,73 @@ def tokenised(docs: DataFrame, stride: int = STRIDE, vocabulary: str = VOCABULAR
         from pyspark import TaskContext
 
         task, first = TaskContext.get().partitionId(), 0
-        z, enc = zstandard.ZstdCompressor(level=6), encoding(ranks.value)
-        names, kinds = ["task", "first", "n", "docs", "sizes", "ids"], [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        z, enc = zstandard.ZstdCompressor(level=9), encoder(ranks.value)
+        names = ["task", "first", "docs", "hashes", "sizes", "ids"]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
-        def frame(own, ids):
+        def frame(own, hashes, ids):
             nonlocal first
-            n = sum(-(-len(x) // stride) for x in ids)
-            row = [task, first, n, own, [len(x) for x in ids], z.compress(np.concatenate(ids).tobytes())]
-            first += n
+            row = [task, first, own, hashes, [len(x) for x in ids], z.compress(np.concatenate(ids).tobytes())]
+            first += len(own)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        own, ids, held = [], [], 0
+        own, hashes, ids, held = [], [], [], 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id"), b.column("text")):
+            for doc, h, text in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), b.column("text")):
                 if not (text := text.as_py()):
                     continue
-                own.append(doc.as_py())
-                ids.append(np.array(enc.encode_ordinary(text) + [END], np.uint16))
+                own.append(doc)
+                hashes.append(h)
+                ids.append(enc.ids(text))
                 held += len(ids[-1])
-                if held > 1 << 17:
-                    yield frame(own, ids)
-                    own, ids, held = [], [], 0
+                if held > FRAME:
+                    yield frame(own, hashes, ids)
+                    own, hashes, ids, held = [], [], [], 0
         if own:
-            yield frame(own, ids)
+            yield frame(own, hashes, ids)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return docs.mapInArrow(run, "task int, first long, docs array<long>, hashes array<long>, sizes array<long>, ids binary")
+
+
+def _ordered(table: DataFrame, stride: int) -> DataFrame:
+    """Of every document of the token table: part (a range of documents), the sequences before it in the part, and its own."""
+    each = table.select("task", "first", F.posexplode(F.arrays_zip("docs", "hashes", "sizes")).alias("i", "d"))
+    each = each.select("task", (F.col("first") + F.col("i")).alias("at"), F.col("d.docs").alias("doc"), F.col("d.hashes").alias("h"), F.ceil(F.col("d.sizes") / stride).cast("long").alias("n"))
+
+    def count(frames):
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for pdf in frames:
+            upto = total + pdf["n"].cumsum()
+            total = int(upto.iloc[-1]) if len(pdf) else total
+            yield pdf.assign(part=part, before=upto - pdf["n"])[["task", "at", "part", "before", "n"]]
+
+    order = ["doc", "h", "task", "at"]
+    return each.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(count, "task int, at long, part int, before long, n long")
+
+
+def _numbers_path(base: str, task: int) -> str:
+    return f"{base}/task-{task:08d}.i8"
+
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "task int, first long, n long, docs array<long>, sizes array<long>, ids binary")
+def _send_numbers(bases: dict, folder: str):
+    """Writes the numbers of a task's documents, in its order, as one file."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("at")
+        numbers = pdf["before"].to_numpy() + pdf["part"].map(bases).to_numpy(np.int64)
+        fs, base = filesystem(folder)
+        replace_file(fs, _numbers_path(base, int(key[0])), lambda out: out.write(numbers.astype("<i8").tobytes()))
+        return pd.DataFrame({"task": [int(key[0])], "docs": [len(pdf)]})
+
+    return run
 
 
-def _packed(bases: dict, total: int, stride: int, per_shard: int, key: int):
+def _packed(folder: str, total: int, stride: int, per_shard: int, key: int, kind: str):
     """Frames to one row a shard for each batch: slots, documents, places and ids of its sequences."""
 
     def run(frames):
@@ -123,7 +210,8 @@ def _packed(bases: dict, total: int, stride: int, per_shard: int, key: int):
         import zstandard
 
         z, unz = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        held, size = [], 0
+        fs, base = filesystem(folder)
+        held, size, of, numbers = [], 0, None, None
 
         def flush():
             slots, docs, seqs, counts, blocks = (np.concatenate(x) for x in zip(*held))
@@ -138,14 +226,17 @@ def _packed(bases: dict, total: int, stride: int, per_shard: int, key: int):
 
         for pdf in frames:
             for f in pdf.itertuples(index=False):
+                if of != f.task:
+                    with fs.open_input_stream(_numbers_path(base, f.task), compression=None) as source:
+                        of, numbers = f.task, np.frombuffer(source.read(), "<i8")
                 sizes = np.array(f.sizes, np.int64)
                 n = -(-sizes // stride)
-                ids = np.frombuffer(unz.decompress(f.ids), np.uint16)
+                ids = np.frombuffer(unz.decompress(f.ids), kind)
                 seqs = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 counts = np.minimum(stride, np.repeat(sizes, n) - seqs * stride)
-                blocks = np.full((len(seqs), stride), PAD, np.uint16)
+                blocks = np.full((len(seqs), stride), pad_of(kind), kind)
                 blocks[np.arange(stride) < counts[:, None]] = ids
-                slots = feistel(bases[f.task] + f.first + np.arange(len(seqs)), total, key)
+                slots = feistel(np.repeat(numbers[f.first : f.first + len(n)], n) + seqs, total, key)
                 # a null id travels as the least long
                 docs = np.array([-(1 << 63) if d is None or d != d else int(d) for d in f.docs], np.int64)
                 held.append((slots, np.repeat(docs, n), seqs, counts, blocks))
@@ -159,57 +250,73 @@ def _packed(bases: dict, total: int, stride: int, per_shard: int, key: int):
     return run
 
 
-def shards(docs: DataFrame, folder: str | None = None, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write the shards; one row a sequence: doc_id, seq, slot, shard, offset, n_tokens, crc32 (of its record)."""
-    spark: SparkSession = docs.sparkSession
-    folder = folder or new_path(spark, "shards")
-    table = written(tokenised(docs, stride, vocabulary), "token-ids")
-    # one number a task of the table
-    per_task = table.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()
-    bases, total = {}, 0
-    for r in per_task:
-        bases[r["task"]] = total
-        total += r["n"]
-    schema = "doc_id long, seq int, slot long, shard long, offset long, n_tokens int, crc32 long"
-    if not total:
-        return spark.createDataFrame([], schema)
-    packed = table.mapInPandas(_packed(bases, total, stride, per_shard, key), "shard long, slots binary, docs binary, seqs binary, counts binary, blocks binary")
-
-    def write(key_, parts):
-        import uuid
+def _write(folder: str, total: int, stride: int, per_shard: int, kind: str):
+    """All parts of one shard to its file and one row a sequence."""
 
+    def run(key, parts):
         import pandas as pd
         import zstandard
 
         unz = zstandard.ZstdDecompressor()
-        shard = int(key_[0])
+        shard = int(key[0])
         size = min(per_shard, total - shard * per_shard)
-        out = np.full((size, stride), PAD, np.uint16)
+        out = np.full((size, stride), pad_of(kind), kind)
         doc, seq, count = np.zeros(size, np.int64), np.zeros(size, np.int32), np.full(size, -1, np.int32)
         load = lambda x, t: np.frombuffer(unz.decompress(x), t)
-        for slots, docs_, seqs, counts, blocks in zip(parts["slots"], parts["docs"], parts["seqs"], parts["counts"], parts["blocks"]):
+        for slots, docs, seqs, counts, blocks in zip(parts["slots"], parts["docs"], parts["seqs"], parts["counts"], parts["blocks"]):
             at = load(slots, np.int64) - shard * per_shard
-            out[at] = load(blocks, np.uint16).reshape(-1, stride)
-            doc[at], seq[at], count[at] = load(docs_, np.int64), load(seqs, np.int64), load(counts, np.int64)
+            out[at] = load(blocks, kind).reshape(-1, stride)
+            doc[at], seq[at], count[at] = load(docs, np.int64), load(seqs, np.int64), load(counts, np.int64)
         if (count < 0).any():
             raise RuntimeError(f"shard {shard} lacks sequences")
         fs, base = filesystem(folder)
-        fs.create_dir(base, recursive=True)
-        part = f"{base}/shard-{shard:08d}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part) as f:
-            f.write(out.astype("<u2").tobytes())
-        fs.move(part, f"{base}/shard-{shard:08d}.bin")
+        replace_file(fs, f"{base}/shard-{shard:08d}.bin", lambda f: f.write(memoryview(out).cast("B")))
         k = np.arange(size)
         ids = pd.array(doc, dtype="Int64")
         ids[doc == -(1 << 63)] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "seq": seq, "slot": k + shard * per_shard, "shard": shard, "offset": k * 2 * stride, "n_tokens": count, "crc32": [zlib.crc32(x) for x in out]})
+        return pd.DataFrame({"doc_id": ids, "seq": seq, "slot": k + shard * per_shard, "shard": shard, "offset": k * out.itemsize * stride, "n_tokens": count, "crc32": [zlib.crc32(x) for x in out]})
+
+    return run
 
-    return packed.groupBy("shard").applyInPandas(write, schema)
+
+def shards(docs: DataFrame, folder: str | None = None, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Write the shards; one row a sequence: doc_id, seq, slot, shard, offset, n_tokens, crc32 (of its record)."""
+    spark: SparkSession = docs.sparkSession
+    folder = qualified(spark, folder) if folder else new_path(spark, "shards")
+    with open(vocabulary, "rb") as f:
+        raw = f.read()
+    kind = encoder(raw).kind
+    table = written(tokenised(docs, raw), "token-ids")
+    ordered = written(_ordered(table, stride), "token-order")
+    # one number a range of documents
+    per_part = ordered.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    bases, total = {}, 0
+    for r in per_part:
+        bases[r["part"]] = total
+        total += r["n"]
+    numbers = new_path(spark, "token-numbers")
+    sent = written(ordered.groupBy("task").applyInPandas(_send_numbers(bases, numbers), "task int, docs long"), "token-sent")
+    drop_written(ordered)
+    drop_written(sent)
+
+    packed = table.mapInPandas(_packed(numbers, total, stride, per_shard, key, kind), "shard long, slots binary, docs binary, seqs binary, counts binary, blocks binary")
+    # a few shards a task, so that what a task reads does not grow
+    packed = packed.repartition(max(partitions(spark), -(-total // (8 * per_shard))), "shard")
+    out = written(packed.groupBy("shard").applyInPandas(_write(folder, total, stride, per_shard, kind), "doc_id long, seq int, slot long, shard long, offset long, n_tokens int, crc32 long"), "token-slots")
+    fs, base = filesystem(folder)
+    about = {"sequences": total, "stride": stride, "per_shard": per_shard, "type": kind, "pad": pad_of(kind), "end": encoder(raw).end}
+    replace_file(fs, f"{base}/shards.json", lambda f: f.write(json.dumps(about).encode()))
+    drop_written(table)
+    remove(spark, numbers)
+    return out
 
 
-def read_shard(folder: str, shard: int, first: int = 0, stride: int = STRIDE):
+def read_shard(folder: str, shard: int, first: int = 0):
     """The records of a shard from record ``first`` on, as an array of ids, padding included."""
     fs, base = filesystem(folder)
+    with fs.open_input_stream(f"{base}/shards.json", compression=None) as f:
+        about = json.loads(f.read())
+    kind, stride = np.dtype(about["type"]), about["stride"]
     with fs.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
-        f.seek(first * 2 * stride)
-        return np.frombuffer(f.read(), "<u2").reshape(-1, stride)
+        f.seek(first * kind.itemsize * stride)
+        return np.frombuffer(f.read(), kind).reshape(-1, stride)
