@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, token shards.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
-the columns of documents. ``run`` writes each stage's rows as Parquet in the shared
-folder and reads them again for the next one.
+the columns of documents, whatever their names. ``run`` writes each stage's rows as Parquet
+in the shared folder, reads them again for the next one and deletes what came before.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import decontaminate, langid, minhash, mixing, tokens
-from voxloom.llm.common import n_words, table, written
+from voxloom.llm.common import apart, drop_written, n_words, table, written
 from voxloom.llm.queries_langid import held_out
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie too far from every language, or hold no letter, go."""
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
-    return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    own, back = apart(docs, ["text"])
+    return back(langid.predict(own, model).where(~F.col("rejected")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    mixed = mixing.mix(docs.withColumn("size", n_words(F.col("text"))))
-    return mixed.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    own, back = apart(docs, ["doc_id", "source", "text"])
+    mixed = mixing.mix(own.withColumn("size", n_words(F.col("text"))))
+    return back(mixed.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))))
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            drop_written(before)
+        before = docs
     return docs
