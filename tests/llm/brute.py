@@ -49,3 +49,43 @@ def repeats(docs, length=50):
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+def leaks(docs, items, threshold=0.5, k1=1.2, b=0.75):
+    """{(doc_id, item_id)}: BM25 of every passage against every piece, then the overlap check."""
+    import math
+    from collections import Counter
+
+    from voxloom.llm.decontaminate import ANSWER, PASSAGE, QUESTION, QUESTION_ALONE, question_and_answer
+
+    half = PASSAGE // 2
+    split = lambda t: re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    indexed = []
+    for i, t in items:
+        w = split(t)
+        k = max(1, -(-len(w) // half))
+        cuts = [len(w) * j // k for j in range(k + 1)]
+        indexed += [(i, t, x, len(w) - y, Counter(w[x:y])) for x, y in zip(cuts, cuts[1:]) if y > x]
+    df = Counter(t for *_, c in indexed for t in c)
+    mean = sum(sum(c.values()) for *_, c in indexed) / len(indexed)
+    weigh = lambda c: {t: math.log(1 + (len(indexed) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * sum(c.values()) / mean)) for t, n in c.items()}
+    weights = [weigh(c) for *_, c in indexed]
+    grams = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+    out = set()
+    for d, text in docs:
+        w = split(text)
+        for at in range(0, len(w), half):
+            passage = set(w[at : at + PASSAGE])
+            for (i, t, before, after, _), own in zip(indexed, weights):
+                if sum(x for term, x in own.items() if term in passage) < threshold * sum(own.values()) - 1e-5:
+                    continue
+                q, a = (split(x) for x in question_and_answer(t))
+                if not q or not a:
+                    q = a = split(t)
+                n = max(1, min(5, len(q)))
+                near = w[max(0, at - before - half) : at + PASSAGE + after + half]
+                of_q = len(grams(q, n) & grams(near, n)) / len(grams(q, n))
+                of_a = len(set(a) & set(near)) / len(set(a))
+                if (of_q >= QUESTION and of_a >= ANSWER) or of_q >= QUESTION_ALONE:
+                    out.add((d, i))
+    return out

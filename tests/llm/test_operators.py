@@ -42,11 +42,24 @@ def test_topk_against_brute_force(spark):
 
 
 def test_topk_empty(spark):
-    d = spark.createDataFrame([], "vec_id long, w array<int>")
+    d = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>").withColumn("row", F.lit("clash")))
     assert topk.top_k(d, d).count() == 0
     assert topk.best(np.array([3, 1, 3, 3]), np.array([1, 2, 5, 7]), 2).tolist() == [0, 2]
 
 
+def test_topk_of_large_components_and_repeated_ids(spark):
+    rows = [(50, [1e7, 1.0]), (50, [1.0, 2.0]), (1, [-1e7, 0.5]), (1, [-1e7, 0.5]), (2, [3e38, -3e38]), (3, [0.25, 8e15])]
+    d = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("own", F.lit("clash")).withColumn("w", F.lit(1)))
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    w = [(i, [clip(math.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 1):
+        scores = sorted((-clip(sum(a * b for a, b in zip(w[q][1], w[j][1]))), w[j][0]) for j in range(len(w)) if j != q)
+        want += [(50, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    got = topk.top_k(d.where("vec_id = 50"), d).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # ---- 2 WARC
 
 
@@ -109,6 +122,13 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["last", "full", "whole", "room", "bin", "d", "_draw", "_source", "size2", "Copy of it"]
+    d = spark.createDataFrame([(i, "a" if i % 3 else "b", i, *(f"{n}{i}" for n in names)) for i in range(50)], ["doc_id", "source", "size", *names])
+    got = mixing.mix(d).collect()
+    assert len(got) == 50 and all(x[n] == f"{n}{x['doc_id']}" for x in got for n in names)
+
+
 def test_mixing_empty_and_zero(spark):
     d = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.mix(d).count() == 0
@@ -153,11 +173,26 @@ def test_leaks_of_null_and_shared_ids(spark):
     assert [x["doc_id"] for x in decontaminate.without_leaks(d, b).collect()] == [9]
 
 
+@pytest.mark.parametrize("postings", [decontaminate.SHARD_TERMS, 700])
+def test_leaks_against_brute_force(spark, monkeypatch, postings):
+    """The whole operator against all passages times all pieces, with one shard and with several."""
+    monkeypatch.setattr(decontaminate, "SHARD_TERMS", postings)
+    r = random.Random(14)
+    sizes = [5, 9, 20, 63, 64, 65, 128, 200, 400, 1000, 2000]
+    items = [(None if k == 3 else 9007199254740993 + k, prose(r, n, 3000) + (". " + prose(r, 6, 3000) if k % 2 else "")) for k, n in enumerate(sizes)]
+    docs = [(k, " ".join([prose(r, r.randrange(300), 3000), *(edited(r, t, e) for _, t in r.sample(items, 1)), prose(r, r.randrange(200), 3000)])) for k, e in enumerate([0, 0, 0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8] * 4)]
+    docs += [(100 + k, t) for k, (_, t) in enumerate(items)] + [(200, None), (201, ""), (None, items[2][1]), (202, prose(r, 3000, 3000))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute.leaks(docs, items)
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
+    assert {(100 + k, i) for k, (i, _) in enumerate(items)} <= want
+
+
 def test_wand_against_all_scores():
     r = random.Random(5)
     texts = {i: [prose(r, r.randrange(3, 40), 60)] for i in range(150)}
     rows = [{"item_id": i, "term": int(np.uint64(t).view(np.int64)), "w": r.random()} for i, t0 in texts.items() for t in np.unique(decontaminate.hashed(t0[0]))]
-    index = decontaminate._shard(texts, rows)
+    index = decontaminate._shard(texts, {"item": np.array([x["item_id"] for x in rows]), "piece": np.zeros(len(rows), int), "term": np.array([x["term"] for x in rows]), "w": np.array([x["w"] for x in rows])})
     own: dict = {}
     for x in rows:
         own[x["item_id"]] = own.get(x["item_id"], 0) + x["w"]
@@ -184,6 +219,37 @@ def test_blocks_of_bad_markup():
     assert [b.text for b in html.blocks("x" * 100_000)] == ["x" * 100_000]
 
 
+def test_blocks_after_unclosed_elements():
+    of = lambda page: [b.text for b in html.blocks(page)]
+    assert of("<p>a</p><button>Share<p>Article text<p>more") == ["a", "Article text", "more"]
+    assert of("<div>x<select><option>A<option>B</div><p>Article") == ["x", "Article"]
+    assert of("<header><object><embed>old</header><p>Article <button>no</button> text") == ["Article text"]
+    assert of("<button>one<p>kept<button>two</button> end") == ["kept end"]
+    assert of("<svg><path/><text>no</text></svg>b<object>c<object>d</object>e</object>f") == ["b f"]
+    assert of("a<![CDATA[ b > c <p>d") == ["a c", "d"] and of("a<![CDATA[ <p>b ]]>c") == ["ac"]
+    assert of("a<script>var x = '<p>no") == ["a"] and of("a<textarea>b</textarea>c") == ["a c"]
+    assert len(of("<button>" * 3000 + "<p>x" * 3000)) == 3000
+
+
+#: Hand-written pages in styles the training pages do not have, with their main text.
+PAGES = [
+    ("""<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><a href="/">Home</a> <a href="/n">News</a></header>
+<nav><ul><li><a href="/a">Sports</a><li><a href="/b">Weather</a></ul></nav><main><article><h1>River levels fall after a dry spring</h1>
+<p>Water levels along the upper river fell by a third of a metre in April, the agency said on Monday, after the driest spring in twenty years.</p>
+<p>Farmers near the delta have been asked to water their fields at night, and two locks stay closed until further notice.</p></article></main>
+<footer><p>&copy; 2024 All rights reserved. <a href="/privacy">Privacy policy</a></p></footer></body></html>""",
+     "River levels fall after a dry spring\nWater levels along the upper river fell by a third of a metre in April, the agency said on Monday, after the driest spring in twenty years.\nFarmers near the delta have been asked to water their fields at night, and two locks stay closed until further notice."),
+]
+
+
+def test_extract_in_spark(spark):
+    rows = [(9007199254740993, "u1", PAGES[0][0]), (None, None, PAGES[0][0]), (3, "u", None), (4, "u", ""), (9007199254740993, "u1", PAGES[0][0]), (5, "u", "<p>")]
+    got = block_labeller.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).coalesce(1)).collect()
+    assert [tuple(x) for x in got] == [(i, u, (t := PAGES[0][1] if h == PAGES[0][0] else ""), len(t)) for i, u, h in rows]
+    empty = block_labeller.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="<>/ap='\"!- b&;", max_size=60))
 def test_blocks_never_fail(page):
@@ -252,46 +318,109 @@ def test_components(spark):
 # ---- 7 LM
 
 
-def test_log_probs_sum_to_one():
-    net = lm.Net.new()
-    around = np.array([[1, 2, 3, 4]] * (lm.CLASSES * lm.MEMBERS))
-    assert np.exp(net.log_probs(around, np.arange(lm.CLASSES * lm.MEMBERS)).astype(float)).sum() == pytest.approx(1, abs=1e-3)
-    assert np.allclose(lm.Net.unpack(net.pack()).wm, net.wm)
-
-
-def test_scoring_prefers_the_corpus(spark):
+def test_log_probs_against_plain_loops():
+    net = lm.Net.new(8)
+    r = np.random.default_rng(1)
+    tokens = r.integers(0, 64, 300)
+    net.start_at(tokens)
+    net.weights[2][:] = r.standard_normal(lm.HIDDEN)
+    around, token, of = next(lm.windows([(0, tokens[:200]), (1, tokens[200:])], 63))
+    got = net.log_probs(around, token)
+    emb, w1, b1, wc, bc, wm, bm = (w.astype(float) for w in net.weights)
+    for text, lp in ((tokens[:200], got[:200]), (tokens[200:], got[200:])):
+        for i, t in enumerate(text):
+            x = [v for k in (-2, -1, 1, 2) for v in emb[text[i + k] if 0 <= i + k < len(text) else 63]]
+            z = [b1[j] + sum(x[k] * w1[k, j] for k in range(len(x))) for j in range(lm.HIDDEN)]
+            h = [v / (1 + abs(v)) for v in z]
+            c, m = divmod(int(t), 8)
+            one = [bc[j] + sum(h[k] * wc[k, j] for k in range(lm.HIDDEN)) for j in range(8)]
+            two = [bm[c, j] + sum(h[k] * wm[c, k, j] for k in range(lm.HIDDEN)) for j in range(8)]
+            want = one[c] - math.log(sum(map(math.exp, one))) + two[m] - math.log(sum(map(math.exp, two)))
+            assert lp[i] == pytest.approx(want, abs=1e-4)
+    everything = np.repeat(around[:1], 64, axis=0)
+    assert np.exp(net.log_probs(everything, np.arange(64))).sum() == pytest.approx(1, abs=1e-4)
+    assert all(np.array_equal(x, y) for x, y in zip(net.weights, lm.Net.unpack(net.pack(), 8).weights))
+
+
+def test_step_follows_the_gradient():
+    """A step with small rate moves every weight against the loss's numeric gradient."""
+    net = lm.Net.new(4)
+    net.squares = [np.full_like(s, 1e6) for s in net.squares]  # then a step is rate * gradient / 1000
+    r = np.random.default_rng(2)
+    around, token = r.integers(0, 16, (50, 4)).astype(np.int32), r.integers(0, 16, 50)
+    before = [w.copy() for w in net.weights]
+    net.step(around, token, 1.0)
+    for k, (w, old) in enumerate(zip(net.weights, before)):
+        at = np.unravel_index(np.abs(w - old).argmax(), w.shape)
+        loss = []
+        for d in (1e-2, -1e-2):
+            other = lm.Net(4, [x.copy() for x in before], net.squares)
+            other.weights[k][at] += d
+            loss.append(-other.log_probs(around, token).sum())
+        assert (old - w)[at] * 1000 == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=0.05), k
+
+
+def test_lm_is_far_above_word_frequencies(spark):
+    """Texts that training has not seen, in nats a token, with frequencies over the same places as the floor."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").dropDuplicates(["text"])
+    seen, held = docs.where("crc32(text) % 5 > 0"), docs.where("crc32(text) % 5 = 0")
+    words = lm.vocabulary(seen)
+    ids = lm.encoded(seen, words)
+    net = lm.train(ids, words)
+    tokens = np.concatenate([np.frombuffer(x["ids"], words.kind) for x in ids.collect()])
+    n = np.bincount(tokens, minlength=words.side**2) + 0.5
+    floor = np.log(n / n.sum())
+    texts = [np.frombuffer(x["text"].encode(), np.uint8) for x in held.collect()]
+    t = np.concatenate([words.of(x) for x in texts if len(x)])
+    got = lm.score(held, words, net).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    assert got[1] == len(t) and got[0] / got[1] > floor[t].mean() + 0.7
+    backwards = spark.createDataFrame([(" ".join(random.Random(i).sample(w, len(w))),) for i, w in enumerate(x.tobytes().decode().split() for x in texts) if w], "text string")
+    shuffled = lm.score(backwards, words, net).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    assert shuffled[0] / shuffled[1] < got[0] / got[1]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
     r = random.Random(8)
-    docs = [(i, " ".join(r.choice(["the cat sat", "a dog ran", "on the mat"]) for _ in range(120))) for i in range(80)] + [(100, None), (101, ""), (None, "the cat sat")]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("log_prob", F.lit("clash"))
-    words = lm.vocabulary(d)
-    net = lm.train(d, words)
-    got = {x["doc_id"]: x for x in lm.score(d, words, net).collect()}
+    docs = [(i, " ".join(r.choice(["the cat sat", "a dog ran", "on the mat", f"w{r.randrange(300)}"]) for _ in range(120))) for i in range(80)] + [(100, None), (101, ""), (None, "the cat sat"), (5, "again"), (5, "again")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    seen = []
+    for dealt in (d.coalesce(1), d.repartition(7), d.orderBy(F.desc("text"))):
+        words = lm.vocabulary(dealt)
+        ids = lm.encoded(dealt, words)
+        seen.append(sorted(lm.score_encoded(ids, words, lm.train(ids, words)).collect(), key=str))
+    for x, y, z in zip(*seen):
+        assert x[:2] == y[:2] == z[:2] and x[2] == pytest.approx(y[2], rel=1e-4) == pytest.approx(z[2], rel=1e-4)
+    got = {x["doc_id"]: x for x in seen[0]}
     assert got[100]["n_tokens"] == 0 and got[100]["log_prob"] == 0 and got[101]["mean_log_prob"] is None and got[None]["n_tokens"] == 3
-    fresh = {x["doc_id"]: x for x in lm.score(d, words, lm.Net.new()).collect()}
-    assert np.mean([got[i]["mean_log_prob"] for i in range(80)]) > np.mean([fresh[i]["mean_log_prob"] for i in range(80)]) + 0.5
-    t = lm.spread(words.of(np.frombuffer(docs[0][1].encode(), np.uint8)))
-    assert got[0]["log_prob"] == pytest.approx(float(net.log_probs(lm._windows(t), t).sum()), rel=1e-3)
+    again = [x for x in seen[0] if x["doc_id"] == 5 and x["n_tokens"] == 1]
+    assert len(again) == 2 and again[0] == again[1]
+    net = lm.train(ids, words)
+    kept = lm.score(d.withColumn("log_prob", F.lit("clash")), words, net)
+    assert kept.columns == ["doc_id", "text", "h", "n_tokens", "log_prob", "mean_log_prob"]
+    assert {(x["doc_id"], x["n_tokens"], round(x["log_prob"], 2)) for x in kept.collect()} == {(x["doc_id"], x["n_tokens"], round(x["log_prob"], 2)) for x in lm.score_encoded(ids, words, net).collect()}
     empty = spark.createDataFrame([], "doc_id long, text string")
     none = lm.vocabulary(empty)
-    assert lm.score(empty, none, lm.train(empty, none)).count() == 0
+    assert lm.score_encoded(lm.encoded(empty, none), none, lm.train(lm.encoded(empty, none), none)).count() == 0
 
 
-def test_lm_learns_from_every_position():
-    import pyarrow as pa
-
-    words = lm.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    texts = ["one two three", "one two three", None, "", "x", "a b " * 20_000]
-    got = np.concatenate(list(lm._examples([pa.record_batch({"text": texts})], words)))
-    want = [lm._windows(t) for x in texts if x for t in [lm.spread(words.of(np.frombuffer(x.encode(), np.uint8)))]]
-    assert len(got) == 3 + 3 + 1 + 40_000 and (got[:, :-1] == np.concatenate(want)).all()
+def test_lm_windows_in_pieces():
+    """Every position of every text once, with its own neighbours, also where a text is cut."""
+    r = np.random.default_rng(3)
+    rows = [r.integers(0, 60, n) for n in (1, 2, 3, 50_000, 1, 7, 2 * lm.PIECE)]
+    want = [[63 if not 0 <= i + k < len(x) else x[i + k] for k in (-2, -1, 1, 2, 0)] + [j] for j, x in enumerate(rows) for i in range(len(x))]
+    got = [np.concatenate([a, t[:, None], np.asarray(o)[:, None]], axis=1) for a, t, o in lm.windows(enumerate(rows), 63)]
+    assert np.array_equal(np.concatenate(got), np.array(want)) and max(map(len, got)) <= 2 * lm.PIECE
+    assert [len(x) for x in got]
 
 
 def test_lm_vocabulary_grows(spark):
-    small = lm.vocabulary(spark.createDataFrame([("a b c",)], "text string"))
-    large = lm.vocabulary(spark.range(40).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(250_000)), lambda i: (i % 7000).cast("string"))).alias("text")))
-    assert small.members == lm.MEMBERS and large.members == 2 * lm.MEMBERS and len(large.hashes) == 2 * lm.KNOWN
-    net = lm.Net.new(members=large.members)
-    assert lm.Net.unpack(net.pack()).members == large.members and large.placed(np.frombuffer(b"1 2 nowhere", np.uint8)).max() < len(net.emb)
+    words = lm.vocabulary(spark.createDataFrame([("a b c",)], "text string"))
+    assert words.side == 64 and len(words.hashes) == 3
+    assert [lm.side_of(n) for n in (0, 10**6, 10**8, 10**10, 10**13)] == sorted(lm.side_of(n) for n in (0, 10**6, 10**8, 10**10, 10**13)) and lm.side_of(10**8) > 64 and lm.side_of(10**13) > 256
+    large = lm.Words(words.hashes, words.tokens, 264)
+    assert large.kind == "<u4" and large.of(np.frombuffer(b"A a nowhere Somewhere", np.uint8)).max() < 264**2
+    a, b = large.of(np.frombuffer("Xhaus yhAus".encode(), np.uint8)), large.of(np.frombuffer("zzus qqqqus".encode(), np.uint8))
+    assert a[0] == a[1] and b[0] != a[0]  # rare words go by their ends
 
 
 # ---- 8 language ID
@@ -350,24 +479,70 @@ def test_feistel_is_a_permutation(n):
 
 def test_shards_round_trip(spark):
     r = random.Random(10)
-    docs = [(i, prose(r, r.randrange(1, 300))) for i in range(40)] + [(50, None), (51, ""), (None, "no id"), (1, "twice")]
+    docs = [(i, prose(r, r.randrange(1, 300))) for i in range(40)] + [(50, None), (51, ""), (None, "no id"), (1, "twice"), (1, "twice")]
     folder = shared_dir(spark) + "/test-shards"
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("slot", F.lit("clash"))
-    got = tokens.shards(d, folder, stride=32, per_shard=64).collect()
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("slot", F.lit("clash")).withColumn("task", F.lit("clash"))
+    out = tokens.shards(d, folder, stride=32, per_shard=64)
+    assert tokens.read_shard(folder, 0).shape == (64, 32)  # written before any action
+    got = out.collect()
     assert sorted(x["slot"] for x in got) == list(range(len(got)))
     parts: dict = {}
+    enc = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
     for x in got:
-        rec = tokens.read_shard(folder, x["shard"], x["offset"] // 64, 32)[0]
+        rec = tokens.read_shard(folder, x["shard"], x["offset"] // 64)[0]
         assert zlib.crc32(np.ascontiguousarray(rec)) == x["crc32"] and x["slot"] == x["shard"] * 64 + x["offset"] // 64
-        assert (rec[x["n_tokens"] :] == tokens.PAD).all()
+        assert (rec[x["n_tokens"] :] == tokens.pad_of(enc.kind)).all()
         parts.setdefault(x["doc_id"], []).append((x["seq"], rec[: x["n_tokens"]].tolist()))
-    enc = tokens.encoding(open(tokens.VOCABULARY, "rb").read())
     for i, t in docs:
         if t and i != 1:
             ids = [k for _, p in sorted(parts[i]) for k in p]
-            assert ids[-1] == tokens.END and enc.decode(ids[:-1]) == t
-    assert 50 not in parts and 51 not in parts
-    assert tokens.shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+            assert ids[-1] == enc.end and enc.split.decode(ids[:-1]) == t
+    assert 50 not in parts and 51 not in parts and len([s for s, _ in parts[1] if s == 0]) == 3
+    empty = tokens.shards(spark.createDataFrame([], "doc_id long, text string"), folder + "-none")
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_slots_are_numbers_in_order_of_documents(spark):
+    """The whole operator against plain loops: same slots however the rows are dealt."""
+    r = random.Random(12)
+    docs = [(r.randrange(-50, 10**6), prose(r, r.randrange(1, 200))) for _ in range(150)] + [(None, "no id " * 40), (7, "a " * 70), (7, "b " * 70)]
+    enc = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    hashes = {x["text"]: x["h"] for x in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    want, number = {}, 0
+    for i, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]])):
+        ids = enc.split.encode_ordinary(t) + [enc.end]
+        for k in range(-(-len(ids) // 32)):
+            part = ids[32 * k : 32 * k + 32]
+            want[number] = (i, k, len(part), zlib.crc32(np.array(part + [0xFFFF] * (32 - len(part)), "<u2")))
+            number += 1
+    slots = tokens.feistel(np.arange(number), number).tolist()
+    want = {slots[n]: x for n, x in want.items()}
+    for dealt in (d.coalesce(1), d.repartition(3), d.orderBy(F.desc("text")).repartition(7)):
+        got = tokens.shards(dealt, stride=32, per_shard=50).collect()
+        assert {x["slot"]: (x["doc_id"], x["seq"], x["n_tokens"], x["crc32"]) for x in got} == want and len(got) == number
+
+
+WHITE = [" ", "\t", "\u3000", "\u2003", "\n"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["a", "don't", " the", "12", "\x1c", "!?", "é"]), st.tuples(st.sampled_from(WHITE), st.integers(1, 12)).map(lambda x: x[0] * x[1])), max_size=12))
+def test_runs_of_white_space_are_encoded_as_in_the_whole(parts):
+    enc, text = tokens.encoder(open(tokens.VOCABULARY, "rb").read()), "".join(parts)
+    before = tokens.LONG, tokens._RUNS
+    tokens.LONG, tokens._RUNS = 3, tokens.re.compile(f"[{tokens.WHITE}]{{3,}}")
+    try:
+        assert enc.ids(text).tolist() == enc.split.encode_ordinary(text) + [enc.end]
+    finally:
+        tokens.LONG, tokens._RUNS = before
+
+
+def test_very_long_texts_are_encoded():
+    enc = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    for text in (" " * 1_000_000, "a" * 1_000_000, "x" + "\n" * 1_000_000 + "y", "!" * 1_000_000, "ab " * 400_000):
+        assert enc.split.decode(enc.ids(text)[:-1].tolist()) == text
+    assert tokens.kind_of(65534) == "<u2" and tokens.kind_of(65535) == "<u4" and tokens.pad_of("<u4") == 2**32 - 1
 
 
 # ---- 10 suffix arrays and repeats
