@@ -136,3 +136,41 @@ def test_settings():
         config.pick([{"slug": "a"}], ["c", "a", "b"])
     with pytest.raises(ValueError, match="given twice: a"):
         config.sources('[{"slug": "a"}, {"slug": "a"}]')
+
+
+@pytest.mark.parametrize("kind,bits", [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)])
+def test_wav_of_every_width(kind, bits):
+    import struct
+
+    want = np.array([[0.0, 0.5], [-0.5, -1.0], [0.25, 0.75]])
+    if kind == 3:
+        raw = want.astype(f"<f{bits // 8}").tobytes()
+    elif bits == 8:
+        raw = (want * 127 + 128).round().clip(0, 255).astype(np.uint8).tobytes()
+    else:
+        whole = (want * (2 ** (bits - 1) - 1)).round().astype("<i8")
+        raw = b"".join(int(x).to_bytes(8, "little", signed=True)[: bits // 8] for x in whole.ravel())
+    for extensible in (False, True):
+        head = struct.pack("<HHIIHH", 0xFFFE if extensible else kind, 2, 8000, 8000 * 2 * bits // 8, 2 * bits // 8, bits)
+        if extensible:
+            head += struct.pack("<HHIH", 22, bits, 3, kind) + bytes(14)
+        chunks = b"fmt " + struct.pack("<I", len(head)) + head + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(raw)) + raw
+        x, rate = A.wav_samples(b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks)
+        assert rate == 8000 and np.allclose(x, want.mean(axis=1), atol=0.01)
+
+
+def test_wav_of_other_formats_is_an_error():
+    import struct
+
+    for kind, bits in ((1, 12), (6, 8), (3, 16)):
+        head = struct.pack("<HHIIHH", kind, 1, 8000, 8000, 1, bits)
+        with pytest.raises(ValueError, match="WAV format"):
+            A.wav_samples(b"RIFF" + bytes(4) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + bytes(4))
+    with pytest.raises(ValueError):
+        A.wav_samples(b"ID3")
+
+
+def test_weak_words_and_modules(spark):
+    assert len(A.WEAK) == 130 and {"не", "вже", "також", "нехай"} <= A.WEAK
+    d = spark.createDataFrame([("text_model.x",), ("audio_decoder.layers.1",), ("audio_decoder.codebook_embeddings.w",), ("else",), (None,)], "k string")
+    assert [r[0] for r in d.select(T.module_group(F.col("k"))).collect()] == ["text_model (slow AR)", "audio_decoder.layers (fast AR)", "audio_decoder.codebook", "other", "other"]

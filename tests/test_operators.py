@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +95,75 @@ def test_partners(spark):
     assert D.speaker_groups(c).count() == 5
     got = dict((r["clip_id"], r["partner"]) for r in D.partners(c).collect())
     assert sorted(got) == sorted(got.values()) == [0, 1, 2, 3, 4] and all(k != v for k, v in got.items())
+
+
+def test_similar_pairs_against_plain_cosines(spark):
+    r = random.Random(1)
+    nodes = [(f"n{k}", [r.gauss(0, 1) for _ in range(4)]) for k in range(60)] + [("null", None), ("zero", [0.0] * 4), ("short", [1.0, 2.0]), ("short2", [1.0, 2.1]), ("n3", [9.0, 0.0, 0.0, 0.0])]
+    got = P.similar_pairs(spark.createDataFrame(nodes, "name string, embedding array<float>"), 0.6, block=16).collect()
+    want = []
+    for i, (a, x) in enumerate(nodes):
+        for b, y in nodes[:i]:
+            if x and y and len(x) == len(y) and any(x) and any(y) and a != b:
+                c = sum(p * q for p, q in zip(x, y)) / math.dist(x, [0] * len(x)) / math.dist(y, [0] * len(y))
+                if c > 0.6:
+                    want.append((*sorted((a, b)), round(c, 5)))
+    assert sorted((x.a, x.b, round(x.similarity, 5)) for x in got) == sorted(want) and ("short", "short2") in {x[:2] for x in want}
+    assert P.similar_pairs(spark.createDataFrame([], "name long, embedding array<float>"), 0.5).count() == 0
+
+
+def test_splits_are_exact_without_a_global_order(spark):
+    d = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("g"))
+    plain = D.split_eval(d, F.col("id"))
+    assert plain.where("is_eval").count() == 250 and plain.count() == 5000 and plain.columns == ["id", "g", "is_eval"]
+    want = sorted(range(5000), key=lambda k: (__import__("hashlib").md5(f"42-{k}".encode()).hexdigest(), k))[:250]
+    assert sorted(r.id for r in plain.where("is_eval").collect()) == sorted(want)
+    per = {r.g: (r.n, r.e) for r in D.split_eval(d, F.col("id"), 0.1, by=["g"]).groupBy("g").agg(F.count("*").alias("n"), F.count_if("is_eval").alias("e")).collect()}
+    assert all(e == n // 10 for n, e in per.values()) and len(per) == 5
+    assert D.split_eval(d.where("id < 1"), F.col("id")).where("is_eval").count() == 0 and D.split_eval(d.where("false"), F.col("id")).count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    d = spark.range(3000).select(((F.col("id") * 7919) % 3001).alias("k"), F.lit("x").alias("_chunk2")).repartition(5)
+    got = D.numbered(d, [F.desc("k")]).collect()
+    assert [r.seq for r in sorted(got, key=lambda r: -r.k)] == list(range(1, 3001))
+    assert D.numbered(d.where("false"), [F.col("k")]).count() == 0
+
+
+def test_held_within_against_brute_force(spark):
+    r = random.Random(2)
+    wholes = ["".join(r.choice("abc é") for _ in range(r.randrange(0, 120))) for _ in range(80)] + [None, ""]
+    parts = [w[a : a + n] for w in wholes if w for n in (1, 2, 3, 4, 7, 14, 15, 16, 40) for a in [r.randrange(len(w))]] + ["zzz", "q" * 30, None, ""]
+    got = R.held_within(spark.createDataFrame([(p,) for p in parts], "p string"), spark.createDataFrame([(w,) for w in wholes], "w string"), "p", "w").collect()
+    want = {(p, w) for p in parts for w in wholes if p and w is not None and p in w}
+    assert {(x.p, x.w) for x in got} == want and len(got) == len(want)
+
+
+def test_percentiles_of_nothing_are_zero(spark):
+    d = spark.createDataFrame([(None,)], "v double")
+    assert rows(R.nearest_rank(d, "v", [5, 50])) == [(5.0, 0.0), (50.0, 0.0)]
+
+
+def test_audio_must_exist(spark):
+    d = spark.createDataFrame([("wavs/a.wav", 1), ("wavs/b.wav", 2), ("old/c.wav", 3)], "audio_file string, k int")
+    f = spark.createDataFrame([("file:/x/wavs/a.wav",), ("file:/x/other/b.wav",), ("file:/x/wavs/c.wav",)], "path string")
+    assert rows(D.with_audio(d, f).select("k", "path")) == [(1, "file:/x/wavs/a.wav")]
+    assert [k for k, _ in rows(D.with_audio(d, f, basename=True).select("k", "path"))] == [1, 2, 3]
+    with pytest.raises(FileNotFoundError, match="2 audio files"):
+        D.with_audio(d, f, missing="error")
+    clips = spark.createDataFrame([("1", 9.0, "wavs/a.wav"), ("2", 8.1, "wavs/b.wav"), ("3", 2.0, "wavs/c.wav")], "clip_id string, duration double, audio_file string")
+    assert D.hub_reference(clips, 8.0, f).first().clip_id == "1" and D.hub_reference(clips, 8.0).first().clip_id == "2" and D.hub_reference(clips, 8.0, f, first=1).count() == 0
+
+
+def test_texts_of_references(spark):
+    f = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, path string")
+    t = lambda *x: spark.createDataFrame(list(enumerate(x)), "pos int, text string")
+    assert rows(D.zip_texts(f, t(" one", " "), "d")) == [(0, "a", "one"), (1, "b", "d")]
+    assert rows(D.zip_texts(f, t("one"), "d")) == [(0, "a", "one"), (1, "b", "one")] and rows(D.zip_texts(f, t(), "d"))[0] == (0, "a", "d")
+    with pytest.raises(ValueError, match="3 texts for 2"):
+        D.zip_texts(f, t("a", "b", "c"))
+
+
+def test_totals(spark):
+    d = spark.createDataFrame([(1800.004,), (1800.0,)], "s double")
+    assert tuple(d.agg(*R.totals(F.col("s"))).first()) == (2, 3600.0, 1.0) and tuple(d.where("false").agg(*R.totals(F.col("s"))).first()) == (0, 0.0, 0.0)

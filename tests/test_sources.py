@@ -75,3 +75,22 @@ def test_catalog_and_manifests(spark, tmp_path):
     whole = files.read_if_whole(spark, str(tmp_path / "m.json"), schema)
     assert whole.select(files.int_keys(F.col("stats.sample_rates"))).first()[0] == {16000: 2}
     assert files.read_if_whole(spark, str(tmp_path / "bad.json"), schema) is None and files.read_if_whole(spark, str(tmp_path / "no.json"), schema) is None
+
+
+def test_speaker_folders(spark, tmp_path):
+    d = spark.createDataFrame([("a", "wavs/1.wav", "text", b"RIFF"), ("a", "wavs/2.wav", None, b"x"), ("b", "3.wav", "t", None)], "speaker_name string, audio_file string, text string, content binary")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "old.wav").write_text("")
+    (tmp_path / "z").mkdir()
+    assert sorted(map(tuple, files.write_speaker_folders(d, str(tmp_path)).collect())) == [("a", 2)]
+    assert sorted(p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")) == ["1.lab", "1.wav", "2.lab", "2.wav"] and (tmp_path / "z").exists()
+    assert (tmp_path / "a" / "1.lab").read_text() == "text" and (tmp_path / "a" / "1.wav").read_bytes() == b"RIFF"
+    with pytest.raises(ValueError, match="nothing"):
+        files.write_speaker_folders(d.where("false"), str(tmp_path))
+    with pytest.raises(ValueError, match="folders"):
+        files.write_speaker_folders(d.withColumn("speaker_name", F.lit("../x")), str(tmp_path))
+
+
+def test_latest_step(spark):
+    d = spark.createDataFrame([("x/step_000010.ckpt",), ("x/step_000200-v1.ckpt",), ("x/last.ckpt",), ("x/step_9.txt",)], "path string")
+    assert files.latest_step(d).first()[0] == 200 and files.latest_step(d.where("false")).first()[0] == 0

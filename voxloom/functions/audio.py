@@ -325,7 +325,15 @@ def finish(x, rate: int, reference, reference_rate: int, syllables: int = 0, ref
 
 
 #: Words too weak to be marked by their sound (pronouns, particles, prepositions).
-WEAK = frozenset("не на що він до це як за так її ви про ти та був ще від чи ми все йому коли нього із тут вже".split())
+WEAK = frozenset(
+    """
+    не на що він до це як за так її ви про ти та був ще від чи ми все йому коли нього із тут вже то щоб там по
+    того ні для те була їх той вам вас щось але або бо же би б і й у в з зі під над при без через після перед між
+    коло біля ось ну хай нехай аби хоч хоча якщо тоді тепер потім тому цього цю ця цей ці цих цим свої свій своя
+    своє мене мені мною тебе тобі тобою нас нам нами них ним ними нею неї його вона воно вони я а де куди звідки
+    чому хто кого кому ким чим чого собі себе собою було були є буде може можна треба має ньому вами отож також
+    """.split()
+)
 
 
 def stressed_vowel(word: str, x: np.ndarray) -> int | None:
@@ -367,11 +375,46 @@ def wav_header(content: bytes | None) -> tuple[float | None, int | None]:
         return None, None
 
 
+#: Fixed values of WAV files: tags of a format chunk.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+
+
+def _chunks(content: bytes) -> dict[bytes, bytes]:
+    """The first chunk of each name; a data chunk may end with the file."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("no WAV file")
+    found: dict[bytes, bytes] = {}
+    at = 12
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        found.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return found
+
+
 def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples in -1 to 1, downmixed, of 16-bit PCM."""
-    with wave.open(io.BytesIO(content)) as w:
-        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32_768
-        return x.reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
+    """Samples in -1 to 1, downmixed, of PCM of 8, 16, 24 or 32 bits and of 32- or 64-bit floats."""
+    parts = _chunks(content)
+    if b"fmt " not in parts or b"data" not in parts:
+        raise ValueError("a WAV file without format or data")
+    about, data = parts[b"fmt "], parts[b"data"]
+    number = lambda at, n: int.from_bytes(about[at : at + n], "little")
+    kind, channels, rate, bits = number(0, 2), number(2, 2), number(4, 4), number(14, 2)
+    kind = number(24, 2) if kind == EXTENSIBLE and len(about) >= 26 else kind
+    if channels < 1 or (kind, bits) not in ((PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)):
+        raise ValueError(f"WAV format {kind} of {bits} bits in {channels} channels")
+    raw = np.frombuffer(data, np.uint8)[: len(data) // (channels * bits // 8) * (channels * bits // 8)]
+    if kind == FLOAT:
+        x = raw.view(f"<f{bits // 8}").astype(np.float32)
+    elif bits == 8:  # the only width without a sign
+        x = (raw.astype(np.float32) - 128) / 128
+    elif bits == 24:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = raw.reshape(-1, 3)
+        x = (wide.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
+    else:
+        x = (raw.view(f"<i{bits // 8}") / 2.0 ** (bits - 1)).astype(np.float32)
+    return x.reshape(-1, channels).mean(axis=1), rate
 
 
 def cut_wav(content: bytes, start: float, end: float, padding: float = 0.05) -> bytes:

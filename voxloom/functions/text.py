@@ -190,3 +190,15 @@ def synthesis_prompt(reference: Column, target: Column, prefix: str) -> Column:
     """The text of a training prompt; what the assistant says follows it."""
     turn = lambda who, *parts: F.concat(F.lit(f"<|im_start|>{who}\n"), *parts, F.lit("<|im_end|>\n"))
     return F.concat(turn("system", F.lit(prefix), F.lit("<|speaker:0|>"), reference), turn("user", target), F.lit("<|im_start|>assistant\n"))
+
+
+#: Beginnings of tensor names and how their groups are called.
+MODULES = {
+    "text_model.": "text_model (slow AR)", "audio_decoder.layers.": "audio_decoder.layers (fast AR)", "audio_decoder.embeddings.": "audio_decoder.embeddings",
+    "audio_decoder.output.": "audio_decoder.output", "audio_decoder.norm.": "audio_decoder.norm", "audio_decoder.codebook_embeddings.": "audio_decoder.codebook",
+}
+
+
+def module_group(key: Column) -> Column:
+    """The group of a tensor by the beginning of its name."""
+    return F.coalesce(*(F.when(key.startswith(k), v) for k, v in MODULES.items()), F.lit("other"))

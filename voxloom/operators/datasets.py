@@ -142,3 +142,45 @@ def partners(clips: DataFrame, seed: int = 42, by: str = "speaker_name", key: st
     w = W.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), key)
     d = clips.withColumn("partner", F.coalesce(F.lead(key).over(w), F.first(key).over(w.rowsBetween(W.unboundedPreceding, 0))))
     return d.where(F.col("partner") != F.col(key))
+
+
+def with_audio(df: DataFrame, files: DataFrame, column: str = "audio_file", missing: str = "skip", basename: bool = False) -> DataFrame:
+    """Rows whose audio is among the files (path) found: a semi-join on the path's end.
+
+    ``path`` becomes the file's own. With ``basename`` a row whose path is not there may have any
+    file of its name, the first by path. Missing audio is skipped, or an error.
+    """
+    tail = lambda c: F.element_at(F.split(c, "/"), -1)
+    f = files.select(F.col("path").alias("_path"), tail(F.col("path")).alias("_name"))
+    d = df.withColumn("_name", tail(F.col(column))).withColumn("_id", F.monotonically_increasing_id())
+    whole = (F.col("_path") == F.col(column)) | F.col("_path").endswith(F.concat(F.lit("/"), F.col(column)))
+    met = d.join(f, "_name", "left").withColumn("_rank", F.when(whole, 0).when(F.col("_path").isNotNull() & F.lit(basename), 1))
+    best = met.groupBy("_id").agg(F.min(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_path"))).alias("_b"))
+    found = d.join(best, "_id").where("_b is not null").withColumn("path", F.col("_b._path")).drop("_id", "_b", "_name")
+    if missing == "error":
+        lost = best.where("_b is null").count()
+        if lost:
+            raise FileNotFoundError(f"{lost} audio files are missing")
+    return found
+
+
+def zip_texts(files: DataFrame, texts: DataFrame, default: str = "") -> DataFrame:
+    """Reference audio (pos, path) with texts (pos, text) of the same place.
+
+    One text serves all files; blank texts have the default; another count of texts is an error.
+    """
+    n, m = files.count(), texts.count()
+    if m not in (0, 1, n):
+        raise ValueError(f"{m} texts for {n} references")
+    t = texts.select("pos", F.coalesce(F.when(F.trim("text") != "", F.trim("text")), F.lit(default)).alias("text"))
+    if m == 1:
+        only = t.first()["text"]
+        return files.withColumn("text", F.lit(only))
+    return files.join(t, "pos", "left").withColumn("text", F.coalesce("text", F.lit(default)))
+
+
+def hub_reference(clips: DataFrame, target: float, files: DataFrame | None = None, first: int = 10, position: str = "clip_id") -> DataFrame:
+    """The clip closest to the target length among the ``first`` closest whose audio is there."""
+    near = clips.withColumn("_gap", F.abs(F.col("duration") - target)).orderBy("_gap", position).limit(first)
+    near = near if files is None else with_audio(near, files)
+    return near.orderBy("_gap", position).limit(1).drop("_gap")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[float], by: list[str] | None = None) -> DataFrame:
-    """Nearest-rank percentiles: the value at the half-even rounded rank p / 100 * (n - 1)."""
+    """Nearest-rank percentiles: the value at the half-even rounded rank p / 100 * (n - 1); 0 for no values at all."""
     part = W.partitionBy(*by) if by else W.partitionBy()
     d = df.select(*(by or []), F.col(value).alias("v")).where("v is not null")
     # equal values fold first, so a rank is found in the table of different values
@@ -17,7 +17,11 @@ def nearest_rank(df: DataFrame, value: str, percents: list[float], by: list[str]
     counts = counts.withColumn("upto", F.sum("n").over(part.orderBy("v"))).withColumn("total", F.sum("n").over(part))
     wanted = F.explode(F.array(*map(F.lit, map(float, percents)))).alias("percent")
     w = counts.select("*", wanted).withColumn("rank", F.rint(F.col("percent") / 100 * (F.col("total") - 1)) + 1)
-    return w.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select(*(by or []), "percent", F.col("v").alias("value"))
+    found = w.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select(*(by or []), "percent", F.col("v").alias("value"))
+    if by:
+        return found
+    every = df.sparkSession.createDataFrame([(float(p),) for p in percents], "percent double")
+    return every.join(found, "percent", "left").select("percent", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def spread(value: str) -> list[Column]:
@@ -142,6 +146,35 @@ def _minutes(name: str) -> Column:
     return F.format_string("speech %.1f min", F.col(name) / 60)
 
 
+def transcript_report(transcripts: DataFrame, target: str = "uk", short: int = 10) -> DataFrame:
+    """A corpus of transcripts with their statistics as one row: how many are aligned, hours, histograms
+    of the files' and the regions' languages, sums of counters, tallies and spreads of the segments.
+
+    Texts are judged trimmed; segments of another language are those whose language is known.
+    """
+    counters = ["segments_kept", "rejected_quality", "rejected_non_target_language", "rejected_empty", "rejected_too_short"]
+    number = lambda c: F.coalesce(F.sum(f"stats.{c}"), F.lit(0))
+    files = transcripts.agg(
+        F.count("*").alias("transcripts"), F.count_if(F.col("aligned_at") != "").alias("aligned"),
+        F.round(F.coalesce(F.sum("stats.kept_speech_duration_sec"), F.lit(0.0)) / 3600, 2).alias("hours"), *(number(c).alias(c) for c in counters),
+    ).withColumn("aligned_percent", F.round(F.when(F.col("transcripts") > 0, F.col("aligned") / F.col("transcripts") * 100).otherwise(0.0), 1))
+    histogram = lambda d, name: d.groupBy("k").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "k"))).alias("x")).select(F.transform("x", lambda e: F.struct(e["k"].alias("language"), (-e["o"]).alias("n"))).alias(name))
+    of_files = histogram(transcripts.select(F.coalesce("language", F.lit("?")).alias("k"), F.lit(1).alias("n")), "file_languages")
+    of_regions = histogram(transcripts.select(F.explode("stats.detected_languages").alias("k", "n")), "region_languages")
+    s = transcripts.select(F.explode("segments").alias("s")).select("s.*")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    segments = s.agg(
+        F.count("*").alias("segments"), F.count_if(text == "").alias("empty"), F.count_if((text != "") & (F.length(text) < short)).alias("short"), F.count_if(F.col("language") != target).alias("other_language"),
+        F.count_if(F.col("avg_logprob") < -1.0).alias("low_logprob"), F.count_if(F.col("no_speech_prob") > 0.6).alias("no_speech"), F.count_if(F.col("compression_ratio") > 2.4).alias("compressed"),
+        *(F.struct(F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")),
+    )
+    scores = s.select(F.explode("words").alias("w")).agg(F.count("w.probability").alias("words"), F.avg("w.probability").alias("mean_word_score"))
+    out = files
+    for one in (of_files, of_regions, segments, scores):  # each is one row
+        out = out.join(F.broadcast(one), F.lit(True))
+    return out
+
+
 def transcript_summary(target: str) -> Column:
     """One line over the counters of a transcript's statistics."""
     rejects = ["rejected_non_target_language", "rejected_quality", "rejected_empty", "rejected_too_short", "rejected_alignment_failed"]

@@ -15,6 +15,8 @@ from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import gates as G
 from ..operators import intervals as I
+from ..operators import reports as R
+from ..operators import speakers as P
 from ..sources import schemas
 
 
@@ -26,6 +28,7 @@ class Settings:
     target_language: str | None = None
     split_by_script: bool = False
     merge_gap: float = 0.3
+    normalise_loudness: bool = True
 
 
 PARTS = f"video_id string, idx int, start double, end double, text string, avg_logprob double, no_speech_prob double, compression_ratio double, words array<{schemas.WORD}>, language string, speaker_id string"
@@ -109,10 +112,12 @@ def _languages(d: DataFrame, s: Settings) -> DataFrame:
     return whole.join(d.where(F.size("_runs") > 1).select("video_id", "pos"), ["video_id", "pos"], "left_anti").unionByName(many.select(*whole.columns))
 
 
-def build_clips(transcripts: DataFrame, base: str, s: Settings = Settings()) -> DataFrame:
+def build_clips(transcripts: DataFrame, base: str, s: Settings = Settings(), volumes: DataFrame | None = None) -> DataFrame:
     """Clips with the 16 columns of the manifest and ``reject_reason``, null for those kept.
 
-    Clip ids count the segments before the last gates, so ids of kept clips have holes.
+    ``volumes`` (clip_id, mean_volume_db, max_volume_db) are the measured levels; clips without
+    one have none, and fail the volume gate unless loudness is normalised. Clip ids count the
+    segments before the last gates, so ids of kept clips have holes.
     """
     d = _languages(judged(transcripts, s).where("reject_reason is null"), s).where(G.allowed_language(F.col("language"), list(s.allowed)))
     cols = ["video_id", "pos", "part", "start", "end", "text", "avg_logprob", "no_speech_prob", "compression_ratio", "words", "language", "speaker_id"]
@@ -121,11 +126,16 @@ def build_clips(transcripts: DataFrame, base: str, s: Settings = Settings()) ->
     seconds = F.col("end") - F.col("start")
     score, low = G.mean_score(F.col("words")), G.low_share(F.col("words"), s.quality.min_word_score)
     none = F.lit(None).cast("double")
-    return c.select(
+    out = c.select(
         F.concat("video_id", F.lit("_"), F.format_string("%04d", "idx")).alias("clip_id"), "video_id", "start", "end", "text", seconds.alias("duration"), "source_audio",
         T.local_speaker(F.lit(base), F.col("video_id"), F.col("speaker_id")).alias("speaker_name"), score.alias("avg_word_score"), "avg_logprob", "no_speech_prob", "compression_ratio",
         low.alias("low_score_word_ratio"), none.alias("mean_volume_db"), none.alias("max_volume_db"), none.alias("quality_score"), G.length_reason(F.length("text"), seconds, s.lengths).alias("reject_reason"),
     )
+    if volumes is not None:
+        own = volumes.select("clip_id", F.col("mean_volume_db").alias("_mean"), F.col("max_volume_db").alias("_max"))
+        out = out.join(own, "clip_id", "left").withColumn("mean_volume_db", F.col("_mean")).withColumn("max_volume_db", F.col("_max")).drop("_mean", "_max")
+    loud = G.loud_enough(F.col("mean_volume_db"), F.col("max_volume_db"), s.quality, s.normalise_loudness)
+    return out.withColumn("reject_reason", F.coalesce("reject_reason", F.when(~loud, "audio_quality")))
 
 
 def segment_stats(transcripts: DataFrame, clips: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -158,3 +168,31 @@ def merge_datasets(parts: list[DataFrame], default_speaker: str = "speaker", sha
     d = D.union_datasets(parts).withColumn("speaker_name", T.or_default(F.col("speaker_name"), default_speaker)).withColumnRenamed("audio_file", "source_file")
     d = D.numbered(d, [F.col("src_ord"), F.col("source_file")])
     return D.split_eval(d.withColumn("audio_file", F.concat(D.file_name(F.col("seq")), F.lit(".wav"))), F.col("seq"), share, seed)
+
+
+def payload_transcripts(payloads: DataFrame) -> DataFrame:
+    """Split recogniser payloads with the statistics of their speech: kept segments and seconds,
+    marked alignment failures, how often each language was detected."""
+    none = F.array().cast("array<string>")
+    langs = F.filter(F.transform("segments", lambda x: x["language"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    seconds = F.aggregate("segments", F.lit(0.0), lambda t, x: t + x["end"] - x["start"])
+    marked = F.size(F.filter("segments", lambda x: x["alignment_failed"]))
+    counted = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.coalesce(langs, none))), lambda k: F.struct(k, F.size(F.filter(langs, lambda x: x == k)))))
+    zero = lambda name: F.lit(0).alias(name)
+    stats = F.struct(
+        F.size("segments").alias("segments_kept"), zero("rejected_non_target_language"), zero("rejected_quality"), zero("rejected_empty"), zero("rejected_too_short"), zero("rejected_alignment_failed"),
+        marked.alias("marked_alignment_failed"), seconds.alias("kept_speech_duration_sec"), counted.alias("detected_languages"),
+    )
+    return payloads.withColumn("stats", stats)
+
+
+def speaker_map(transcripts: DataFrame, base: str, threshold: float = 0.65) -> DataFrame:
+    """Transcripts to (name, speaker): speakers of all videos clustered by their voices.
+
+    Where no speaker has an embedding, equal local names are one speaker.
+    """
+    d = transcripts.select("video_id", F.explode("speakers").alias("s")).where("s.id is not null")
+    nodes = d.select(T.local_speaker(F.lit(base), F.col("video_id"), F.col("s.id")).alias("name"), F.col("s.embedding").alias("embedding"), F.coalesce("s.speech_seconds", F.lit(0.0)).alias("speech_seconds"))
+    if nodes.where("size(embedding) > 0").isEmpty():
+        return P.fallback_map(nodes.select("name").distinct(), base).select("name", "speaker")
+    return P.cluster_speakers(nodes.dropDuplicates(["name"]), threshold, base).select("name", "speaker")

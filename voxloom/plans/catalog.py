@@ -382,7 +382,8 @@ def transcript_stats(spark, sf_dir):
     return m.groupBy("video_id").agg(F.count("*").alias("kept"), F.sum("n").alias("parts"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
 
 
-from . import literals  # noqa: E402
+from . import derived, literals  # noqa: E402
 
-QUERIES.update(literals.QUERIES)
-SQL.update(literals.SQL)
+for more in (derived, literals):
+    QUERIES.update(more.QUERIES)
+    SQL.update(more.SQL)

@@ -200,10 +200,15 @@ def streaming_import(spark, sf_dir):
     counts = judged(rows, n=n).groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
     q = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    found = spark.table(name)
+    spark.catalog.dropTempView(name)  # what the view named stays with the result
+    return found
 
 
 QUERIES["streaming_import"] = streaming_import
+SQL["streaming_import"] = r"""WITH c AS (SELECT n_chars * 60 AS ms, trim(regexp_replace(replace(trim(regexp_replace(replace(text, '|', ' '), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), '...', '.'), '[^\p{L}\p{N}_\s\x{400}-\x{4FF}.,!?;:\-—''"()«»]', '', 'g')) AS text FROM documents)
+SELECT CASE WHEN coalesce(text, '') = '' OR length(text) NOT BETWEEN 10 AND 2200 THEN 'text' WHEN ms > 0 AND ms NOT BETWEEN 1500 AND 120000 THEN 'duration'
+  WHEN ms IS NULL OR ms NOT BETWEEN 1500 AND 120000 THEN 'measured' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY 1"""
 
 
 def top_clips(spark, sf_dir):

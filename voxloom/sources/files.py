@@ -45,10 +45,14 @@ def read_clips(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
 
 
 def read_videos(spark: SparkSession, path: str) -> DataFrame:
-    """Download manifest, healed: one row a video, an existing file first, then the newest, then the later line."""
+    """Download manifest, healed: one row a video, an existing file first, then the newest, then the later line.
+
+    Lines keep their place: the file's name, the block of the file that a task reads, the line in it.
+    """
     from pyspark.sql import Window as W
 
-    d = spark.read.schema(S.VIDEO).json(path).withColumn("_pos", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    d = spark.read.schema(S.VIDEO).json(path).withColumn("_pos", place)
     order = [F.desc(F.coalesce(F.col("audio_path") != "", F.lit(False))), F.desc_nulls_last("downloaded_at"), F.desc("_pos")]
     return d.withColumn("_k", F.row_number().over(W.partitionBy("video_id").orderBy(*order))).where("_k = 1").drop("_k", "_pos")
 
@@ -138,11 +142,49 @@ def wav_durations(audio: DataFrame) -> DataFrame:
     return audio.withColumn("_h", header("content")).select("*", "_h.seconds", "_h.sample_rate").drop("_h")
 
 
-def write_speaker_folders(df: DataFrame, path: str) -> None:
-    """Audio and text by speaker; only the speakers written are replaced; none at all is an error."""
-    if df.limit(1).count() == 0:
+def write_speaker_folders(df: DataFrame, path: str) -> DataFrame:
+    """Rows (speaker_name, audio_file, text, content) as NAME.wav and NAME.lab in a folder a speaker.
+
+    Folders of the speakers written are replaced, others stay; none at all is an error. Files
+    are written by the tasks and moved to their names when whole. Speaker and clips of each.
+    """
+    import re
+    import uuid
+
+    import pandas as pd
+    from pyarrow import fs as A
+
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(p).toString()
+    speakers = [r[0] for r in df.select("speaker_name").distinct().collect()]  # a folder each
+    if not speakers:
         raise ValueError("nothing to write")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("speaker_name").parquet(path)
+    bad = [s for s in speakers if s is None or not s.strip(".") or re.search(r"[/\\\0]", s)]
+    if bad:
+        raise ValueError(f"names that cannot be folders: {bad}")
+    for s in speakers:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, s), True)
+
+    def run(frames):
+        local = root.startswith("file:")
+        store, base = (A.LocalFileSystem(), "/" + root[5:].lstrip("/")) if local else A.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", root))
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                stem = r.audio_file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                store.create_dir(f"{base}/{r.speaker_name}", recursive=True)
+                for end, raw in ((".wav", r.content), (".lab", r.text.encode())):
+                    part = f"{base}/{r.speaker_name}/{stem}{end}.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(part) as out:
+                        out.write(raw)
+                    store.move(part, f"{base}/{r.speaker_name}/{stem}{end}")
+            yield pd.DataFrame({"speaker_name": pdf["speaker_name"], "n": 1})
+
+    rows = df.where("content is not null").select("speaker_name", "audio_file", F.coalesce("text", F.lit("")).alias("text"), "content")
+    done = rows.mapInPandas(run, "speaker_name string, n long").groupBy("speaker_name").agg(F.sum("n").alias("clips"))
+    return spark.createDataFrame(done.collect(), done.schema)  # one row a folder; the files are written now
 
 
 def read_lexicon(spark: SparkSession, path: str) -> dict[str, str]:
@@ -163,6 +205,12 @@ def newest(files: DataFrame) -> Column:
     return F.max_by("path", "modificationTime")
 
 
+def latest_step(files: DataFrame, pattern: str = r"step_(\d+)(?:-v\d+)?\.ckpt$") -> DataFrame:
+    """Of a listing (path): the largest step that names tell, 0 for none."""
+    step = F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1)
+    return files.agg(F.coalesce(F.max(F.when(step != "", step.cast("long"))), F.lit(0)).alias("step"))
+
+
 def read_rows(spark: SparkSession, path: str, stream: bool = False, schema: str | None = None) -> DataFrame:
     """Rows of a dataset as Parquet: a batch, or a stream of new files."""
     return spark.readStream.schema(schema).parquet(path) if stream else spark.read.parquet(path)
