@@ -174,3 +174,60 @@ def test_weak_words_and_modules(spark):
     assert len(A.WEAK) == 130 and {"не", "вже", "також", "нехай"} <= A.WEAK
     d = spark.createDataFrame([("text_model.x",), ("audio_decoder.layers.1",), ("audio_decoder.codebook_embeddings.w",), ("else",), (None,)], "k string")
     assert [r[0] for r in d.select(T.module_group(F.col("k"))).collect()] == ["text_model (slow AR)", "audio_decoder.layers (fast AR)", "audio_decoder.codebook", "other", "other"]
+
+
+def test_sql_functions(spark):
+    from voxloom.functions.register import register
+
+    register(spark)
+    spark.createDataFrame([(1, "35% алкоголю і Сховище 81"), (2, None), (3, "Памятаєте?")], "id int, text string").createOrReplaceTempView("lines")
+    assert spark.sql("SELECT expand_numbers(text), repair_apostrophes(text) FROM lines WHERE id <> 1 ORDER BY id").collect()[1][:] == ("Памятаєте?", "Пам'ятаєте?")
+    got = spark.sql("SELECT id, rule, span FROM lines, LATERAL number_spans(text) ORDER BY start").collect()
+    assert [tuple(r) for r in got] == [(1, "percent", "35%"), (1, "vault_id", "Сховище 81")]
+    assert [tuple(r) for r in spark.sql("SELECT k, chunk FROM lines, LATERAL chunks(text, 12) WHERE id = 1 ORDER BY k").collect()] == list(enumerate(C.chunks("35% алкоголю і Сховище 81", 12)))
+    spark.catalog.dropTempView("lines")
+
+
+def rms(x):
+    return float(np.sqrt(np.mean(np.square(x, dtype=np.float64))))
+
+
+def spoken_lines():
+    """Lines of speech with a fault each: (samples, where the fault is, where it is compared with, least and most of the ratio)."""
+    at = lambda a, b: slice(int(RATE * a), int(RATE * b))
+    faded = tone(2, 0.18, 400)
+    faded[-int(RATE * 0.35) :] *= np.linspace(1, 0.15, int(RATE * 0.35), dtype=np.float32)
+    yield "faded ending", faded, at(1.88, 1.97), at(1, 1.25), 0.7, 1.5
+    yield "whispered last word", np.concatenate([tone(1.4, 0.2, 400), tone(0.06, 0.002, 400), tone(0.35, 0.012, 400)]), at(1.53, 1.77), at(0.4, 1), 0.7, 1.5
+    yield "weak last syllable", np.concatenate([tone(1.4, 0.2, 400), tone(0.22, 0.018, 400)]), at(1.44, 1.59), at(0.4, 1), 0.7, 1.5
+    yield "dip in a word", np.concatenate([tone(0.8, 0.2, 400), tone(0.05, 0.03, 400), tone(0.4, 0.2, 400)]), at(0.808, 0.842), at(0.72, 0.8), 0.55, 1.5
+    yield "hole in a word", np.concatenate([tone(0.8, 0.2, 400), np.zeros(int(RATE * 0.025), np.float32), tone(0.35, 0.2, 400)]), at(0.804, 0.821), at(0.72, 0.8), 0, 0.35
+    yield "pause", np.concatenate([tone(0.6, 0.2, 400), np.zeros(int(RATE * 0.4), np.float32), tone(0.6, 0.2, 400)]), at(0.65, 0.95), at(0.1, 0.5), 0, 0.1
+    yield "loud ending", tone(1.5, 0.18, 400), at(1.46, 1.49), at(0.5, 0.8), 0.7, 1.5
+
+
+@pytest.mark.parametrize("line", list(spoken_lines()), ids=lambda x: x[0])
+def test_remaster_evens_speech_only(line):
+    _, x, fault, beside, least, most = line
+    y = A.remaster(x, RATE)
+    assert len(y) == len(x) and A.peak(y) <= A.LIMIT + 1e-6 and y[-1] == 0
+    assert least <= rms(y[fault]) / rms(y[beside]) <= most
+
+
+def test_remaster_parts():
+    x = tone(1, 0.3, 100) + tone(1, 0.3, 1000) + tone(1, 0.3, 5000)
+    assert np.allclose(sum(A.bands(x, RATE)), x, atol=1e-4) and len(A.bands(x, RATE)) == 5
+    assert rms(A.highpass(tone(1, 0.5, 30), RATE)) < 0.1 * rms(tone(1, 0.5, 30)) and rms(A.highpass(tone(1, 0.5, 400), RATE)) > 0.99 * rms(tone(1, 0.5, 400))
+    hiss = tone(1, 0.05, 3000) + tone(1, 0.4, 7000)
+    soft = A.without_hiss(hiss, RATE, 0.001)
+    band = lambda y, a, b: rms(A.between(y, RATE, a, b))
+    assert band(soft, 6500, 7500) < 0.75 * band(hiss, 6500, 7500) and band(soft, 2500, 3500) > 0.7 * band(hiss, 2500, 3500)
+    assert np.allclose(A.without_hiss(x, RATE, 0.001), x, atol=0.02)
+    spike = tone(1, 0.5)
+    spike[8000] = 3.0
+    y = A.limit_ahead(spike, RATE)
+    assert A.peak(y) <= A.LIMIT + 1e-6 and rms(y[:4000]) == pytest.approx(rms(spike[:4000]), rel=0.01)
+    dull = tone(1.5, 0.18, 450) + tone(1.5, 0.012, 3200)
+    ratio = lambda y: band(y, 2500, 4500) / band(y, 250, 800)
+    assert ratio(A.remaster(dull, RATE)) > 1.4 * ratio(dull)
+    assert (A.remaster(np.zeros(RATE, np.float32), RATE) == 0).all() and A.remaster(np.stack([x, x], axis=1), RATE).shape == (RATE, 2)

@@ -283,38 +283,162 @@ def fit_slot(x, rate: int, reference, reference_rate: int, syllables: int, refer
     return like(x, limit_peak(y, line))
 
 
-def highpass(x: np.ndarray, rate: int, hz: float = 80.0) -> np.ndarray:
-    """Frequencies below ``hz`` fade out, by Fourier transform."""
+# Fixed values of the remaster: crossovers in Hz and, of each band, its weight beside the body
+# of the voice, how far quiet parts rise, and the most they rise in dB.
+CROSSOVERS = (250.0, 800.0, 2500.0, 6000.0)
+BAND_WEIGHTS = (0.80, 1.00, 0.75, 0.32, 0.08)
+BAND_RISE = (2.5, 2.5, 2.2, 1.4, 1.2)
+BAND_MOST_DB = (10.0, 10.0, 8.0, 3.0, 1.5)
+STEP_S = 0.004
+LOUD, FAINT = 0.12, 0.03  # of the loudest window: speech, and what can still be its ending
+DRIVE = 10 ** (-16 / 20)
+LIMIT = 10 ** (-0.3 / 20)
+
+
+def decibels(x: float) -> float:
+    """A factor from dB."""
+    return 10 ** (x / 20)
+
+
+def shaped(x: np.ndarray, rate: int, gain: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The signal with a gain by frequency."""
     f = np.fft.rfftfreq(len(x), 1 / rate)
-    return np.fft.irfft(np.fft.rfft(x) * np.clip((f - hz / 2) / (hz / 2), 0, 1), len(x)).astype(np.float32)
+    return np.fft.irfft(np.fft.rfft(x) * gain(f), len(x)).astype(np.float32)
+
 
+def below(f: np.ndarray, hz: float) -> np.ndarray:
+    """The weight of frequencies under a cut, of fourth order; above it the rest of 1."""
+    return 1 / (1 + (f / hz) ** 4)
 
-def bands(x: np.ndarray, rate: int, edges: tuple[float, ...] = (250.0, 800.0, 2500.0, 6000.0)) -> list[np.ndarray]:
-    """Bands between the edges that add up to the input."""
+
+def highpass(x: np.ndarray, rate: int, hz: float = 80.0) -> np.ndarray:
+    return shaped(x, rate, lambda f: 1 - below(f, hz))
+
+
+def between(x: np.ndarray, rate: int, low: float, high: float) -> np.ndarray:
+    return shaped(x, rate, lambda f: (1 - below(f, low)) * below(f, high))
+
+
+def bands(x: np.ndarray, rate: int, edges: tuple[float, ...] = CROSSOVERS) -> list[np.ndarray]:
+    """Bands between the edges that add up to the input: what a higher cut lets through beyond the lower one."""
     spectrum, f = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / rate)
-    cuts = np.searchsorted(np.array(edges), f, side="right")
-    return [np.fft.irfft(np.where(cuts == k, spectrum, 0), len(x)).astype(np.float32) for k in range(len(edges) + 1)]
+    upto = np.maximum.accumulate([np.zeros(len(f)), *(below(f, e) for e in edges), np.ones(len(f))], axis=0)
+    return [np.fft.irfft(spectrum * w, len(x)).astype(np.float32) for w in np.diff(upto, axis=0)]
+
+
+def envelope(x: np.ndarray, rate: int) -> np.ndarray:
+    energy, n = windows(x, hop(rate, STEP_S))
+    return np.sqrt(energy / np.maximum(n, 1))
+
+
+def glide(goal: np.ndarray, attack_s: float, release_s: float) -> np.ndarray:
+    """A gain by window that moves towards its goal, down at one pace and up at another."""
+    keep = [math.exp(-STEP_S / t) for t in (attack_s, release_s)]
+    out, now = np.empty(len(goal)), float(goal[0]) if len(goal) else 1.0
+    for k, g in enumerate(goal.tolist()):
+        now = g + keep[g >= now] * (now - g)
+        out[k] = now
+    return out
+
+
+def applied(x: np.ndarray, rate: int, gain: np.ndarray) -> np.ndarray:
+    """The signal times a gain by window, in lines between the windows' middles."""
+    step = hop(rate, STEP_S)
+    return (x * np.interp(np.arange(len(x)), (np.arange(len(gain)) + 0.5) * step, gain)).astype(np.float32)
+
+
+def squeezed(x: np.ndarray, rate: int, line: float, floor: float, fall: float, rise: float, most: float, attack_s: float, release_s: float) -> np.ndarray:
+    """Levels above the line fall towards it, those under it rise; what is under the floor stays."""
+    e = envelope(x, rate)
+    far = np.maximum(e, 1e-12) / line
+    power = np.where(e > line, 1 / fall, np.where(e >= floor, 1 / rise, 1.0)) - 1
+    return applied(x, rate, glide(np.clip(far**power, decibels(-12), most), attack_s, release_s))
+
+
+def spoken(e: np.ndarray) -> np.ndarray:
+    """Of an envelope, the windows that are speech: loud ones, faint dips within a word, a faint ending."""
+    loud, faint = e >= e.max() * LOUD, e >= e.max() * FAINT
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], loud.astype(np.int8), [0]]))).reshape(-1, 2)
+    on, sizes = loud.copy(), runs[:, 1] - runs[:, 0]
+    dips = runs[1:, 0] - runs[:-1, 1]
+    for k in np.flatnonzero(dips < np.minimum(np.minimum(sizes[1:], sizes[:-1]), 0.2 * np.median(sizes))):
+        on[runs[k, 1] : runs[k + 1, 0]] = faint[runs[k, 1] : runs[k + 1, 0]]  # much shorter than a word
+    on[runs[-1, 1] :] = faint[runs[-1, 1] :]
+    return on
+
+
+def fine_rms(x: np.ndarray, rate: int) -> float:
+    """RMS over short windows of at least a tenth of the loudest one."""
+    e = envelope(x, rate)
+    on = e >= e.max() * SPEECH_FLOOR
+    return float(np.sqrt(np.mean(e[on] ** 2))) if e.max() >= SILENT else 0.0
+
+
+def even_speech(x: np.ndarray, rate: int) -> np.ndarray:
+    """All speech at one level; pauses and silence stay."""
+    e = envelope(x, rate)
+    if e.max() < SILENT:
+        return x
+    goal = np.where(spoken(e), np.clip(fine_rms(x, rate) / np.maximum(e, SILENT), decibels(-12), decibels(18)), 1.0)
+    return applied(x, rate, glide(goal, 0.001, 0.008))
+
+
+def without_hiss(x: np.ndarray, rate: int, floor: float) -> np.ndarray:
+    """Sibilants, 6 to 9 kHz, give way where they outrun 2 to 4 kHz."""
+    hiss = between(x, rate, 6000, 9000)
+    e, beside = envelope(hiss, rate), envelope(between(x, rate, 2000, 4000), rate)
+    ratio = e / np.maximum(beside, max(floor, SILENT))
+    gain = glide(np.where((e > floor) & (ratio > 1.4), 1 / np.minimum(ratio, 4), 1.0), 0.004, 0.04)
+    return x - hiss + applied(hiss, rate, gain)
+
+
+def limit_ahead(x: np.ndarray, rate: int, ceiling: float = LIMIT, ahead_s: float = 0.003) -> np.ndarray:
+    """No sample above the ceiling: gain falls before a peak and rises slowly after it."""
+    step = hop(rate, STEP_S)
+    n = -(-len(x) // step)
+    tops = np.abs(np.pad(x, (0, n * step - len(x)))).reshape(n, step).max(axis=1)
+    reach = max(1, -(-int(rate * ahead_s) // step))
+    wide = np.lib.stride_tricks.sliding_window_view(np.pad(tops, (1, reach + 1)), reach + 3).max(axis=1)[:n]
+    y = applied(x, rate, glide(np.minimum(1.0, ceiling / np.maximum(wide, SILENT)), 0.001, 0.05))
+    return np.clip(y, -ceiling, ceiling)
+
+
+def end_fade(x: np.ndarray, rate: int) -> np.ndarray:
+    """A quiet end fades out over 20 ms; a loud one is kept but for 8 ms against a click."""
+    n = max(1, int(rate * 0.02))
+    if len(x) <= n:
+        return x
+    m = n if peak(x[-n:]) < peak(x) * LOUD else max(1, int(rate * 0.008))
+    return np.concatenate([x[:-m], x[-m:] * np.linspace(1, 0, m, dtype=np.float32)])
 
 
 def remaster(x, rate: int) -> np.ndarray:
-    """A light remaster of speech: high-pass, bands towards usual weights, presence, level, limit, end fade."""
+    """A light remaster of speech: high-pass, bands towards usual weights and squeezed, presence, sibilants,
+    one level for all speech, drive, limit, end fade. The length stays."""
     y = mono(x)
     if rate <= 0 or len(y) < int(rate * 0.08) or peak(y) < SILENT:
         return x
-    parts = bands(highpass(y, rate), rate)
-    rms = np.array([float(np.sqrt(np.mean(np.square(p)))) for p in parts])
-    weights = np.array([0.80, 1.00, 0.75, 0.32, 0.08])
-    level = float((rms * weights).sum() / (weights**2).sum())
-    gain = np.where(rms > SILENT, np.clip(level * weights / np.maximum(rms, SILENT), 10 ** (-12 / 20), 10 ** (15 / 20)), 1.0) ** 0.5
-    y = sum(p * g for p, g in zip(parts, gain))
-    f = np.fft.rfftfreq(len(y), 1 / rate)
-    shelf = 10 ** ((3.5 * np.exp(-(np.log2(np.maximum(f, 1) / 3200) ** 2)) + np.where(f > 7500, 1.0, 0.0)) / 20)
-    y = np.fft.irfft(np.fft.rfft(y) * shelf, len(y)).astype(np.float32)
-    now = speech_rms(y, rate)
-    y = soft_ceiling(y, min(10 ** (8 / 20), 10 ** (-16 / 20) / now) if now > SILENT else 1.0, 10 ** (-0.3 / 20))
-    n = min(len(y), int(rate * 0.02))
-    y[len(y) - n :] *= np.linspace(1, 0, n, dtype=np.float32)
-    return like(x, y)
+    y = highpass(y, rate)
+    parts, floor = bands(y, rate), envelope(y, rate).max() * 0.05
+    body = fine_rms(parts[1], rate) or fine_rms(y, rate)
+    if body < SILENT:
+        return x
+    out = np.zeros_like(y)
+    for k, p in enumerate(parts):
+        now, high = fine_rms(p, rate), k >= 3
+        if now >= SILENT:
+            own = body * BAND_WEIGHTS[k]
+            p = p * np.float32(np.clip(own / now, decibels(-12), decibels(15)))
+            out += squeezed(p, rate, max(floor * 1.5, own * LOUD), floor * (3 if high else 1), 4.0, BAND_RISE[k], decibels(BAND_MOST_DB[k]), 0.008 if high else 0.005, 0.08 if high else 0.06)
+    bell = lambda f, hz, db, q: db * np.exp(-0.5 * (np.log(np.maximum(f, 1) / hz) * q) ** 2)
+    out = shaped(out, rate, lambda f: 10 ** ((bell(f, 3200, 3.5, 1.1) + bell(f, 7500, 1.0, 0.8)) / 20))
+    out = without_hiss(out, rate, floor)
+    out = squeezed(out, rate, max(floor * 2, DRIVE * LOUD), floor, 3.0, 1.8, decibels(4), 0.012, 0.1)
+    out = even_speech(out, rate)
+    now = fine_rms(out, rate)
+    if now >= SILENT:
+        out = out * np.float32(min(decibels(8), DRIVE / now))
+    return like(x, end_fade(limit_ahead(out, rate), rate))
 
 
 def finish(x, rate: int, reference, reference_rate: int, syllables: int = 0, reference_syllables: int = 0, loudness: bool = True, timing: bool = True) -> np.ndarray:

@@ -66,8 +66,6 @@ def _below_thousand(n: int, ones: Callable[[int], str], teens: list[str], tens:
 
 def _small(n: int, gender: str) -> list[str]:
     own = {"fem": FEMININE, "neut": NEUTER}.get(gender, {})
-    if gender == "fem":
-        own = FEMININE
     return _below_thousand(n, lambda k: own.get(k, ONES[k]), TEENS, TENS, HUNDREDS)
 
 
