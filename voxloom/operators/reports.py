@@ -111,8 +111,11 @@ def held_within(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> D
     def whole_keys(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _whole_keys(t.encode(), tiny))
 
-    p, w = p.withColumn("_key", part_key(part)), w.select(whole, F.explode(whole_keys(whole)).alias("_key"))
-    return p.join(w, "_key").where(F.col(whole).contains(F.col(part))).select(part, whole)
+    # keys travel with a whole's hashes instead of its text, which is joined once there are candidates
+    w = w.withColumn("_one", F.xxhash64(whole)).withColumn("_two", F.xxhash64(F.lit(1), whole))
+    keys = w.select("_one", "_two", F.explode(whole_keys(whole)).alias("_key"))
+    met = p.withColumn("_key", part_key(part)).join(keys, "_key").drop("_key").join(w, ["_one", "_two"])
+    return met.where(F.col(whole).contains(F.col(part))).select(part, whole)
 
 
 def match_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
