@@ -46,10 +46,9 @@ PIECE = 1 << 22
 _rng = np.random.default_rng(6)
 _A = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)
-_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _C = _rng.integers(0, 1 << 64, 8, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(int(_rng.integers(0, 1 << 62)) * 4 + 3)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -62,24 +61,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_edges(buf: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of the bytes start and end; ``apart`` marks bytes between words."""
-    edge = np.diff((~apart[buf]).view(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    word = np.zeros(len(buf) + 2, bool)
+    np.logical_not(apart[buf], out=word[1:-1])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
 
 
-def word_hashes(buf: np.ndarray, apart: np.ndarray = _SPACE, edges: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of the bytes, A-Z lower-cased."""
+def eights(buf: np.ndarray) -> np.ndarray:
+    """Of every byte, A-Z lower-cased, the eight from it on as one number; zeros follow the end."""
+    low = np.zeros(len(buf) + 8, np.uint8)
+    low[: len(buf)] = _LOWER[buf]
+    return np.ndarray((len(buf) + 1,), "<u8", low, strides=(1,))
+
+
+def word_hashes(buf: np.ndarray, apart: np.ndarray = _SPACE, edges: tuple | None = None, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of the bytes, A-Z lower-cased: its bytes, eight at a time, and its length."""
     starts, ends = edges or word_edges(buf, apart)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    word = ~apart[buf]
-    lengths = ends - starts
-    chars = _BYTE[_LOWER[buf[word]]]
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(chars)) - np.repeat(first, lengths)
-    powers = np.full(int(lengths.max()), _BASE)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    return mixed(np.add.reduceat(chars * powers[place], first) + lengths.astype(np.uint64) * _C[5]), starts
+    wide = eights(buf) if wide is None else wide
+    left = ends - starts
+    h = mixed((wide[starts] & _MASK[np.minimum(left, 8)]) * _C[0] + left.astype(np.uint64) * _C[5])
+    at = np.flatnonzero(left > 8)
+    while len(at):  # a word of n bytes takes n / 8 rounds, those of all words at once
+        left = left - 8
+        if len(at) <= 4 and (left[at] > 1 << 12).all():  # a few words longer than many
+            import hashlib
+
+            for k in at.tolist():
+                tail = hashlib.blake2b(_LOWER[buf[ends[k] - left[k] : ends[k]]].tobytes(), digest_size=8).digest()
+                h[k] = mixed(h[k : k + 1] ^ np.frombuffer(tail, "<u8"))[0]
+            break
+        n = left[at]
+        h[at] = mixed(h[at] ^ (wide[ends[at] - n] & _MASK[np.minimum(n, 8)]) * _C[1])
+        at = at[n > 8]
+    return h, starts
 
 
 def shingle_sets(rows: list) -> list[np.ndarray]:
@@ -315,4 +331,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(folded, ["h1", "h2"], "left")
     linked = F.col("c").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(linked, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
+    for t in (signed, reps, labels):
+        drop_written(t)
+    return out
