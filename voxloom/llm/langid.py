@@ -57,8 +57,9 @@ def gram_counts(raw: np.ndarray) -> np.ndarray:
     """How often each hashed 2- and 3-gram of the text occurs."""
     counts = np.zeros(DIM, np.int64)
     for at in range(0, max(len(raw), 1), PIECE):
-        v = FOLD[raw[max(0, at - 2) : at + PIECE]]
+        v = FOLD[raw[max(0, at - 3) : at + PIECE]]
         v[1:][(v[:-1] == 0xC3) & (v[1:] >= 0x80) & (v[1:] < 0x9F)] += np.uint32(32)  # capitals with accents
+        v = v[1:] if at else v  # the byte before the last grams of the piece before told its capitals only
         new = 0 if at == 0 else 1  # grams that the piece before has counted
         letter = (v != 32) & (v != 48)
         has2 = letter[:-1] | letter[1:]
