@@ -20,7 +20,9 @@ folded before the shuffle, so a group of copies sends one a frame.
 
 Defined cases: null and empty texts have nothing to remove; texts under 50 bytes match
 nothing; documents that repeat an id are not smaller than each other; a null id is above
-all others; strings are judged on the input; texts may hold any characters.
+all others; strings are judged on the input; texts may hold any characters; an empty table
+gives no rows; a very long text is a frame of its own, held whole in one task, about 30 bytes
+of memory a byte; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SIDE = LENGTH - ANCHOR
 AROUND = 2 * LENGTH - ANCHOR
 STARTS = SIDE + 1
 FRAME = 1 << 21
+BUCKET = 1 << 28  # bytes of text whose anchors one bucket holds, about
 SA_BATCH = 1 << 18
 NO_ID = (1 << 63) - 1
 
@@ -412,13 +415,15 @@ def _cut(buckets: int):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) rows to doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = partitions(docs.sparkSession)
     frames = written(docs.mapInArrow(_frames, "frame long, docs array<long>, sizes array<long>, data binary"), "frames")
+    size = frames.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET))
+    dealt = lambda d: d.repartition(buckets, "bucket").groupBy("bucket")  # noqa: E731  a bucket's memory does not grow with the corpus
     mask = "frame long, bucket int, bits binary"
     gathered = lambda d, name: d.groupBy("frame").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))  # noqa: E731  a frame's own bits
     sent = frames.mapInPandas(_send_anchors(buckets), "frame long, bucket int, anchors binary, several binary, n long")
-    repeated = written(gathered(sent.groupBy("bucket").applyInPandas(_repeated, mask), "masks"), "anchors")
+    repeated = written(gathered(dealt(sent).applyInPandas(_repeated, mask), "masks"), "anchors")
     entries = frames.join(repeated, "frame").mapInPandas(_send_entries(buckets), "frame long, bucket int, entries binary")
-    judged = written(gathered(entries.groupBy("bucket").applyInPandas(_judge, mask), "judged"), "judged")
+    judged = written(gathered(dealt(entries).applyInPandas(_judge, mask), "judged"), "judged")
     full = frames.join(repeated, "frame", "left").join(judged, "frame", "left")
     return full.mapInPandas(_cut(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
