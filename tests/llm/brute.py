@@ -89,3 +89,29 @@ def leaks(docs, items, threshold=0.5, k1=1.2, b=0.75):
                 if (of_q >= QUESTION and of_a >= ANSWER) or of_q >= QUESTION_ALONE:
                     out.add((d, i))
     return out
+
+
+def grams(raw, dim=4096):
+    """{place: how often} of the hashed 2- and 3-grams that hold a letter."""
+    from collections import Counter
+
+    v = [b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b > 127 or 97 <= b <= 122 else 32 for b in raw]
+    v = [b + 32 if i and v[i - 1] == 0xC3 and 0x80 <= b < 0x9F else b for i, b in enumerate(v)]
+    out = Counter()
+    for n, add, times in ((2, 1, 2654435761), (3, 1 << 25, 2246822519)):
+        for i in range(len(v) - n + 1):
+            g = v[i : i + n]
+            if any(b not in (32, 48) for b in g):
+                out[((int.from_bytes(bytes(g), "big") + add) * times % 2**32) >> 20] += 1
+    return out
+
+
+def nearest_centroid(text, model):
+    """(language, cosine) by plain sums."""
+    import math
+
+    w = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in grams(text.encode()).items()}
+    norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+    sims = [sum(x * float(c[k]) for k, x in w.items()) / norm for c in model.centroids]
+    best = max(range(len(sims)), key=lambda j: (sims[j], -j))
+    return model.langs[best], sims[best]

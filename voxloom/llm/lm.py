@@ -22,36 +22,40 @@ Adagrad's. One set of weights, which grows with the vocabulary, comes to the dri
 Defined cases: null and empty texts have no tokens, log-probability 0 and a null mean; texts
 of any length are read whole, windows are made in pieces of ``PIECE`` tokens (a text's ids
 take two to eight bytes a token); an empty corpus trains nothing and scores nothing;
-repeated rows get equal results; columns of any name pass through :func:`score`.
+repeated rows get results that are equal up to the rounding of single floats; columns of any
+name pass through :func:`score`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_rows, drop_written, partitions, schema_with, with_columns, written
-from .minhash import mixed, word_edges, word_hashes
+from .minhash import eights, mixed, word_edges, word_hashes
 
 WINDOW = 2
-KNOWN = 3072
+KNOWN = 1200
 SUFFIX = 3
 EMBED, HIDDEN = 8, 16
 BATCH, RATE = 4096, 0.2
 PIECE = 1 << 15
 WARM = 1 << 20
-SHARD = 1 << 22  # tokens; 16 for each weight, if these are more
+SHARD = 1 << 20  # tokens; 16 for each weight, if these are more
 
 
 def side_of(tokens: int) -> int:
     """How many classes there are, and places in each, for a corpus of so many tokens."""
-    known = max(KNOWN, 64 * int(tokens**0.25))
+    known = max(KNOWN, 11 * int(tokens**0.25))
     return -(-int(np.ceil((known * 4 / 3) ** 0.5)) // 8) * 8
 
 
+_LEAST = np.float32(1e-37)
+
+
 def _tally(cls: np.ndarray, side: int) -> list[int]:
     return np.searchsorted(cls, np.arange(side + 1)).tolist()
 
@@ -63,6 +67,7 @@ class Net:
     side: int
     weights: list[np.ndarray]
     squares: list[np.ndarray]
+    room: dict = field(default_factory=dict)
 
     @staticmethod
     def shapes(side: int) -> list[tuple[int, ...]]:
@@ -98,88 +103,101 @@ class Net:
         x = self.weights[0].take(around.ravel(), axis=0).reshape(len(around), -1)
         z = x @ self.weights[1]
         z += self.weights[2]
-        scale = 1 + np.abs(z)
+        scale = np.abs(z)
+        scale += 1
         return x, z / scale, scale  # softsign
 
+    def _rows(self, name: str, n: int, width: int) -> np.ndarray:
+        """Room for n rows, kept from batch to batch: fresh memory costs more than the sums in it."""
+        held = self.room.get(name)
+        if held is None or held.shape[0] < n or held.shape[1] != width:
+            held = self.room[name] = np.empty((max(n, BATCH), width), np.float32)
+        return held[:n]
+
+    def _raised(self, z: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """exp(z) in place, of logits z made of activations under one, w and b; rows are lowered first if they could overflow."""
+        if float(np.abs(w).sum(axis=-2).max() + np.abs(b).max()) > 80:
+            z -= z.max(axis=1, keepdims=True)
+        return np.exp(z, out=z)
+
+    def _classes(self, h: np.ndarray) -> np.ndarray:
+        z = np.matmul(h, self.weights[3], out=self._rows("classes", len(h), self.side))
+        z += self.weights[4]
+        return self._raised(z, self.weights[3], self.weights[4])
+
     def _members(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
-        z = np.empty((len(h), self.side), np.float32)
+        z = self._rows("members", len(h), self.side)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
                 np.matmul(h[a:b], self.weights[5][c], out=z[a:b])
                 z[a:b] += self.weights[6][c]
-        return z
+        return self._raised(z, self.weights[5], self.weights[6])
+
+    def _sorted(self, around: np.ndarray, token: np.ndarray):
+        cls, member = np.divmod(token, self.side)
+        cls = cls.astype(np.uint8 if self.side <= 256 else np.uint16)  # small types sort fast
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order]
+        return order, cls, member[order], around.take(order, axis=0), _tally(cls, self.side)
 
     def log_probs(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The log-probability of each token given its neighbours."""
-        n, ones = np.arange(len(token)), np.ones(self.side, np.float32)
-        cls = (token // self.side).astype(np.int16)
-        order = np.argsort(cls, kind="stable")
-        cls, member = cls[order], (token % self.side)[order]
-        _, h, _ = self._hidden(around[order])
-        out = np.empty(len(token))
-        z = h @ self.weights[3]
-        z += self.weights[4]
-        z -= z.max(axis=1, keepdims=True)
-        lp = z[n, cls].astype(np.float64)
-        lp -= np.log(np.exp(z, out=z) @ ones)
-        z = self._members(h, _tally(cls, self.side))
-        z -= z.max(axis=1, keepdims=True)
-        lp += z[n, member]
-        lp -= np.log(np.exp(z, out=z) @ ones)
-        out[order] = lp
+        out, ones = np.empty(len(token)), np.ones(self.side, np.float32)
+        for first in range(0, len(token), BATCH):
+            order, cls, member, near, cuts = self._sorted(around[first : first + BATCH], token[first : first + BATCH])
+            n, (_, h, _) = np.arange(len(order)), self._hidden(near)
+            z = self._classes(h)
+            p = z[n, cls] / (z @ ones)
+            z = self._members(h, cuts)
+            out[first + order] = np.log(np.maximum(p, _LEAST)) + np.log(np.maximum(z[n, member] / (z @ ones), _LEAST))
         return out
 
     def step(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One step of descent over a batch. Softmax rows are kept unscaled; what they meet is scaled instead."""
-        emb, w1, _, wc, bc, wm, _ = self.weights
+        emb, w1, _, wc, _, wm, _ = self.weights
         n, ones = np.arange(len(token)), np.ones(self.side, np.float32)
-        cls = (token // self.side).astype(np.int16)
-        order = np.argsort(cls, kind="stable")
-        cls, member, around = cls[order], (token % self.side)[order], around[order]
-        cuts = _tally(cls, self.side)
+        _, cls, member, around, cuts = self._sorted(around, token)
         x, h, scale = self._hidden(around)
 
-        z = h @ wc
-        z += bc
-        z -= z.max(axis=1, keepdims=True)
-        total = np.exp(z, out=z) @ ones
+        z = self._classes(h)
+        total = z @ ones
         z[n, cls] -= total
-        one = 1 / total
-        g_wc, g_bc = (h * one[:, None]).T @ z, one @ z
+        one = (1 / total)[:, None]
+        g_wc, g_bc = (h * one).T @ z, one[:, 0] @ z
         dh = z @ wc.T
-        dh *= one[:, None]
+        dh *= one
 
         z = self._members(h, cuts)
-        z -= z.max(axis=1, keepdims=True)
-        total = np.exp(z, out=z) @ ones
+        total = z @ ones
         z[n, member] -= total
-        one = 1 / total
-        scaled, back = h * one[:, None], np.empty_like(h)
-        g_wm, g_bm = np.zeros_like(wm), np.zeros_like(self.weights[6])
+        one = (1 / total)[:, None]
+        scaled, back = np.concatenate([h * one, one], axis=1), self._rows("back", len(h), HIDDEN)
+        g = self._rows("g", self.side * (HIDDEN + 1), self.side).reshape(self.side, HIDDEN + 1, self.side)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
                 np.matmul(z[a:b], wm[c].T, out=back[a:b])
-                np.matmul(scaled[a:b].T, z[a:b], out=g_wm[c])
-                np.matmul(one[a:b], z[a:b], out=g_bm[c])
-        back *= one[:, None]
+                np.matmul(scaled[a:b].T, z[a:b], out=g[c])
+            else:
+                g[c] = 0
+        back *= one
         dh += back
 
-        dh /= scale * scale
+        dh /= scale
+        dh /= scale
         dx = (dh @ w1.T).reshape(-1, EMBED)
         flat = around.ravel()
+        flat = flat.astype(np.uint16) if self.side <= 256 else flat
         by = np.argsort(flat, kind="stable")
         ordered = flat[by]
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        g = np.add.reduceat(dx.take(by, axis=0), heads, axis=0)
+        g_emb = np.add.reduceat(dx.take(by, axis=0), heads, axis=0)
         at = ordered[heads]
-        squares = self.squares[0][at] + g * g
+        squares = self.squares[0][at] + g_emb * g_emb
         self.squares[0][at] = squares
-        emb[at] -= np.float32(rate) * g / np.sqrt(squares)
-        for w, s, g in zip(self.weights[1:], self.squares[1:], (x.T @ dh, dh.sum(0), g_wc, g_bc, g_wm, g_bm)):
-            s += g * g
-            g /= np.sqrt(s)
-            g *= np.float32(rate)
-            w -= g
+        emb[at] -= np.float32(rate) * g_emb / np.sqrt(squares)
+        for w, s, d in zip(self.weights[1:], self.squares[1:], (x.T @ dh, dh.sum(0), g_wc, g_bc, g[:, :HIDDEN], g[:, HIDDEN])):
+            s += d * d
+            w -= np.float32(rate) * d / np.sqrt(s)
 
 
 @dataclass(frozen=True)
@@ -195,20 +213,48 @@ class Words:
         return "<u2" if self.side**2 <= 1 << 16 else "<u4"
 
     def of(self, raw: np.ndarray) -> np.ndarray:
-        """The place of every word of a text. Class is the remainder of a token's number, so classes are of like weight."""
+        """The place of every word of the bytes. Class is the remainder of a token's number, so classes are of like weight."""
+        return self.at(raw)[0]
+
+    def at(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places, and where the words start."""
         starts, ends = edges = word_edges(raw)
-        h, _ = word_hashes(raw, edges=edges)
-        known = self.side**2 * 3 // 4
-        tail, size = np.zeros(len(h), np.uint64), ends - starts
-        for k in range(1, SUFFIX + 1):
-            b = raw[np.maximum(ends - k, 0)].astype(np.uint64)
-            b += ((b >= 65) & (b <= 90)).astype(np.uint64) * np.uint64(32)
-            tail |= np.where(size >= k, b << np.uint64(8 * (k - 1)), np.uint64(0))
+        wide = eights(raw)
+        h, _ = word_hashes(raw, edges=edges, wide=wide)
+        known, size = self.side**2 * 3 // 4, np.minimum(ends - starts, SUFFIX)
+        tail = wide[ends - size] & np.array([(1 << 8 * n) - 1 for n in range(SUFFIX + 1)], np.uint64)[size]
         token = known + (mixed(tail) % np.uint64(self.side**2 - 1 - known)).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             token = np.where(self.hashes[at] == h, self.tokens[at], token)
-        return ((token % self.side) * self.side + token // self.side).astype(self.kind)
+        member, cls = np.divmod(token, self.side)
+        return (cls * self.side + member).astype(self.kind), starts
+
+    def texts(self, rows: list) -> list[np.ndarray]:
+        """The places of the words of each text, given as bytes or None."""
+        out = []
+        for part, buf, cuts in together(rows):
+            ids, starts = self.at(buf)
+            ends = np.searchsorted(starts, cuts)
+            out += [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return out
+
+
+_SPACE = np.full(1, 32, np.uint8)
+
+
+def together(rows: list, size: int = 1 << 19):
+    """Texts in runs of about ``size`` bytes, as one buffer with a space between: rows, buffer, where each starts, and its end."""
+    at = 0
+    while at < len(rows):
+        end, n = at, 0
+        while end < len(rows) and (end == at or n < size):
+            n += 1 + (len(rows[end]) if rows[end] is not None else 0)
+            end += 1
+        part = rows[at:end]
+        sizes = np.array([1 + (len(r) if r is not None else 0) for r in part])
+        yield part, np.concatenate([p for r in part for p in ((r, _SPACE) if r is not None else (_SPACE,))]), np.concatenate([[0], np.cumsum(sizes)])
+        at = end
 
 
 def vocabulary(docs: DataFrame) -> Words:
@@ -224,18 +270,17 @@ def vocabulary(docs: DataFrame) -> Words:
             return h, np.bincount(back, np.concatenate(weights)).astype(np.int64)
 
         for b in batches:
-            for raw in byte_rows(b.column("text")):
-                if raw is not None and len(raw):
-                    h = word_hashes(raw)[0]
-                    held.append(h)
-                    weights.append(np.ones(len(h)))
-                    n += len(h)
-                    if n > 1 << 20:
-                        h, c = merged()
-                        held, weights, n = [h], [c], 0
-                        if len(h) > 1 << 19:
-                            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
-                            held, weights = [], []
+            for _, buf, _ in together(byte_rows(b.column("text"))):
+                h, c = np.unique(word_hashes(buf)[0], return_counts=True)
+                held.append(h)
+                weights.append(c)
+                n += len(h)
+                if n > 1 << 20:
+                    h, c = merged()
+                    held, weights, n = [h], [c], 0
+                    if len(h) > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
+                        held, weights = [], []
         if held:
             h, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
@@ -257,7 +302,7 @@ def encoded(docs: DataFrame, words: Words) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            ids = [known.value.of(raw) if raw is not None and len(raw) else np.zeros(0, known.value.kind) for raw in byte_rows(b.column("text"))]
+            ids = known.value.texts(byte_rows(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "h", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
@@ -404,7 +449,6 @@ def score(docs: DataFrame, words: Words, net: Net) -> DataFrame:
         words, packed = raw.value
         own = Net.unpack(packed, words.side)
         for b in batches:
-            rows = [words.of(x) if x is not None and len(x) else np.zeros(0, words.kind) for x in byte_rows(b.column("text"))]
-            yield with_columns(b, RESULTS, _scores(own, rows))
+            yield with_columns(b, RESULTS, _scores(own, words.texts(byte_rows(b.column("text")))))
 
     return docs.mapInArrow(run, schema)
