@@ -200,14 +200,15 @@ def _with_hubs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFra
     """
     salts = F.ceil(F.col("n") / HUB).cast("int")
     hubs = pairs.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
-    hubs = hubs.join(rows.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
-    own = pairs.join(rows.select(F.col("doc_id").alias("a"), *columns), "a").withColumn("s", F.pmod(F.xxhash64("a"), salts).cast("int"))
-    return own.join(hubs, ["b", "s"])
+    # merge joins at every size: all sides grow with the corpus
+    hubs = hubs.hint("merge").join(rows.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns)), "b")
+    own = pairs.hint("merge").join(rows.select(F.col("doc_id").alias("a"), *columns), "a").withColumn("s", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    return own.join(hubs.hint("merge"), ["b", "s"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, n) that are links on their full sets; texts of the pairs' documents only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
     texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
     return _with_hubs(pairs, texts, ["text"]).select("a", "b", "text", "text_b").mapInArrow(_exact(least), "a long, b long")
 
@@ -285,12 +286,12 @@ def _between(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataF
     inside = F.transform(steps(n_out), lambda j: part(j, 0, cut(n_main), False))
     met = m.select("key", "band", F.col("rep").alias("node"), "label", F.explode(F.when(F.col("other"), outside).otherwise(inside)).alias("g"))
     met = met.select("key", "band", "g.o", "g.kind", "g.i", "node", "label", "g.outer", (~F.col("g.outer")).alias("inner"))
-    met = met.join(reps.select(F.col("rep").alias("node"), "sig"), "node")
+    met = met.hint("merge").join(reps.select(F.col("rep").alias("node"), "sig"), "node")
     met = met.repartition(partitions(docs.sparkSession), *GROUP)
     near = written(met.groupBy(*GROUP).applyInPandas(_near, MET), "near")
     drop_written(m_all)
-    texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
-    links = written(near.join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct(), "links")
+    texts = docs.join(near.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").where("text is not null")
+    links = written(near.hint("merge").join(texts, "node").groupBy(*GROUP).applyInPandas(_linked(least), "a long, b long").distinct(), "links")
     drop_written(near)
     return links
 
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.75) -> DataFrame:
     drop_written(second)
 
     folded = reps.join(labels, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(folded, ["h1", "h2"], "left")
+    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(folded.hint("merge"), ["h1", "h2"], "left")
     linked = F.col("c").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(linked, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
