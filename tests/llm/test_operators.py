@@ -60,6 +60,26 @@ def test_topk_of_large_components_and_repeated_ids(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_of_many_blocks(spark, monkeypatch):
+    """Blocks meet without a join that copies one side for every block of the other."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 24)
+    r = random.Random(2)
+    rows = [(i, [r.choice([0.0, 0.0, 0.5, -1.0, 0.01]) for _ in range(r.choice([3, 5]))]) for i in range(400)]
+    rows += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(200)]  # ties beyond every block
+    d = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = topk.top_k(d.where("vec_id % 5 = 0"), d)
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in out.collect()}
+    w = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    queries = [i for i in w if i % 5 == 0]
+    assert len(got) == 5 * len(queries)
+    for q in queries:
+        best = sorted(((-sum(a * b for a, b in zip(w[q], v)), i) for i, v in w.items() if i != q))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
 # ---- 2 WARC
 
 
