@@ -6,6 +6,7 @@ import string
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -613,3 +614,37 @@ def test_repeats_edges(spark):
     t = "x" * 30 + "y" * 30
     got = repeats.without_repeats(spark.createDataFrame([(None, t), (5, t), (5, t)], "doc_id long, text string")).collect()
     assert sorted((str(x["doc_id"]), x["n_removed"]) for x in got) == [("5", 0), ("5", 0), ("None", 60)]
+
+
+@pytest.mark.parametrize("wide", [40, 1 << 40])
+def test_repeats_at_the_edges_of_a_frequent_passage(monkeypatch, wide):
+    """Frames and buckets in one process: no suffix array and, of wide anchors, no group grows with the documents that hold a passage."""
+    import zstandard
+
+    arrays: list = []
+    monkeypatch.setattr(repeats, "suffix_array", lambda t: arrays.append(len(t)) or suffix_array(t))
+    monkeypatch.setattr(repeats, "SA_BATCH", 1000)
+    monkeypatch.setattr(repeats, "LARGE", 30, raising=False)
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "FEW", 2)
+    monkeypatch.setattr(repeats, "SLICE", 50)
+    r = random.Random(12)
+    shared = [prose(r, 25, 5000), "ab " * 40]
+    noise = lambda: "".join(r.choice("abcdefghij ") for _ in range(r.randrange(60)))
+    docs = [(i * 7 % 401, noise() + r.choice(shared)[: r.choice([40, 75, 500])] + noise()) for i in range(400)]
+    frames = []
+    for k in range(0, 400, 20):
+        raw = [t.encode() for _, t in docs[k : k + 20]]
+        frames.append({"frame": k, "docs": [d for d, _ in docs[k : k + 20]], "sizes": list(map(len, raw)), "data": zstandard.compress(b"".join(raw))})
+    frames, buckets = pd.DataFrame(frames), 3
+    each = lambda rows, judge: pd.concat([judge(own) for _, own in rows.groupby("bucket")])
+    gathered = lambda rows: frames["frame"].map({k: own.to_dict("records") for k, own in rows.groupby("frame")})
+    frames["masks"] = gathered(each(pd.concat(repeats._send_anchors(buckets)([frames])), repeats._repeated))
+    entries = pd.concat(repeats._send_entries(buckets)([frames]))
+    frames["judged"] = gathered(each(entries, repeats._judge))
+    got = pd.concat(repeats._cut(buckets)([frames]))
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.itertuples()} == brute.repeats(docs)
+    assert max(arrays) < 1000 + 30 * 81
+    if wide == 40:
+        sent = np.concatenate([repeats._load(zstandard.decompress(x))["h"] for x in entries["entries"]])
+        assert np.unique(sent, return_counts=True)[1].max() < 4 * 40

@@ -14,6 +14,14 @@ anchor's hash:
    ones left. Runs of suffixes that agree in 50 bytes have the same smallest document, and
    the strings of a larger document are repeats.
 
+Where an anchor has very many different surroundings (at the edge of a passage that a third
+of all documents hold, say), one array over them would grow with the corpus. Groups of more
+than ``LARGE`` are cut: the strings that start in the first half of the places around the
+anchor, and those of the second half, go apart, each grouped by the bytes that all strings of
+the half hold, and halves of halves where a group is still large. Equal strings still meet;
+at one start, all strings of a group are equal. From about ``WIDE`` entries on, which frames
+count in step 1, the strings of the anchor are sent one by one and dealt by themselves.
+
 What a bucket returns is one bit a string, by frame; frames cut the bytes out. Texts move
 three times, anchors as four bytes each, and no pairs are listed. Equal surroundings are
 folded before the shuffle, so a group of copies sends one a frame.
@@ -42,7 +50,11 @@ SIDE = LENGTH - ANCHOR
 AROUND = 2 * LENGTH - ANCHOR
 STARTS = SIDE + 1
 FRAME = 1 << 21
-BUCKET = 1 << 28  # bytes of text whose anchors one bucket holds, about
+BUCKET = 1 << 25  # bytes of text whose anchors one bucket holds, about
+SLICE = 1 << 15  # entries of a bucket that are judged at once, about
+LARGE = 1 << 11  # different surroundings of an anchor in one suffix array, at most
+WIDE = 1 << 19
+FEW = 8  # a frame with fewer different surroundings of an anchor counts one
 SA_BATCH = 1 << 18
 NO_ID = (1 << 63) - 1
 
@@ -132,7 +144,7 @@ class Frame:
         return np.flatnonzero(most[: len(v)] == v) + base
 
     def own_bucket(self, buckets: int) -> np.ndarray:
-        return ((self.hash >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        return _bucket(self.hash, buckets)
 
     def short(self) -> np.ndarray:
         return (self.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -144,14 +156,33 @@ class Frame:
         d = self.doc[k]
         return np.minimum(SIDE, self.starts[d] + self.sizes[d] - self.places[k] - ANCHOR)
 
-    def entries(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The different surroundings of some anchors, and of each anchor its surroundings' number."""
+    def whole(self, k) -> dict:
+        """Anchors as items: what is sent of an anchor, dealt by the anchor."""
+        return {"k": k, "h": self.hash[k], "left": self.left(k), "right": self.right(k), "cut": np.zeros(len(k), bool)}
+
+    def _raw(self, k) -> np.ndarray:
+        return self.buf[(self.places[k] - SIDE)[:, None] + np.arange(AROUND)]
+
+    def strings(self, k) -> dict:
+        """Every string around anchors as an item, dealt by itself."""
+        k, start = np.repeat(k, STARTS), np.tile(np.arange(STARTS), len(k))
+        ok = (start >= SIDE - self.left(k)) & (start <= self.right(k))
+        k, start = k[ok], start[ok]
+        return {"k": k, "h": _mix(_only(self._raw(k), start, start + LENGTH), start.astype(np.uint64) * _W[12]), "left": SIDE - start, "right": start, "cut": np.ones(len(k), bool)}
+
+    def entries(self, items: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The different surroundings of some items, and of each item its surroundings' number."""
+        k, cut = items["k"], items["cut"]
         e = np.zeros(len(k), ENTRY)
-        e["h"], e["left"], e["right"], e["doc"] = self.hash[k], self.left(k), self.right(k), self.docs[self.doc[k]]
+        e["h"], e["left"], e["right"], e["doc"] = items["h"], items["left"], items["right"], self.docs[self.doc[k]]
         p = self.places[k] - SIDE
+        raw = lambda at: _only(self._raw(k[at]), SIDE - e["left"][at].astype(np.int64), LENGTH + e["right"][at].astype(np.int64))
+        words = raw(cut).view("<u8")
         x = e["left"].astype(np.uint64) * _W[10] + e["right"].astype(np.uint64) * _W[11]
         for j in range(AROUND // 8):
-            x = mixed(x + self.words[p + 8 * j] * _W[j])
+            w = self.words[p + 8 * j]
+            w[cut] = words[:, j]
+            x = mixed(x + w * _W[j])
         e["x"] = x
         order = np.lexsort((e["doc"], x, e["h"]))
         new = np.ones(len(k), bool)
@@ -160,7 +191,7 @@ class Frame:
         number[order] = np.cumsum(new) - 1
         kept = order[new]
         out = e[kept]
-        out["raw"] = self.buf[p[kept][:, None] + np.arange(AROUND)] if len(kept) else 0
+        out["raw"] = raw(kept)
         return out, number
 
 
@@ -173,6 +204,25 @@ def _slide(v: np.ndarray, n: int, f) -> np.ndarray:
     return f(m[: len(m) - (n - w)], m[n - w :]) if n > w else m
 
 
+def _only(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows of bytes with all but columns ``first`` to ``last`` - 1 set to zero, in place."""
+    column = np.arange(raw.shape[1])
+    raw[(column < first[:, None]) | (column >= last[:, None])] = 0
+    return raw
+
+
+def _mix(raw: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hashes of rows of bytes."""
+    words = np.ascontiguousarray(raw).view("<u8")
+    for j in range(words.shape[1]):
+        x = mixed(x + words[:, j] * _W[j])
+    return x
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
@@ -195,15 +245,26 @@ def _send_anchors(buckets: int):
                 heads = np.flatnonzero(new)
                 last = np.append(heads[1:], len(order)) - 1
                 several = d[heads] != d[last]
+                # of anchors that occur often, how many surroundings differ
+                group = np.cumsum(new) - 1
+                often = np.flatnonzero((last - heads + 1 >= FEW)[group])
+                _, number = f.entries(f.whole(order[often]))
+                _, at = np.unique(number, return_index=True)
+                differ = np.bincount(group[often][at], minlength=len(heads))
                 cuts = np.searchsorted(b[heads], np.arange(buckets + 1))
-                rows = [(r.frame, k, z.compress(s[heads[a:e]].tobytes()), _bits(several[a:e]), int(e - a)) for k, (a, e) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if e > a]
-                yield pd.DataFrame(rows, columns=["frame", "bucket", "anchors", "several", "n"])
+                rows = []
+                for k, (a, e) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                    if e > a:
+                        many = np.flatnonzero(differ[a:e] >= FEW)
+                        counts = np.stack([many, differ[a:e][many]], 1).astype("<u4").tobytes()
+                        rows.append((r.frame, k, z.compress(s[heads[a:e]].tobytes()), _bits(several[a:e]), counts))
+                yield pd.DataFrame(rows, columns=["frame", "bucket", "anchors", "several", "counts"])
 
     return run
 
 
 def _repeated(pdf):
-    """Of every frame's anchors in a bucket, whether two documents hold them. Ids that repeat across frames count as two."""
+    """Of every frame's anchors in a bucket, whether two documents hold them, and which are wide (empty: none). Ids that repeat across frames count as two."""
     import pandas as pd
     import zstandard
 
@@ -214,23 +275,39 @@ def _repeated(pdf):
     many = n > 1
     many[back[several > 0]] = True
     cuts = np.cumsum([0, *map(len, parts)])
-    return pd.DataFrame({"frame": pdf["frame"], "bucket": pdf["bucket"], "bits": [_bits(many[back[a:e]]) for a, e in zip(cuts, cuts[1:])]})
+    for a, raw in zip(cuts.tolist(), pdf["counts"]):
+        at, differ = np.frombuffer(raw, "<u4").reshape(-1, 2).T.astype(np.int64)
+        np.add.at(n, back[a + at], differ - 1)
+    wide = n >= WIDE
+    own = [back[a:e] for a, e in zip(cuts, cuts[1:])]
+    return pd.DataFrame({"frame": pdf["frame"], "bucket": pdf["bucket"], "bits": [_bits(many[x]) for x in own], "wide": [_bits(wide[x]) if wide[x].any() else b"" for x in own]})
 
 
-def _kept(f: Frame, masks, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frame's anchors that can repeat, in the order of their buckets, and the buckets."""
+def _kept(f: Frame, masks, buckets: int) -> tuple[dict, np.ndarray]:
+    """What is sent of the frame's anchors that can repeat, in the order of buckets, and where each bucket begins."""
     bucket, short = f.own_bucket(buckets), f.short()
-    found = []
-    bits = {m["bucket"]: m["bits"] for m in masks}
+    kept = np.zeros(len(bucket), np.int8)  # 1: by the anchor, 2: string by string
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k, raw in sorted(bits.items()):
-        at = order[cuts[k] : cuts[k + 1]]
+    for m in masks:
+        at = order[cuts[m["bucket"]] : cuts[m["bucket"] + 1]]
         known, back = np.unique(short[at], return_inverse=True)
-        mask = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(known)).astype(bool)
-        found.append(at[mask[back]])
-    every = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return every, bucket[every]
+        bits = lambda raw: np.unpackbits(np.frombuffer(raw, np.uint8), count=len(known))
+        how = bits(m["bits"])
+        if m["wide"]:
+            how <<= bits(m["wide"])
+        kept[at] = how[back]
+    items = f.whole(np.flatnonzero(kept == 1))
+    if (kept == 2).any():
+        more = f.strings(np.flatnonzero(kept == 2))
+        items = {c: np.concatenate([x, more[c]]) for c, x in items.items()}
+    bucket = _bucket(items["h"], buckets)
+    order = np.argsort(bucket, kind="stable")
+    return {c: x[order] for c, x in items.items()}, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _of_bucket(items: dict, cuts: np.ndarray, b: int) -> dict:
+    return {c: x[cuts[b] : cuts[b + 1]] for c, x in items.items()}
 
 
 def _send_entries(buckets: int):
@@ -242,11 +319,10 @@ def _send_entries(buckets: int):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 f = Frame(r.docs, r.sizes, r.data)
-                k, bucket = _kept(f, r.masks, buckets)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                items, cuts = _kept(f, r.masks, buckets)
                 rows = []
-                for b in np.unique(bucket).tolist():
-                    e, _ = f.entries(k[cuts[b] : cuts[b + 1]])
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    e, _ = f.entries(_of_bucket(items, cuts, b))
                     rows.append((r.frame, b, z.compress(b"".join(np.ascontiguousarray(e[c]).tobytes() for c in ENTRY.names))))
                 yield pd.DataFrame(rows, columns=["frame", "bucket", "entries"])
 
@@ -306,9 +382,24 @@ def least_documents(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [least[a : a + max(0, n - LENGTH + 1)] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
-def removable(e: np.ndarray) -> np.ndarray:
-    """Of the entries of one bucket: a bit for each of the STARTS strings around the anchor,
-    whether a document smaller than the entry's holds it."""
+def _part(u: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries cut to the strings of some starts, grouped by what all these strings hold, and
+    the numbers of those that have such strings."""
+    at = np.flatnonzero(np.maximum(first, SIDE - u["left"].astype(np.int64)) <= np.minimum(last, u["right"]))
+    out = u[at]
+    out["left"], out["right"] = np.minimum(out["left"], SIDE - first), np.minimum(out["right"], last)
+    left, right = out["left"].astype(np.int64), out["right"].astype(np.int64)
+    out["raw"] = _only(out["raw"], SIDE - left, LENGTH + right)
+    core = out["raw"].copy()
+    core[:, :last] = core[:, first + LENGTH :] = 0
+    out["h"] = _mix(core, np.zeros(len(out), np.uint64))
+    out["x"] = _mix(out["raw"], out["left"].astype(np.uint64) * _W[10] + out["right"].astype(np.uint64) * _W[11])
+    return out, at
+
+
+def _least(e: np.ndarray, start: int = 0, stop: int = STARTS - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Of different entries, for each of the starts, the smallest document of the string there
+    (NO_ID: there is none), and of each entry its row."""
     order = np.lexsort((e["doc"], e["x"], e["h"]))
     h, x = e["h"][order], e["x"][order]
     new = np.ones(len(e), bool)
@@ -317,12 +408,18 @@ def removable(e: np.ndarray) -> np.ndarray:
     number = np.empty(len(e), np.int64)
     number[order] = np.cumsum(new) - 1
     u = e[order[heads]]  # the different surroundings, each with its smallest document
-    starts = np.arange(STARTS)
-    valid = (starts >= SIDE - u["left"][:, None].astype(int)) & (starts <= u["right"][:, None].astype(int))
-    least = np.where(valid, u["doc"][:, None], NO_ID)
+    least = np.where(_valid(u)[:, start : stop + 1], u["doc"][:, None], NO_ID)
 
     group = np.cumsum(np.append(True, u["h"][1:] != u["h"][:-1])) - 1
-    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    size = np.bincount(group)[group]
+    large = np.flatnonzero(size > LARGE)
+    if len(large):
+        half = (start + stop) // 2
+        for a, b in ((start, half), (half + 1, stop)):
+            part, at = _part(u[large], a, b)
+            found, row = _least(part, a, b)
+            least[large[at], a - start : b - start + 1] = found[row]
+    many = np.flatnonzero((size > 1) & (size <= LARGE))
     if len(many):
         m = u[many]
         left, right = m["left"].astype(np.int64), m["right"].astype(np.int64)
@@ -361,11 +458,28 @@ def removable(e: np.ndarray) -> np.ndarray:
             solve()
         del strings
         for k, s in use:
-            first = SIDE - a[k]
+            first = SIDE - a[k] - start
             n = len(s) - LENGTH + 1
             row = least[many[k]]
             row[first : first + n] = np.minimum(row[first : first + n], found[s] if s in found else held[s])
-    return valid[number] & (least[number] < e["doc"][:, None])
+    return least, number
+
+
+def _valid(e: np.ndarray) -> np.ndarray:
+    """Of entries, the strings around the anchor that lie in the text."""
+    starts = np.arange(STARTS)
+    return (starts >= SIDE - e["left"][:, None].astype(np.int64)) & (starts <= e["right"][:, None])
+
+
+def removable(e: np.ndarray) -> np.ndarray:
+    """Of the entries of one bucket: a bit for each of the STARTS strings around the anchor,
+    whether a document smaller than the entry's holds it."""
+    least, number = _least(e)
+    out = np.empty((len(e), STARTS), bool)
+    for a in range(0, len(e), SLICE):
+        own = e[a : a + SLICE]
+        out[a : a + SLICE] = _valid(own) & (least[number[a : a + SLICE]] < own["doc"][:, None])
+    return out
 
 
 def _judge(pdf):
@@ -373,10 +487,23 @@ def _judge(pdf):
     import zstandard
 
     unz = zstandard.ZstdDecompressor()
-    parts = [_load(unz.decompress(x)) for x in pdf["entries"]]
-    bits = removable(np.concatenate(parts))
-    cuts = np.cumsum([0, *map(len, parts)])
-    return pd.DataFrame({"frame": pdf["frame"], "bucket": pdf["bucket"], "bits": [_bits(bits[a:e].ravel()) for a, e in zip(cuts, cuts[1:])]})
+    sizes = [zstandard.frame_content_size(x) // ENTRY.itemsize for x in pdf["entries"]]
+    cuts = np.cumsum([0, *sizes])
+    e = np.empty(cuts[-1], ENTRY)
+    for a, b, x in zip(cuts, cuts[1:], pdf["entries"]):
+        e[a:b] = _load(unz.decompress(x))
+    # anchors do not meet each other, so memory is that of some of them, or of the largest
+    order = np.argsort(e["h"], kind="stable")
+    h = e["h"][order]
+    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    bits = np.zeros((len(e), STARTS), bool)
+    at = 0
+    while at < len(e):
+        nearest = np.searchsorted(heads, at + SLICE)
+        end = int(heads[nearest]) if nearest < len(heads) else len(e)
+        bits[order[at:end]] = removable(e[order[at:end]])
+        at = end
+    return pd.DataFrame({"frame": pdf["frame"], "bucket": pdf["bucket"], "bits": [_bits(bits[a:b].ravel()) for a, b in zip(cuts, cuts[1:])]})
 
 
 def _cut(buckets: int):
@@ -387,13 +514,12 @@ def _cut(buckets: int):
             for r in pdf.itertuples(index=False):
                 f = Frame(r.docs, r.sizes, r.data)
                 repeat = np.zeros(len(f.buf), bool)
-                k, bucket = _kept(f, r.masks if r.masks is not None else [], buckets)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                items, cuts = _kept(f, r.masks if r.masks is not None else [], buckets)
                 for j in r.judged if r.judged is not None else []:
-                    own = k[cuts[j["bucket"]] : cuts[j["bucket"] + 1]]
+                    own = _of_bucket(items, cuts, j["bucket"])
                     e, number = f.entries(own)
                     bits = np.unpackbits(np.frombuffer(j["bits"], np.uint8), count=len(e) * STARTS).reshape(-1, STARTS).astype(bool)[number]
-                    left, right = f.left(own), f.right(own)
+                    left, right, own = own["left"], own["right"], own["k"]
                     starts = np.arange(STARTS)
                     # a copy within the frame, of a larger document than the entry's
                     later = f.docs[f.doc[own]] > e["doc"][number]
@@ -420,9 +546,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(partitions(docs.sparkSession), -(-size // BUCKET))
     dealt = lambda d: d.repartition(buckets, "bucket").groupBy("bucket")  # noqa: E731  a bucket's memory does not grow with the corpus
     mask = "frame long, bucket int, bits binary"
-    gathered = lambda d, name: d.groupBy("frame").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))  # noqa: E731  a frame's own bits
-    sent = frames.mapInPandas(_send_anchors(buckets), "frame long, bucket int, anchors binary, several binary, n long")
-    repeated = written(gathered(dealt(sent).applyInPandas(_repeated, mask), "masks"), "anchors")
+    gathered = lambda d, name: d.groupBy("frame").agg(F.collect_list(F.struct(*(c for c in d.columns if c != "frame"))).alias(name))  # noqa: E731  a frame's own bits
+    sent = frames.mapInPandas(_send_anchors(buckets), "frame long, bucket int, anchors binary, several binary, counts binary")
+    repeated = written(gathered(dealt(sent).applyInPandas(_repeated, mask + ", wide binary"), "masks"), "anchors")
     entries = frames.join(repeated, "frame").mapInPandas(_send_entries(buckets), "frame long, bucket int, entries binary")
     judged = written(gathered(dealt(entries).applyInPandas(_judge, mask), "judged"), "judged")
     full = frames.join(repeated, "frame", "left").join(judged, "frame", "left")
