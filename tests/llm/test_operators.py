@@ -277,6 +277,18 @@ def test_blocks_never_fail(page):
     html.blocks(page)
 
 
+def test_words_of_long_blocks_are_read():
+    text = "Prose that goes on for long. " * 40
+    first, second = (html.blocks(f"<p>{text}{last}</p>") for last in ("subscribe", "delta"))
+    assert len(first[0].text) > 1000 and len(block_labeller.word_places(first[0])) == 7
+    words = slice(block_labeller.PATH + block_labeller.LEAF, -block_labeller.SHAPE)
+    a, b = (block_labeller.features(p)[0, words] for p in (first, second))
+    assert (a != b).any() and abs(a.sum() - 1) < 1e-6
+    own = block_labeller.Labeller()
+    for d, got in zip((own.f, own.r), own.project(first)):
+        assert np.allclose(got, block_labeller.features(first) @ d.wx + d.b, atol=1e-4)
+
+
 def test_labeller_on_held_out_pages():
     own = block_labeller.Labeller().train(labelled(250), epochs=5)
     test = labelled(60, seed=77)

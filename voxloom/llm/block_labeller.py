@@ -1,7 +1,7 @@
 """Main-text extraction by a recurrent block labeller.
 
 A page is read as the sequence of its leaf blocks. Each block is a vector: hashed elements
-and names of its tag path, its innermost element, hashed words, and its shape. A
+and names of its tag path, its innermost element, all its words (hashed), and its shape. A
 bidirectional LSTM, in numpy, reads the sequence, so every block is labelled in the context
 of the whole page. The labeller is trained on ``TRAIN`` labelled pages made by rule
 (:mod:`html_pages`) with a fixed seed, so it is the same in every run.
@@ -26,7 +26,6 @@ from .html_pages import labelled
 
 PATH, LEAF, WORDS, SHAPE = 256, 64, 512, 6
 DIM = PATH + LEAF + WORDS + SHAPE
-SHORT = 160
 HIDDEN = 16
 TRAIN, EPOCHS, BATCH = 1000, 9, 25
 
@@ -48,8 +47,8 @@ def shapes(page: list[Block], first: int = 0, total: int | None = None) -> np.nd
 
 
 def word_places(b: Block) -> list[int]:
-    """Of a short block, its hashed words; the words of prose say little about its place."""
-    return sorted({_hash(w, WORDS) for w in b.text.lower().split()}) if len(b.text) < SHORT else []
+    """Of a whole block of any length, its hashed words."""
+    return sorted({_hash(w, WORDS) for w in b.text.lower().split()})
 
 
 def features(page: list[Block]) -> np.ndarray:
