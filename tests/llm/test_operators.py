@@ -530,6 +530,20 @@ def test_feistel_is_a_permutation(n):
     assert sorted(tokens.feistel(np.arange(n), n).tolist()) == list(range(n))
 
 
+@pytest.mark.parametrize("kind, kinds, n", [("<u2", 1, 1), ("<u2", 192, 3000), ("<u2", 5000, 300_000), ("<u2", 65_000, 300_000), ("<u4", 100_000, 400_000), ("<u4", 700_000, 700_000)])
+def test_packed_ids(kind, kinds, n):
+    import zstandard
+
+    z, unz, r = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), np.random.default_rng(kinds)
+    often = r.permutation(kinds)[(np.minimum(r.pareto(1.0, n), kinds - 1)).astype(np.int64)]
+    ids = np.concatenate([often, r.permutation(kinds)]).astype(kind)
+    for x in (ids, ids[:0]):
+        got = tokens.unpack(tokens.pack(x, z), kind, unz)
+        assert got.dtype == x.dtype and (got == x).all()
+    if kinds == 5000:  # words of a corpus
+        assert len(tokens.pack(ids, z)) < 0.9 * len(z.compress(ids.tobytes()))
+
+
 def test_shards_round_trip(spark):
     r = random.Random(10)
     docs = [(i, prose(r, r.randrange(1, 300))) for i in range(40)] + [(50, None), (51, ""), (None, "no id"), (1, "twice"), (1, "twice")]
