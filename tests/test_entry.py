@@ -2,6 +2,7 @@ import ast
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 REPO = Path(__file__).parents[1]
@@ -42,6 +43,28 @@ def test_union_of_all_languages(spark, tmp_path):
     assert len(got) == len(rows) and sorted(got, key=lambda x: x[2]) == sorted(want, key=lambda x: x[2])
 
 
+def _against_sql(spark, name, tables):
+    """Rows of a query and of its SQL, sorted, over tables by path."""
+    from voxloom.plans import catalog
+
+    con = duckdb.connect()
+    for t in tables.iterdir():
+        con.execute(f"CREATE VIEW {t.name.removesuffix('.parquet')} AS SELECT * FROM '{t}{'/*.parquet' if t.is_dir() else ''}'")
+    r = con.execute(catalog.SQL[name])
+    names = [x[0] for x in r.description]
+    return sorted(map(str, map(tuple, catalog.QUERIES[name](spark, str(tables)).select(*names).collect()))), sorted(map(str, r.fetchall()))
+
+
+def test_drifts_multiply_floats_as_sql_does(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = (rng.integers(-400, 400, (3000, 8)) / 1000).astype(np.float32)  # thousandths, whose products end on either side of a whole number
+    assert (np.floor(x * np.float32(1000)) != np.floor(x.astype(float) * 1000)).any()
+    spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("array_drift", "most_drifted"):
+        got, want = _against_sql(spark, name, tmp_path)
+        assert got == want and got
+
+
 def test_nothing_else_imports_llm():
     for p in (REPO / "voxloom").rglob("*.py"):
         if "llm" not in p.parts:

@@ -348,11 +348,16 @@ def alignment_losses(spark, sf_dir):
     return R.audit(s.withColumn("words", F.when(F.col("id") % 5 != 0, F.array(F.lit("w")))))
 
 
+def _thousandths(x):
+    """Whole thousandths, by a product in the type of x: floats are multiplied as floats, as in SQL."""
+    return F.floor(x * F.lit(1000).cast("float"))
+
+
 @query("""WITH b AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (SELECT vec_id, label, i, floor(x * 1000) AS b, floor(x * 1000) + CASE WHEN i % 2 = 0 THEN vec_id % 5 ELSE 0 END AS t FROM b)
 SELECT label, sum((t - b) * (t - b))::BIGINT AS d2, sum(b * b)::BIGINT AS b2, max(abs(t - b))::BIGINT AS max_abs, count(*) AS params, count(*) FILTER (t <> b) AS changed,
   round(CASE WHEN sum(b * b) > 0 THEN sqrt(sum((t - b) * (t - b)) / sum(b * b)) ELSE 0 END, 9)::DOUBLE AS rel_l2 FROM q GROUP BY label""")
 def array_drift(spark, sf_dir):
-    b = X.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", "i", F.floor(F.col("x").cast("double") * 1000).alias("x"))
+    b = X.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", "i", _thousandths(F.col("x")).alias("x"))
     t = b.select("vec_id", "i", (F.col("x") + F.when(F.col("i") % 2 == 1, F.col("vec_id") % 5).otherwise(0)).alias("x"))
     return R.drift(b, t, ["vec_id"], "label").withColumn("rel_l2", F.round("rel_l2", 9))
 
@@ -361,7 +366,7 @@ def array_drift(spark, sf_dir):
 SELECT vec_id, max(abs(t - b))::BIGINT AS max_abs, sum((t - b) * (t - b))::BIGINT AS d2 FROM q GROUP BY vec_id ORDER BY d2 DESC, vec_id LIMIT 20""")
 def most_drifted(spark, sf_dir):
     """The tensors, one a vector, that moved most."""
-    b = X.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.floor(F.col("x").cast("double") * 1000).alias("x"))
+    b = X.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", _thousandths(F.col("x")).alias("x"))
     t = b.select("vec_id", "i", (F.col("x") + F.when(F.col("i") % 2 == 1, F.col("vec_id") % 5).otherwise(0)).alias("x"))
     return R.extremes(R.drift(b.withColumn("tensor", F.col("vec_id")), t, ["vec_id"], "tensor"), "d2", 20, True, ["tensor"]).select(F.col("tensor").alias("vec_id"), "max_abs", "d2")
 
