@@ -1,4 +1,5 @@
 import ast
+import os
 from pathlib import Path
 
 import duckdb
@@ -65,6 +66,20 @@ def test_drifts_multiply_floats_as_sql_does(spark, tmp_path):
         assert got == want and got
 
 
+def test_bucketed_intervals_over_many_partitions(spark, tmp_path):
+    for t in ("conversations", "events"):
+        os.symlink(f"/root/testdata/sf0.1/{t}.parquet", tmp_path / f"{t}.parquet")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k, v in zip(was, ("40", "-1", "300k")):
+            spark.conf.set(k, v)
+        got, want = _against_sql(spark, "junk_interval_bucketed", tmp_path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == want and got
+
+
 def test_nothing_else_imports_llm():
     for p in (REPO / "voxloom").rglob("*.py"):
         if "llm" not in p.parts:

@@ -32,6 +32,19 @@ def test_overlap_forms_agree(spark):
     assert rows(I.without_overlaps(s, e, bucket=2.5)) == want
 
 
+def test_overlap_forms_agree_on_open_and_repeated_spans(spark):
+    rng = random.Random(5)
+    span = lambda: (rng.randrange(6), *((a, a + rng.randrange(-5, 60)) if rng.random() < 0.9 else (a, None) if rng.random() < 0.5 else (None, a) for a in [rng.randrange(2000)]).__next__())
+    kind = "video_id int, start long, end long"
+    s = spark.createDataFrame(pool := [span() for _ in range(300)] * 2 + [(None, 1, 2)], kind).repartition(7)
+    e = spark.createDataFrame([span() for _ in range(40) if _ % 4] + [(5, 1990, 10**15)], kind)
+    closed = spark.createDataFrame([x for x in pool if None not in x], kind)
+    key = lambda d: sorted(map(str, map(tuple, d.collect())))
+    for part in (s, closed):
+        want = key(I.without_overlaps(part, e))
+        assert 0 < len(want) < part.count() and key(I.without_overlaps(part, e, bucket=25)) == want
+
+
 def test_merge_respects_speaker_and_nulls(spark):
     cols = "video_id int, id long, start_ms long, end_ms long, text string, speaker_id string, language string, avg_logprob double, no_speech_prob double, compression_ratio double, alignment_failed boolean"
     seg = [(1, 0, 0, 1000, "a", None, "uk", -0.1, 0.1, 1.0, False), (1, 1, 1100, 2000, "b", None, "uk", -0.4, 0.2, 1.0, True), (1, 2, 2100, 3000, "c", "s", "uk", 0.0, 0.0, 1.0, False), (1, 3, 3301, 4000, "d", "s", "uk", 0.0, 0.0, 1.0, False)]
