@@ -152,6 +152,29 @@ def test_held_within_against_brute_force(spark):
     assert {(x.p, x.w) for x in got} == want and len(got) == len(want)
 
 
+def test_quotes_in_many_turns_against_brute_force(spark):
+    r = random.Random(4)
+    make = lambda n: "".join(r.choice(["an", "the ", "é", "or", " ", "ed. ", "\0", "x"]) for _ in range(n))
+    turns = [(k, make(r.choice([1, 2, 5, 30, 300]))) for k in range(250)] + [(900, None)]
+    pieces = [t[a : a + n] for _, t in turns[:120] if t for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 29, 30, 31, 32, 62, 63, 130, 260, 500) for a in [r.randrange(len(t))]]
+    quotes = list(enumerate(pieces + [make(r.randrange(1, 40)) for _ in range(200)] + [t + "!" for _, t in turns[:80]]))
+    want = []
+    for k, q in quotes:
+        same = [s for s, t in turns if t == q]
+        part = [s for s, t in turns if t and (q in t or t in q)]
+        want += [(k, max(same), "exact")] if same else [(k, min(part), "part")] if part and q else []
+    s, q = spark.createDataFrame(turns, "sid long, text string").repartition(3), spark.createDataFrame(quotes, "qid long, quote string")
+    found = R.match_quotes(q, s)
+    assert rows(found.select("qid", "sid", "how")) == sorted(want)
+
+
+def test_quotes_broadcast_no_keys(spark):
+    """However small the files that texts come from."""
+    t = spark.range(50).select(F.col("id").alias("sid"), F.concat(F.lit("turn number "), "id").alias("text"))
+    plan = R.match_quotes(t.select(F.col("sid").alias("qid"), F.substring("text", 3, 12).alias("quote")), t)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan
+
+
 def test_percentiles_of_nothing_are_zero(spark):
     d = spark.createDataFrame([(None,)], "v double")
     assert rows(R.nearest_rank(d, "v", [5, 50])) == [(5.0, 0.0), (50.0, 0.0)]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .datasets import ready_for_checkpoints
+
 
 def nearest_rank(df: DataFrame, value: str, percents: list[float], by: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at the half-even rounded rank p / 100 * (n - 1); 0 for no values at all."""
@@ -61,72 +62,259 @@ def drift(base: DataFrame, tuned: DataFrame, keys: list[str], group: str) -> Dat
     return out.withColumn("rel_l2", F.when(F.col("b2") > 0, F.sqrt(F.col("d2") / F.col("b2"))).otherwise(0.0))
 
 
-#: A string of ANCHORED bytes holds a whole window of grams, so it can be found by one of them.
-GRAM, WINDOW, SHORT = 8, 8, 4
-ANCHORED = GRAM + WINDOW - 1
+#: Strings of fewer than EXACT bytes go by a hash of all their bytes. Longer ones go by the least gram of the
+#: largest of GRAMS whose windows (of as many grams as a gram has bytes) they hold at least once.
+EXACT, GRAMS = 31, (16, 32, 64, 128)
+#: Two words of 8 bytes hold the whole of a string of so many bytes.
+WORDS = 16
+#: The filter has slices of 2 ** SLICE bits for SLICE_KEYS keys each, of which there are 2 ** MOST_SLICES at most: 32 MB.
+SLICE, SLICE_KEYS, MOST_SLICES = 16, 4096, 12
+#: So many bytes of text are hashed at once.
+AT_ONCE = 1 << 19
 
 
-def _grams(raw, n: int):
-    """A hash of every n bytes, n up to 8."""
-    if len(raw) < n:
-        return np.zeros(0, np.uint64)
-    padded = np.frombuffer(raw + bytes(8), np.uint8)
-    x = np.ndarray((len(raw) - n + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * n) - 1)
-    x = (x + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+def _mixed(x, salt: int = 0):
+    x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _part_key(raw: bytes) -> int:
-    """Of a part, the key by which any whole that holds it is found."""
-    n = GRAM if len(raw) >= ANCHORED else min(SHORT, len(raw))
-    return int(_grams(raw, n).min().astype(np.int64))
+def _pieces(texts):
+    """An Arrow array of strings as (first, bytes, starts, ends), AT_ONCE bytes at a time or one string."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + AT_ONCE, "right")) - 1)
+        yield i, raw[at[i] : at[j]], at[i:j] - at[i], at[i + 1 : j + 1] - at[i]
+        i = j
+
+
+def _kind(n):
+    """By their bytes, how strings are found: by all n bytes, or by the least gram of so many bytes."""
+    n = np.asarray(n)
+    return np.where(n < EXACT, n, EXACT + np.searchsorted(2 * np.array(GRAMS) - 1, n, "right") - 1)
+
+
+def _shifted(x, n: int):
+    return np.concatenate([x[n:], np.zeros(min(n, len(x)), np.uint64)])
+
+
+def _words(raw):
+    """The 8 bytes that start at each place, and past the last one; those past the end count as 0."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(9, np.uint8)]), strides=(1,)).copy()
+
+
+def _both_words(words, k: int):
+    """What tells a string of k bytes, up to WORDS, from all others of its length."""
+    return (words & np.uint64((1 << 8 * k) - 1), np.zeros(len(words), np.uint64)) if k < 8 else (words, _shifted(words, k - 8))
+
+
+def _grams(words, kinds):
+    """By kind, a hash of the bytes that start at each place."""
+    for k in sorted(k for k in kinds if k <= WORDS):
+        a, b = _both_words(words, k)
+        yield k, _mixed(a * np.uint64(0xD6E8FEB86659FD93) + b, k)
+    if max(kinds, default=0) <= WORDS:
+        return
+    h = _mixed(words * np.uint64(0xD6E8FEB86659FD93) + _shifted(words, 8), EXACT)  # of 16 bytes
+    twice = h * np.uint64(0xD6E8FEB86659FD93)
+    for k in sorted(k for k in kinds if WORDS < k < EXACT):
+        yield k, _mixed(twice + _shifted(h, k - 16), k)
+    for k in range(EXACT, max(kinds) + 1):
+        if k > EXACT:
+            h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + _shifted(h, GRAMS[k - EXACT - 1]), k)
+        if k in kinds:
+            yield k, h
+
+
+def _part_keys(texts):
+    """Of each string, the key by which any string that holds it is found."""
+    out = np.zeros(len(texts), np.uint64)
+    for first, raw, start, end in _pieces(texts):
+        kinds = _kind(end - start)
+        for k, h in _grams(_words(raw), set(kinds.tolist())):
+            of = np.flatnonzero(kinds == k)
+            last = start[of] + 1 if k < EXACT else end[of] - GRAMS[k - EXACT] + 1
+            out[first + of] = np.minimum.reduceat(h, np.stack([start[of], last], 1).ravel())[::2]
+    return out.view(np.int64)
+
+
+def _found(words, end, of, kinds: list[int], bits):
+    """By kind: the places and keys of all parts that strings can hold, as far as the filter lets them through."""
+    for k, h in _grams(words, kinds):
+        span, new = k, slice(None)
+        if k >= EXACT:
+            n, span, reach = GRAMS[k - EXACT], 2 * GRAMS[k - EXACT] - 1, 1
+            while reach < n:  # the least of a window of n
+                h = np.minimum(h, np.concatenate([h[reach:], np.full(min(reach, len(h)), np.uint64(2**64 - 1))]))
+                reach *= 2
+            new = np.flatnonzero(np.concatenate([[True], (h[1 : len(of)] != h[: len(of) - 1]) | (of[1:] != of[:-1])]))
+        at = np.arange(len(of))[new]
+        at = at[_passes(h[at], bits)]
+        at = at[at + span <= end[of[at]]]
+        yield k, at, h[at]
+
+
+def _whole_keys(texts, kinds: list[int], bits):
+    """(strings, keys) without repeats, some strings at a time."""
+    for first, raw, start, end in _pieces(texts):
+        of = np.repeat(np.arange(len(start)), end - start)
+        got = [(of[at], keys) for _, at, keys in _found(_words(raw), end, of, kinds, bits)]
+        if len(raw) and got:
+            own, keys = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((keys, own))
+            own, keys = own[order], keys[order]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])])[: len(own)]
+            yield own[new] + first, keys[new].view(np.int64)
+
+
+def _whole_words(texts, rank, kinds: list[int], bits):
+    """(strings, kinds, words, second words): of each part of up to WORDS bytes the string of the least rank that can hold it."""
+    for first, raw, start, end in _pieces(texts):
+        of, words = np.repeat(np.arange(len(start)), end - start), _words(raw)
+        for k, at, _ in _found(words, end, of, kinds, bits) if len(raw) else ():
+            a, b = (x[at] for x in _both_words(words, k))
+            own = of[at] + first
+            order = np.lexsort((rank[own], b, a))
+            a, b, own = a[order], b[order], own[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+            yield own[new], np.full(int(new.sum()), k, np.int32), a[new].view(np.int64), b[new].view(np.int64)
+
+
+def _probes(keys):
+    """Three places in the slice; the slice itself is told by the bits above them."""
+    return [(keys >> np.uint64(n)) & np.uint64((1 << SLICE) - 1) for n in (0, SLICE, 2 * SLICE)]
+
+
+def _passes(keys, bits):
+    slices = keys >> np.uint64(64 - (len(bits) >> SLICE - 3).bit_length() + 1)
+    ok = np.ones(len(keys), bool)
+    for p in _probes(keys):
+        ok &= (bits[(slices << np.uint64(SLICE - 3)) + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def _filter(keys: DataFrame, n: int):
+    """Bits that tell most strangers from the n keys: made slice by slice, 2 bytes a key or 32 MB at most."""
+    power = min(MOST_SLICES, max(1, (n // SLICE_KEYS).bit_length()))
+
+    def filled(group, table):
+        import pyarrow as pa
+
+        own = np.zeros(1 << SLICE, bool)
+        for p in _probes(table["_key"].to_numpy().view(np.uint64)):
+            own[p] = True
+        return pa.table({"slice": [group[0].as_py()], "bits": [np.packbits(own, bitorder="little").tobytes()]}, pa.schema([("slice", pa.int64()), ("bits", pa.binary())]))
+
+    out = np.zeros(1 << power + SLICE - 3, np.uint8)
+    at = F.shiftrightunsigned("_key", 64 - power)
+    for r in keys.select("_key", at.alias("_slice")).groupBy("_slice").applyInArrow(filled, "slice long, bits binary").toLocalIterator():
+        out[r.slice << SLICE - 3 : r.slice + 1 << SLICE - 3] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def _whole_keys(raw: bytes, tiny: list[int]) -> list[int]:
-    """Keys of all parts that a whole can hold: the least gram of every window, all short grams."""
-    found = [_grams(raw, n) for n in [SHORT, *tiny]]
-    if len(raw) >= ANCHORED:
-        found.append(np.lib.stride_tricks.sliding_window_view(_grams(raw, GRAM), WINDOW).min(axis=1))
-    return np.unique(np.concatenate(found)).astype(np.int64)
+def _keyed(p: DataFrame, part: str):
+    """p with _key and _kind; the kinds there are; the filter of the keys."""
+    lengths = F.octet_length(part)
+    kind = lengths
+    for k, g in enumerate(GRAMS):
+        kind = F.when(lengths >= 2 * g - 1, EXACT + k).otherwise(kind)
 
+    @F.arrow_udf("long")
+    def part_key(texts):
+        import pyarrow as pa
 
-def held_within(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
-    """Different strings of ``parts`` with those of ``wholes`` that hold them, by an equi-join.
+        return pa.array(_part_keys(texts))
+
+    p = p.withColumn("_key", part_key(F.col(part))).withColumn("_kind", kind)
+    n, kinds = p.agg(F.count("*"), F.collect_set("_kind")).first()
+    return p, sorted(kinds), p.sparkSession.sparkContext.broadcast(_filter(p, n))
 
-    The least 8-byte gram of a part is the least of one of its windows, and of the same window
-    in whatever holds the part; so a whole sends the least gram of every window, about two in
-    WINDOW + 1 bytes, and a part its own least. Parts too short for a window go by their least
-    gram of SHORT bytes, the tiniest as they are. ``contains`` decides.
-    """
-    p = parts.where(F.length(part) > 0).select(part).distinct()
-    w = wholes.where(F.col(whole).isNotNull()).select(whole).distinct()
-    tiny = sorted(r[0] for r in p.where(F.octet_length(part) < SHORT).select(F.octet_length(part)).distinct().collect())  # three at most
 
-    @F.pandas_udf("long")
-    def part_key(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _part_key(t.encode()))
+def _held(p: DataFrame, w: DataFrame, part: str, whole: str, keyed=None, above: int = 0) -> DataFrame:
+    """Rows of p and w whose strings, each of them different and none of them empty, lie in one
+    another; of parts of more than ``above`` bytes only."""
+    p, kinds, bits = keyed or _keyed(p, part)
+    kinds = [k for k in kinds if k > above]
 
-    @F.pandas_udf("array<long>")
-    def whole_keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _whole_keys(t.encode(), tiny))
+    def whole_keys(batches):
+        import pyarrow as pa
 
-    # keys travel with a whole's hashes instead of its text, which is joined once there are candidates
+        for b in batches:
+            for of, keys in _whole_keys(b.column("_text"), kinds, bits.value):
+                yield pa.RecordBatch.from_arrays([b.column("_one").take(pa.array(of)), b.column("_two").take(pa.array(of)), pa.array(keys)], ["_one", "_two", "_key"])
+
+    # keys travel with a whole's hashes instead of its text, which is joined once there are candidates;
+    # nothing here is broadcast by its size, as Spark cannot tell how many keys a text makes
     w = w.withColumn("_one", F.xxhash64(whole)).withColumn("_two", F.xxhash64(F.lit(1), whole))
-    keys = w.select("_one", "_two", F.explode(whole_keys(whole)).alias("_key"))
-    met = p.withColumn("_key", part_key(part)).join(keys, "_key").drop("_key").join(w, ["_one", "_two"])
-    return met.where(F.col(whole).contains(F.col(part))).select(part, whole)
+    keys = w.select("_one", "_two", F.col(whole).alias("_text")).mapInArrow(whole_keys, "_one long, _two long, _key long")
+    met = p.where(F.col("_kind") > above).drop("_kind").join(keys.hint("merge"), "_key").drop("_key").join(w.hint("merge"), ["_one", "_two"])
+    return met.where(F.col(whole).contains(F.col(part))).drop("_one", "_two")
+
+
+def _first_holding(p: DataFrame, w: DataFrame, part: str, whole: str, first: str) -> DataFrame:
+    """(part, first): the least ``first`` of the rows of w that hold a part, maybe more than once.
+
+    Parts of up to WORDS bytes, which very many wholes can hold, are told by these bytes and never
+    listed with all that hold them: the least is taken of each batch, each task and then of all.
+    """
+    p, kinds, bits = keyed = _keyed(p, part)
+    short = [k for k in kinds if k <= WORDS]
+
+    def whole_words(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            rank = np.empty(len(b), np.int64)
+            rank[pc.sort_indices(b.column("_first")).to_numpy()] = np.arange(len(b))
+            for of, *words in _whole_words(b.column("_text"), rank, short, bits.value):
+                yield pa.RecordBatch.from_arrays([b.column("_first").take(pa.array(of)), *map(pa.array, words)], ["_first", "_kind", "_a", "_b"])
+
+    @F.arrow_udf("struct<a: long, b: long>")
+    def own_words(texts):
+        import pyarrow as pa
+
+        raw = [t.encode()[:WORDS] for t in texts.to_pylist()]
+        a = np.array([int.from_bytes(t[:8], "little") for t in raw], np.uint64).view(np.int64)
+        b = np.array([int.from_bytes(t[-8:] if len(t) >= 8 else b"", "little") for t in raw], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    kind = w.schema[first].dataType.simpleString()
+    least = w.select(F.col(first).alias("_first"), F.col(whole).alias("_text")).mapInArrow(whole_words, f"_first {kind}, _kind int, _a long, _b long").groupBy("_kind", "_a", "_b").agg(F.min("_first").alias(first))
+    s = p.where(F.col("_kind") <= WORDS).select(part, "_kind", own_words(F.col(part)).alias("_w")).select(part, "_kind", F.col("_w.a").alias("_a"), F.col("_w.b").alias("_b"))
+    return s.join(least.hint("merge"), ["_kind", "_a", "_b"]).select(part, first).unionByName(_held(p, w, part, whole, keyed, WORDS).select(part, first))
+
+
+def held_within(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """Different strings of ``parts`` with those of ``wholes`` that hold them, by an equi-join.
+
+    The least gram of a part is the least of one of its windows, and of the same window in
+    whatever holds the part; so a whole sends the least gram of every window, and a part its
+    own least. Grams are a quarter of a part, up to 128 bytes. Parts too short for a
+    window go by all their bytes. A filter of all parts' keys leaves out what no part has
+    before it is sent. ``contains`` decides.
+    """
+    return _held(parts.where(F.length(part) > 0).select(part).distinct(), wholes.where(F.length(whole) > 0).select(whole).distinct(), part, whole).select(part, whole)
 
 
 def match_quotes(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     """Each quote (qid, quote) with the segment (sid, text) of the same text, the last one; else
-    the first segment that holds it or is held by it. Empty texts match as equals only."""
-    sids = segments.where("text is not null").groupBy("text").agg(F.max("sid").alias("last"), F.min("sid").alias("first"))
-    exact = quotes.join(sids, F.col("quote") == F.col("text")).select("qid", "quote", F.col("last").alias("sid"), F.lit("exact").alias("how"))
-    rest = quotes.join(sids, F.col("quote") == F.col("text"), "left_anti").where("quote is not null")
-    met = held_within(rest, sids, "quote", "text").unionByName(held_within(sids, rest, "text", "quote"))
-    near = met.join(sids, "text").groupBy("quote").agg(F.min("first").alias("sid"))
-    return exact.unionByName(rest.join(near, "quote").select("qid", "quote", "sid", F.lit("part").alias("how")))
+    the first segment that holds it or is held by it. Empty texts match as equals only. The
+    different texts of both sides are checkpointed, as they are read several times."""
+    ready_for_checkpoints(quotes.sparkSession)
+    sids = segments.where("text is not null").groupBy("text").agg(F.max("sid").alias("last"), F.min("sid").alias("first")).checkpoint()
+    found = quotes.where("quote is not null").join(sids.hint("merge"), F.col("quote") == F.col("text"), "left").select("qid", "quote", "last", F.col("text").isNotNull().alias("same")).checkpoint()
+    rest = found.where("not same").select("qid", "quote")
+    q, s = rest.where("quote <> ''").select("quote").distinct(), sids.where("text <> ''").select("text", "first")
+    met = _first_holding(q, s, "quote", "text", "first").unionByName(_held(s, q, "text", "quote").select("quote", "first"))
+    near = met.groupBy("quote").agg(F.min("first").alias("sid"))
+    exact = found.where("same").select("qid", "quote", F.col("last").alias("sid"), F.lit("exact").alias("how"))
+    return exact.unionByName(rest.join(near.hint("merge"), "quote").select("qid", "quote", "sid", F.lit("part").alias("how")))
 
 
 def audit(segments: DataFrame) -> DataFrame:
