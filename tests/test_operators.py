@@ -125,6 +125,20 @@ def test_similar_pairs_against_plain_cosines(spark):
     assert P.similar_pairs(spark.createDataFrame([], "name long, embedding array<float>"), 0.5).count() == 0
 
 
+def test_cosines_near_the_threshold_are_taken_in_doubles():
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(1500, 6))
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    u[7] = np.nan
+    exact = np.einsum("ik,jk->ij", u, u)
+    t = float(exact[20, 1400])  # itself not above
+    want = {(i, j) for i, j in zip(*np.nonzero(exact > t + 1e-15)) if i < j}
+    for cosines in (True, False):
+        got = [(i, j) for p, q, _ in P._above(u, u, t, True, cosines) for i, j in zip(p.tolist(), q.tolist())]
+        assert len(got) == len(set(got)) and want <= set(got) and all(exact[x] > t - 1e-15 for x in got)
+
+
 def test_splits_are_exact_without_a_global_order(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("g"))
     plain = D.split_eval(d, F.col("id"))

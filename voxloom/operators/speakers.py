@@ -9,52 +9,131 @@ from ..functions.text import global_speaker, natural_rank
 from .datasets import ready_for_checkpoints
 
 
-def similar_pairs(nodes: DataFrame, threshold: float, key: str = "name", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """Pairs a < b whose cosine is above the threshold.
+#: Vectors of a side of the tiles in which blocks meet, and pairs whose cosines are taken at once.
+TILE, AT_ONCE = 1024, 32_768
+#: A block's vectors hold about so many numbers; so many blocks are made where each gets TILE nodes.
+NUMBERS, LEAST_BLOCKS = 1 << 21, 12
+
+
+def _units(flat, size: int):
+    """Vectors over their lengths, in doubles; those without a length hold NaN, which is above nothing."""
+    import numpy as np
+
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    with np.errstate(all="ignore"):
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    return x
+
+
+def _above(u, v, threshold: float, same: bool, cosines: bool):
+    """(i, j, cosine) of rows above the threshold, a tile at a time; i < j within one block.
 
-    Every node meets every other one once: nodes are dealt into blocks of about ``block``, one
-    row a block, whose vectors are put to length one; blocks meet in an equi-join on their
-    pair, and each meeting is a matrix product in doubles. A block's task holds block * block
-    doubles. Nulls, zero vectors and vectors of other lengths are similar to nothing.
+    A product in floats finds those that can be above it, by the bound of its error; those near
+    the threshold, or all with ``cosines``, are then taken in doubles.
     """
-    kind = nodes.schema[key].dataType.simpleString()
-    n = nodes.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-n.count() // block))
-    g = n.groupBy(F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int").alias("g")).agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-    g = g.select("g", F.transform("rows", lambda r: r["k"]).alias("keys"), F.transform("rows", lambda r: r["v"]).alias("vectors"))
+    import numpy as np
+
+    error = (u.shape[1] + 8) * 2.0**-23
+    f, g = u.astype(np.float32), v.astype(np.float32)
+    low = np.float32(threshold - error - abs(threshold) * 2.0**-20)
+    for a in range(0, len(f), TILE):
+        for b in range(a if same else 0, len(g), TILE):
+            s = f[a : a + TILE] @ g[b : b + TILE].T
+            at = np.flatnonzero(s.ravel() > low)
+            p, q, near = at // s.shape[1], at % s.shape[1], s.ravel()[at]
+            if same and a == b:
+                p, q, near = (x[ok] for ok in [p < q] for x in (p, q, near))
+            for k in range(0, len(p), AT_ONCE):
+                i, j, c = p[k : k + AT_ONCE] + a, q[k : k + AT_ONCE] + b, near[k : k + AT_ONCE].astype(np.float64)
+                check = np.ones(len(i), bool) if cosines else c <= threshold + error
+                c[check] = np.einsum("ij,ij->i", u[i[check]], v[j[check]])
+                ok = c > threshold
+                yield i[ok], j[ok], c[ok]
+
+
+def _meetings(nodes: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """Every two blocks of nodes whose vectors have one size, once: g, h, size, keys and flat vectors of both."""
+    of = F.col(vector) if nodes.schema[vector].dataType.elementType.typeName() in ("float", "double") else F.col(vector).cast("array<double>")
+    n = nodes.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), of.alias("v")).withColumn("size", F.size("v")).where("size > 0")
+    rows, numbers = n.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks = max(1, -(-rows // block), -(-numbers // NUMBERS), min(LEAST_BLOCKS, rows // TILE))
+    g = n.groupBy("size", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).cast("int").alias("g")).agg(F.collect_list(F.struct("k", "v")).alias("rows"))
+    g = g.select("size", "g", F.transform("rows", lambda r: r["k"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("flat"))
     left = g.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(blocks - 1))))
-    right = g.select(F.col("g").alias("h"), F.col("keys").alias("keys_b"), F.col("vectors").alias("vectors_b"))
-    met = left.join(right, "h").select("g", "h", "keys", "vectors", "keys_b", "vectors_b")
-
-    def units(rows: list) -> dict:
-        """By length: which rows have it, and their vectors over their lengths."""
-        import numpy as np
+    right = g.select("size", F.col("g").alias("h"), F.col("keys").alias("keys_b"), F.col("flat").alias("flat_b"))
+    # a meeting has its own number, by which both sides are dealt: a partition holds a few
+    both = right.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("h"))))
+    tasks = min(4096, blocks * (blocks + 1) // 2)
+    return left.repartition(tasks, "size", "g", "h").join(both.repartition(tasks, "size", "g", "h").hint("merge"), ["size", "g", "h"])
 
-        out = {}
-        for size in {len(r) for r in rows} - {0}:
-            at = np.array([i for i, r in enumerate(rows) if len(r) == size])
-            x = np.array([rows[i] for i in at], np.float64)
-            norm = np.sqrt((x * x).sum(axis=1))
-            ok = norm > 0
-            out[size] = at[ok], x[ok] / norm[ok, None]
-        return out
 
+def _met(nodes: DataFrame, key: str, vector: str, block: int, cosines: bool, threshold: float, columns: str, batches_of) -> DataFrame:
     def run(batches):
-        import numpy as np
+        for many in batches:
+            for at in range(len(many)):
+                b = many.slice(at, 1)
+                one = {c: b.column(c)[0] for c in ("size", "g", "h", "keys", "flat", "keys_b", "flat_b")}
+                size, same = one["size"].as_py(), one["g"].as_py() == one["h"].as_py()
+                u = _units(one["flat"].values, size)
+                v = u if same else _units(one["flat_b"].values, size)
+                x = one["keys"].values
+                y = x if same else one["keys_b"].values  # the two readings of one block may have its rows in different orders
+                yield from batches_of(x, y, _above(u, v, threshold, same, cosines))
+
+    return _meetings(nodes, key, vector, block).mapInArrow(run, columns)
+
+
+def similar_pairs(nodes: DataFrame, threshold: float, key: str = "name", vector: str = "embedding", block: int = 32_768) -> DataFrame:
+    """Pairs a < b whose cosine is above the threshold.
+
+    Every node meets every other one once: nodes are dealt into blocks of about ``block``, or of
+    NUMBERS numbers if that is less, and each two blocks meet in one row, whose vectors stay
+    arrays from Arrow to numpy. They meet in tiles, by a product in floats; cosines of what it
+    finds are taken in doubles. A task holds two blocks and a tile; the time still grows with the
+    square of the nodes. Nulls, zero vectors and vectors of other lengths are similar to nothing.
+    """
+    kind = nodes.schema[key].dataType.simpleString()
+
+    def pairs(x, y, found):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for b in batches:
-            for r in b.to_pylist():
-                x, y = units(r["vectors"]), units(r["vectors_b"])
-                for size in sorted(x.keys() & y.keys()):
-                    (i, u), (j, v) = x[size], y[size]
-                    s = u @ v.T
-                    p, q = np.nonzero(s > threshold)
-                    rows = [(min(m, n), max(m, n), c) for k, l, c in zip(i[p].tolist(), j[q].tolist(), s[p, q].tolist()) if (m := r["keys"][k]) != (n := r["keys_b"][l]) and (r["g"] < r["h"] or m < n)]
-                    cols = list(zip(*rows)) if rows else [[]] * 3
-                    yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "similarity"), cols)), schema=pa.schema([("a", b.schema.field("keys").type.value_type), ("b", b.schema.field("keys").type.value_type), ("similarity", pa.float64())]))
+        for i, j, c in found:
+            m, n = x.take(pa.array(i)), y.take(pa.array(j))
+            less, other = pc.less(m, n), pc.not_equal(m, n)
+            yield pa.RecordBatch.from_arrays([pc.if_else(less, m, n), pc.if_else(less, n, m), pa.array(c)], ["a", "b", "similarity"]).filter(other)
 
-    return met.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return _met(nodes, key, vector, block, True, threshold, f"a {kind}, b {kind}, similarity double", pairs)
+
+
+def similar_links(nodes: DataFrame, threshold: float, key: str = "name", vector: str = "embedding", block: int = 32_768) -> DataFrame:
+    """(a, b) that connect the same nodes as ``similar_pairs``: of each meeting of two blocks only every
+    node with the least one that it reaches there, so that no more links than nodes leave it."""
+    kind = nodes.schema[key].dataType.simpleString()
+
+    def links(x, y, found):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keys, second = (x, 0) if y is x else (pa.concat_arrays([x, y]), len(x))
+        place = np.empty(len(keys), np.int64)  # by the order of keys, so that the least of a group is its root
+        order = pc.sort_indices(keys).to_numpy().astype(np.int64)
+        place[order] = np.arange(len(keys))
+        root = np.arange(len(keys))
+        for i, j, _ in found:
+            i, j = place[i], place[j + second]
+            while len(i):
+                a, b = root[i], root[j]
+                apart = a != b
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+        of = np.flatnonzero(root != np.arange(len(keys)))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(order[root[of]])), keys.take(pa.array(order[of]))], ["a", "b"])
+
+    return _met(nodes, key, vector, block, False, threshold, f"a {kind}, b {kind}", links)
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, key: str = "name", rounds: int = 50) -> DataFrame:
@@ -76,7 +155,7 @@ def clusters(edges: DataFrame, nodes: DataFrame, key: str = "name", rounds: int
     raise RuntimeError("clusters did not settle")
 
 
-def cluster_speakers(nodes: DataFrame, threshold: float, base: str = "speaker", block: int = 1024) -> DataFrame:
+def cluster_speakers(nodes: DataFrame, threshold: float, base: str = "speaker", block: int = 32_768) -> DataFrame:
     """(name, embedding, speech_seconds) to name, root, rank from 0 and global name.
 
     Clusters rank by their total speech, longest first, ties to the smaller root. Nodes that
