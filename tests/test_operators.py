@@ -139,6 +139,19 @@ def test_cosines_near_the_threshold_are_taken_in_doubles():
         assert len(got) == len(set(got)) and want <= set(got) and all(exact[x] > t - 1e-15 for x in got)
 
 
+def test_links_connect_what_pairs_connect(spark):
+    r = random.Random(6)
+    nodes = [(k, [r.gauss(0, 1) for _ in range(6)]) for k in range(240)]
+    d = spark.createDataFrame(nodes, "name long, embedding array<float>").repartition(3)
+    pairs, links = P.similar_pairs(d, 0.88, block=60), P.similar_links(d, 0.88, block=60)
+    roots = lambda e: rows(P.clusters(e, d))
+    want = roots(pairs)
+    assert 5 < len({x for _, x in want}) < 200 and roots(links) == want
+    dense = P.similar_links(d, -0.5, block=60)
+    meetings, held = 10, 2 * 80  # a block has about 60 nodes
+    assert dense.count() <= meetings * held < P.similar_pairs(d, -0.5, block=60).count() / 10
+
+
 def test_splits_are_exact_without_a_global_order(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), (F.col("id") % 4).cast("string"))).alias("g"))
     plain = D.split_eval(d, F.col("id"))

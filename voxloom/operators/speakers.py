@@ -161,7 +161,7 @@ def cluster_speakers(nodes: DataFrame, threshold: float, base: str = "speaker",
     Clusters rank by their total speech, longest first, ties to the smaller root. Nodes that
     repeat a name count once, the last position winning.
     """
-    rooted = nodes.join(clusters(similar_pairs(nodes, threshold, block=block), nodes), "name")
+    rooted = nodes.join(clusters(similar_links(nodes, threshold, block=block), nodes), "name")
     total = rooted.groupBy("root").agg(F.sum("speech_seconds").alias("speech"), F.count("*").alias("members"))
     ranked = total.withColumn("rank", F.row_number().over(W.orderBy(F.desc("speech"), "root")) - 1)
     return rooted.join(ranked, "root").select("name", "root", "rank", "members", "speech", global_speaker(F.lit(base), F.col("rank")).alias("speaker"))
